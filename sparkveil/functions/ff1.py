@@ -1,0 +1,86 @@
+"""FF1 format-preserving encryption (NIST SP 800-38G) as column expressions.
+
+Values are integers below radix**n, n digits, so one expression serves decimal
+identifiers and the binary covering domains of mixed-radix ones. The round
+function is the last block of AES-CBC over two blocks, which ``aes_encrypt``
+gives. All steps stay in the JVM; nothing is collected or shuffled.
+
+The key is an expression, so that callers may keep it in a column; a literal
+key would show in plans.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ROUNDS = 10
+
+
+def _prf(header: bytes, tail: Column, key: Column) -> Column:
+    block = F.aes_encrypt(F.concat(F.lit(header), tail), key, F.lit("CBC"), F.lit("PKCS"), F.lit(bytes(16)))
+    return F.substring(block, 33, 16)
+
+
+def ff1(value: Column, radix: int, n: int, tweak: bytes, key: Column, decrypt: bool = False) -> Column:
+    """Encrypt or decrypt a bigint of ``n`` digits; shapes are those whose round number needs eight bytes."""
+    u, v = n // 2, n - n // 2
+    b = math.ceil(math.ceil(v * math.log2(radix)) / 8)
+    if n < 2 or b > 4 or radix**n >= 2**63:
+        raise ValueError(f"unsupported shape: radix {radix}, {n} digits")
+    pad = (-len(tweak) - b - 1) % 16
+    if len(tweak) + pad + 1 + b != 16:
+        raise ValueError("tweak too long for one block")
+    header = bytes([1, 2, 1]) + radix.to_bytes(3, "big") + bytes([10, u % 256]) + n.to_bytes(4, "big") + len(tweak).to_bytes(4, "big")
+    sizes = (radix**u, radix**v)
+
+    def number(half: Column) -> Column:
+        return F.unhex(F.lpad(F.hex(half), 2 * b, "0"))
+
+    def step(state: Column, i: Column) -> Column:
+        a, c = state["a"], state["b"]
+        known = a if decrypt else c
+        tail = F.concat(F.lit(tweak + bytes(pad)), F.unhex(F.lpad(F.hex(i.cast("long")), 2, "0")), number(known))
+        modulus = F.when(i % 2 == 0, F.lit(sizes[0])).otherwise(F.lit(sizes[1]))
+        # the array binds the block once; two 32-bit halves keep the remainder inside 64 bits
+        def mixed(block: Column) -> Column:
+            high, low = (F.conv(F.hex(F.substring(block, at, 4)), 16, 10).cast("long") for at in (1, 5))
+            y = (high % modulus * (F.lit(2**32) % modulus) + low) % modulus
+            if decrypt:
+                return F.struct(F.pmod(c - y, modulus).alias("a"), a.alias("b"))
+            return F.struct(c.alias("a"), F.pmod(a + y, modulus).alias("b"))
+        return F.get(F.transform(F.array(_prf(header, tail, key)), mixed), F.lit(0))
+
+    order = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if decrypt else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    value = value.cast("long")
+    right = F.lit(sizes[1])
+    halves = F.struct(((value - value % right).cast("decimal(20,0)") / right.cast("decimal(20,0)")).cast("long").alias("a"), (value % right).cast("long").alias("b"))
+    return F.aggregate(order, halves, step, lambda s: s["a"] * F.lit(sizes[1]) + s["b"])
+
+
+def covering_bits(size: int) -> int:
+    """Width of the smallest binary domain that holds ``size`` values."""
+    return max((size - 1).bit_length(), 1)
+
+
+#: Steps of the cycle walk. Each succeeds with a chance above one half, so 60 steps fail once in 2**60 values at most.
+WALK_STEPS = 60
+
+
+def ff1_walk(value: Column, size: int, tweak: bytes, key: Column, decrypt: bool = False) -> Column:
+    """Permutation of the integers below ``size``: FF1 on the covering binary domain, repeated until it lands inside.
+
+    A value that has not landed after :data:`WALK_STEPS` raises; none is ever returned outside the domain.
+    """
+    bits = covering_bits(size)
+    start = F.struct(value.cast("long").alias("x"), F.lit(False).alias("done"))
+
+    def step(state: Column, _: Column) -> Column:
+        moved = F.get(F.transform(F.array(ff1(state["x"], 2, bits, tweak, key, decrypt)), lambda x: F.struct(
+            x.alias("x"), (x < size).alias("done"))), F.lit(0))
+        return F.when(state["done"], state).otherwise(moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK_STEPS)), start, step, lambda s: F.when(
+        s["done"] | s["x"].isNull(), s["x"]).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long")))
