@@ -2,5 +2,406 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkveil.functions import checksums, mixed_radix
+from sparkveil.functions.text import split_into_n, split_on_space
+from sparkveil.operators import detect, domains, pools, sanitize, sessions
+from sparkveil.plans import evaluation
+from sparkveil.sources import bodies
+from sparkveil.streaming import sse
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: Key of the demonstration queries only.
+DEMO_KEY = "0123456789abcdef0123456789abcdef0123456789abcdef0123456789abcdef"
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL if it has one."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def demo_key():
+    return F.unhex(F.lit(DEMO_KEY))
+
+
+def _spans(df: DataFrame, *ids: str) -> DataFrame:
+    return detect.detect(df).select(*ids, F.explode("spans").alias("s")).select(*ids, "s.start", "s.end", "s.entity_type")
+
+
+# ---------------------------------------------------------------- detection over documents
+
+_LUHN = """list_sum(list_transform(range(1, length(m) + 1), lambda i: CASE WHEN (length(m) - i) % 2 = 0 THEN substr(m, i, 1)::INT
+           ELSE (substr(m, i, 1)::INT * 2) // 10 + (substr(m, i, 1)::INT * 2) % 10 END)) % 10 = 0"""
+_CARDS = rf"""SELECT doc_id, source, lang, m FROM (SELECT doc_id, source, lang,
+              unnest(regexp_extract_all(text, '\b[0-9]{{12,19}}\b')) AS m FROM documents) WHERE {_LUHN}"""
+_EMAILS = r"""SELECT doc_id, source, lang, m FROM (SELECT doc_id, source, lang,
+              unnest(regexp_extract_all(text, '[A-Za-z0-9._%+@-]+')) AS m FROM documents WHERE contains(text, '@'))
+              WHERE regexp_full_match(m, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')"""
+
+
+@query(f"""SELECT source, lang, entity_type, count(*) AS n_entities, count(DISTINCT doc_id) AS n_documents FROM (
+           SELECT doc_id, source, lang, 'CARD' AS entity_type FROM ({_CARDS})
+           UNION ALL SELECT doc_id, source, lang, 'EMAIL' FROM ({_EMAILS})) GROUP BY ALL""")
+def entity_counts_by_source_lang(spark, sf_dir):
+    found = _spans(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id", "source", "lang")
+    return found.where(F.col("entity_type").isin("CARD", "EMAIL")).groupBy("source", "lang", "entity_type").agg(
+        F.count("*").alias("n_entities"), F.count_distinct("doc_id").alias("n_documents"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_cards FROM ({_CARDS}) GROUP BY doc_id")
+def detect_card_documents(spark, sf_dir):
+    return _spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("entity_type = 'CARD'").groupBy("doc_id").agg(F.count("*").alias("n_cards"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_emails FROM ({_EMAILS}) GROUP BY doc_id")
+def detect_email_documents(spark, sf_dir):
+    return _spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("entity_type = 'EMAIL'").groupBy("doc_id").agg(F.count("*").alias("n_emails"))
+
+
+# ---------------------------------------------------------------- injected texts
+
+_LENGTHS = {"AADHAAR": "12", "CARD": "16", "PAN": "10", "IFSC": "11", "UPI": "length('user' || c_custkey || '@ybl')",
+            "VEHICLE_REG": "10", "EMAIL": "length('user' || c_custkey || '@mail.example.com')", "PHONE": "13"}
+
+
+def _gold_sql() -> str:
+    rows = []
+    for i, template in enumerate(evaluation.TEMPLATES):
+        at = "0"
+        for part, is_slot in evaluation._pieces(template):
+            size = f"({_LENGTHS[part]})" if is_slot else str(len(part))
+            if is_slot:
+                rows.append(f"""SELECT c_custkey::BIGINT AS text_id, ({at})::INT AS "start", ({at} + {size})::INT AS "end",
+                            '{part}' AS entity_type FROM customer WHERE c_custkey % {len(evaluation.TEMPLATES)} = {i}""")
+            at = f"{at} + {size}"
+    return " UNION ALL ".join(rows)
+
+
+GOLD = _gold_sql()
+
+
+def _injected(spark, sf_dir):
+    return evaluation.injected_text(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
+@query(GOLD)
+def detect_all_injected(spark, sf_dir):
+    return _spans(_injected(spark, sf_dir), "text_id")
+
+
+def _gold_and_found(spark, sf_dir, types=None, checked=True):
+    texts = _injected(spark, sf_dir)
+    gold = texts.select(F.col("text_id").alias("example_id"), F.explode("gold").alias("s")).select("example_id", "s.*")
+    spans = detect.resolve(detect.deterministic_spans(F.col("text"), types or detect.DETERMINISTIC, checked))
+    found = texts.select(F.col("text_id").alias("example_id"), F.explode(spans).alias("s")).select("example_id", "s.start", "s.end", "s.entity_type")
+    return gold, found
+
+
+@query(f"SELECT entity_type, count(*) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn FROM ({GOLD}) GROUP BY entity_type")
+def score_confusion(spark, sf_dir):
+    return evaluation.confusion(*_gold_and_found(spark, sf_dir))
+
+
+@query(f"""SELECT entity_type, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, count(*) AS support
+           FROM ({GOLD}) GROUP BY entity_type""")
+def score_prf(spark, sf_dir):
+    return evaluation.prf(evaluation.confusion(*_gold_and_found(spark, sf_dir))).select("entity_type", "precision", "recall", "f1", "support")
+
+
+#: Ablations that stand for comparison arms: patterns without checks, without two types, and all.
+ARMS = {"patterns_only": (None, False), "without_contacts": (tuple(t for t in detect.DETERMINISTIC if t not in ("EMAIL", "PHONE")), True), "full": (None, True)}
+
+
+@query()
+def arm_ablation(spark, sf_dir):
+    out = None
+    for arm, (types, checked) in ARMS.items():
+        part = evaluation.prf(evaluation.confusion(*_gold_and_found(spark, sf_dir, types, checked))).select(F.lit(arm).alias("arm"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""SELECT t.entity_type FROM (VALUES ('AADHAAR'), ('CARD'), ('PAN'), ('IFSC'), ('UPI'), ('VEHICLE_REG'), ('EMAIL'), ('PHONE'),
+           ('PERSON'), ('ORG'), ('ADDRESS')) t(entity_type) WHERE t.entity_type NOT IN (SELECT entity_type FROM ({GOLD}))""")
+def omitted_entity_types(spark, sf_dir):
+    everything = spark.createDataFrame([(t,) for t in detect.TYPES], "entity_type string")
+    covered = _injected(spark, sf_dir).select(F.explode("gold.entity_type").alias("entity_type"))
+    return everything.join(covered, "entity_type", "left_anti")
+
+
+@query()
+def resolve_overlaps(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    start = (F.col("l_partkey") % 40).cast("int")
+    span = F.struct(start.alias("start"), (start + 1 + F.col("l_suppkey") % 25).cast("int").alias("end"),
+                    F.get(F.lit(list(detect.TYPES)), (F.col("l_suppkey") % 11).cast("int")).alias("entity_type"),
+                    F.when(F.col("l_suppkey") % 11 < 8, 1).otherwise(2).alias("tier"),
+                    (F.col("l_suppkey") % 11).cast("int").alias("det_idx"), F.col("l_linenumber").cast("int").alias("emit_pos"))
+    case = line.groupBy("l_orderkey").agg(F.collect_list(span).cast(detect.SPANS).alias("spans"))  # an order has seven lines at most
+    return case.select("l_orderkey", F.explode(detect.resolve(F.col("spans"))).alias("s")).select("l_orderkey", "s.start", "s.end", "s.entity_type", "s.tier")
+
+
+# ---------------------------------------------------------------- checksums and numbers
+
+_VD = [checksums._products()[i] for i in range(100)]
+_VP = checksums._permutations()
+_PAYLOAD = "'9999' || lpad(((c_custkey * 7919 + 104729) % 10000000)::VARCHAR, 7, '0')"
+_VERHOEFF = f"""list_reduce(list_prepend(0, list_transform(range(0, length(p)), lambda i: {_VP}[((i + 1) % 8) * 10 + substr(p, length(p) - i, 1)::INT + 1])),
+                lambda c, x: {_VD}[c * 10 + x + 1])"""
+_INV = [next(b for b in range(10) if checksums._dihedral(a, b) == 0) for a in range(10)]
+
+
+@query(f"SELECT c_custkey, p AS payload, {_INV}[{_VERHOEFF} + 1]::VARCHAR AS check_digit FROM (SELECT c_custkey, {_PAYLOAD} AS p FROM customer)")
+def verhoeff_check_digit(spark, sf_dir):
+    value = evaluation.entity_values(F.col("c_custkey"))["AADHAAR"]
+    return table(spark, sf_dir, "customer").select("c_custkey", value.alias("v")).select("c_custkey", F.substring("v", 1, 11).alias("payload"), F.substring("v", 12, 1).alias("check_digit"))
+
+
+@query("""SELECT c_custkey, p AS payload, ((10 - list_sum(list_transform(range(0, 15), lambda i: CASE WHEN i % 2 = 0
+          THEN (substr(p, 15 - i, 1)::INT * 2) // 10 + (substr(p, 15 - i, 1)::INT * 2) % 10 ELSE substr(p, 15 - i, 1)::INT END)) % 10) % 10)::INT::VARCHAR AS check_digit
+          FROM (SELECT c_custkey, '4' || lpad(((c_custkey * 104729 + 7919) % 100000000000000)::VARCHAR, 14, '0') AS p FROM customer)""")
+def luhn_check_digit(spark, sf_dir):
+    value = evaluation.entity_values(F.col("c_custkey"))["CARD"]
+    return table(spark, sf_dir, "customer").select("c_custkey", value.alias("v")).select("c_custkey", F.substring("v", 1, 15).alias("payload"), F.substring("v", 16, 1).alias("check_digit"))
+
+
+_PHONE_DIGITS = "lpad((o_orderkey * 15485863 % 1000000000000)::VARCHAR, 12, '0')"
+
+
+@query(f"""SELECT o_orderkey, {_LUHN} AS luhn, list_reduce(list_prepend(0, list_transform(range(0, 12), lambda i:
+           {_VP}[(i % 8) * 10 + substr(m, 12 - i, 1)::INT + 1])), lambda c, x: {_VD}[c * 10 + x + 1]) = 0 AS verhoeff
+           FROM (SELECT o_orderkey, {_PHONE_DIGITS} AS m FROM orders)""")
+def checksum_validity(spark, sf_dir):
+    m = F.lpad((F.col("o_orderkey") * 15485863 % 10**12).cast("string"), 12, "0")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", m.alias("m"))
+    return df.select("o_orderkey", checksums.luhn_valid(F.col("m")).alias("luhn"), checksums.verhoeff_valid(F.col("m")).alias("verhoeff"))
+
+
+_RADIXES = [26, 26, 10, 10, 36]
+
+
+@query("""SELECT o_orderkey, v AS value, [(v // 93600) % 26, (v // 3600) % 26, (v // 360) % 10, (v // 36) % 10, v % 36]::VARCHAR AS symbols, v AS back
+          FROM (SELECT o_orderkey, (o_orderkey * 7919) % 2433600 AS v FROM orders)""")
+def mixed_radix_roundtrip(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % mixed_radix.domain_size(_RADIXES)).alias("value"))
+    df = df.withColumn("s", F.array(*mixed_radix.decode(F.col("value"), _RADIXES)))
+    back = mixed_radix.encode([F.get("s", F.lit(i)) for i in range(5)], _RADIXES)
+    return df.select("o_orderkey", "value", F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x.cast("string")), ", "), F.lit("]")).alias("symbols"), back.alias("back"))
+
+
+def _roundtrip(name):
+    def run(spark, sf_dir):
+        value = evaluation.entity_values(F.col("c_custkey"))[name]
+        domain = domains._BY_TYPE[name]
+        df = table(spark, sf_dir, "customer").select("c_custkey", value.alias("value"))
+        df = df.withColumn("surrogate", domain(F.col("value"), demo_key()))
+        pattern = detect.PATTERNS[name].replace("(?U)", "").replace(r"\b", "")
+        shaped = F.regexp_like("surrogate", F.lit(f"^(?:{pattern})$"))
+        return df.select("c_custkey", (domain(F.col("surrogate"), demo_key(), True) == F.col("value")).alias("restored"),
+                         F.length("surrogate").cast("long").alias("n_chars"), shaped.alias("shaped"))
+    run.__name__ = f"ff1_roundtrip_{name.lower().removesuffix('_reg')}"
+    return run
+
+
+for _name in domains.SURROGATE_TYPES:
+    query(f"SELECT c_custkey, true AS restored, ({_LENGTHS[_name]})::BIGINT AS n_chars, true AS shaped FROM customer")(_roundtrip(_name))
+
+
+@query("""SELECT doc_id, [substr(text, 1 + i * (length(text) // 7) + least(i, length(text) % 7), length(text) // 7 + (i < length(text) % 7)::INT)
+          FOR i IN range(0, 7)][3] AS third, length(text) AS total FROM documents""")
+def chunk_n(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(split_into_n(F.col("text"), 7), F.lit(2)).alias("third"), F.length("text").cast("long").alias("total"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+')) AS n_pieces FROM documents")
+def chunk_ws(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(split_on_space(F.col("text"))).cast("long").alias("n_pieces"))
+
+
+# ---------------------------------------------------------------- sessions and names
+
+_SIZES = "CASE entity_type WHEN 'PERSON' THEN 5112 WHEN 'ORG' THEN 4900 ELSE 5040 END"
+
+
+def _seen(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_custkey") % 3 == 0, "PERSON").when(F.col("o_custkey") % 3 == 1, "ORG").otherwise("ADDRESS")
+    return orders.select((F.col("o_orderkey") % 50).cast("string").alias("session_id"), F.concat(F.lit("real "), "o_custkey").alias("real"),
+                         kind.alias("entity_type"), F.col("o_orderkey").alias("seq"))
+
+
+@query(f"""WITH seen AS (SELECT (o_orderkey % 50)::VARCHAR AS session_id, 'real ' || o_custkey AS real,
+           CASE o_custkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' ELSE 'ADDRESS' END AS entity_type, o_orderkey AS seq FROM orders),
+           first AS (SELECT session_id, real, entity_type, min(seq) AS seq FROM seen GROUP BY ALL),
+           ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id, entity_type ORDER BY seq, real) - 1 AS rank,
+           md5(session_id || '|' || entity_type) AS digest FROM first)
+           SELECT session_id, real, entity_type, seq, ({list(pools.PRIMES)}[('0x' || substr(digest, 9, 1))::INT + 1] * rank
+           + ('0x' || substr(digest, 1, 8))::BIGINT)::BIGINT % {_SIZES} AS pos FROM ranked""")
+def name_alloc_sessions(spark, sf_dir):
+    pool = pools.candidate_pools(spark)
+    named = pools.allocate_names(_seen(spark, sf_dir), pool)
+    return named.join(F.broadcast(pool.withColumnRenamed("candidate", "surrogate")), ["entity_type", "surrogate"]).select(
+        "session_id", "real", "entity_type", "seq", F.col("pos").cast("long").alias("pos"))
+
+
+@query("""SELECT entity_type, n AS n_candidates, n AS n_distinct FROM (VALUES ('PERSON', 5112::BIGINT), ('ORG', 4900::BIGINT), ('ADDRESS', 5040::BIGINT)) t(entity_type, n)""")
+def pool_cross(spark, sf_dir):
+    return pools.candidate_pools(spark).groupBy("entity_type").agg(F.count("*").alias("n_candidates"), F.count_distinct("candidate").alias("n_distinct"))
+
+
+@query("""SELECT event_id, user_id, sum(CASE WHEN gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS epoch
+          FROM (SELECT event_id, user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)""")
+def session_epochs_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), "ts")
+    return sessions.session_epochs(events, 3600, "user_id", "ts").select("event_id", "user_id", F.col("epoch").cast("long").alias("epoch"))
+
+
+@query("""SELECT user_id::VARCHAR AS session_id, event_type AS surrogate, max(event_id) AS last_event FROM events GROUP BY ALL""")
+def known_surrogate_latest(spark, sf_dir):
+    registry = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("surrogate"),
+                                                     F.lit("PERSON").alias("entity_type"), F.col("event_id").alias("created_at"))
+    return sessions.latest_known(registry).select("session_id", "surrogate", F.col("created_at").alias("last_event"))
+
+
+@query("SELECT user_id AS session_id, max(ts) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC, session_id DESC LIMIT 100")
+def lru_sessions(spark, sf_dir):
+    return sessions.evict_least_recent(table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts"), 100)
+
+
+# ---------------------------------------------------------------- sanitise, rehydrate, bodies
+
+def _session_texts(spark, sf_dir):
+    texts = _injected(spark, sf_dir)
+    return texts.select((F.col("text_id") % 40).cast("string").alias("session_id"), F.col("text_id").alias("seq"), "text", "template_id")
+
+
+@query("""SELECT c_custkey AS seq, CASE WHEN c_custkey % 5 = 2 THEN 'surrogate_domain:UPI' WHEN c_custkey % 5 = 3 THEN 'surrogate_domain:EMAIL' ELSE 'ok' END AS status,
+          c_custkey % 5 IN (0, 1, 4) AS changed FROM customer""")
+def sanitize_texts(spark, sf_dir):
+    out, _ = sanitize.sanitize(_session_texts(spark, sf_dir), demo_key())
+    return out.select("seq", "status", F.coalesce((F.col("sanitized") != F.col("text")), F.lit(False)).alias("changed"))
+
+
+@query("SELECT c_custkey AS seq, true AS restored FROM customer WHERE c_custkey % 5 IN (0, 1, 4)")
+def rehydrate_texts(spark, sf_dir):
+    out, registry = sanitize.sanitize(_session_texts(spark, sf_dir), demo_key())
+    back = sanitize.rehydrate(out.where("status = 'ok'"), sanitize.decrypt_registry(registry, demo_key()), "sanitized")
+    return back.select("seq", (F.col("rehydrated") == F.col("text")).alias("restored"))
+
+
+def _requests(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    message = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    whole = turns.groupBy("conv_id").agg(message.alias("m"))
+    body = F.to_json(F.struct(F.lit("demo").alias("model"), F.transform("m", lambda x: F.struct(
+        x["role"].alias("role"), x["content"].alias("content"))).alias("messages")), {"ignoreNullFields": "false"})
+    return whole.select(F.col("conv_id").cast("string").alias("session_id"), F.lit(0).alias("request_seq"), body.alias("body"))
+
+
+@query("""SELECT conv_id::VARCHAR AS session_id, count(*) + 1 AS n_regions, sum(length(text)) + 4 AS n_chars FROM conversations
+          WHERE text IS NOT NULL AND role IN ('system', 'user', 'assistant') GROUP BY conv_id""")
+def walk_regions(spark, sf_dir):
+    region = bodies.text_regions(_requests(spark, sf_dir))
+    return region.groupBy("session_id").agg(F.count("*").alias("n_regions"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query("SELECT conv_id::VARCHAR AS session_id, 1::INT AS applied, 1::INT AS unmatched FROM conversations GROUP BY conv_id")
+def rebuild_bodies(spark, sf_dir):
+    path = lambda *parts: F.array(*[F.struct(F.lit(p if isinstance(p, str) else None).cast("string").alias("key"),
+                                             F.lit(p if isinstance(p, int) else None).cast("int").alias("idx")) for p in parts])
+    change = F.array(F.struct(path("messages", 0, "content").alias("path"), F.lit("changed").alias("text")),
+                     F.struct(path("messages", 0, "nothing").alias("path"), F.lit("x").alias("text")))
+    return _requests(spark, sf_dir).select("session_id", bodies.rebuild_json("body", change).alias("r")).select("session_id", "r.applied", "r.unmatched")
+
+
+@query("""SELECT conv_id::VARCHAR AS session_id, role, count(*) AS n FROM conversations WHERE role IN ('system', 'user', 'assistant', 'tool', 'function') GROUP BY ALL""")
+def protocol_filter(spark, sf_dir):
+    region = _requests(spark, sf_dir).select("session_id", F.explode(bodies.walk_json("body")).alias("r"))
+    return region.where(bodies.is_protocol_value(F.col("r.path"), F.col("r.text"))).groupBy("session_id", F.col("r.text").alias("role")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- streams in batch form
+
+@query("""SELECT conv_id::VARCHAR AS stream_id, count(*) + 1 AS n_events, sum(length(text)) AS n_chars FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def sse_frame_batch(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    data = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    chunk = turns.select(F.col("conv_id").cast("string").alias("stream_id"), (F.col("turn") * 3).alias("n"), F.explode(split_into_n(data, 3)).alias("chunk"))
+    whole = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("t"), F.posexplode(split_into_n(data, 3)).alias("i", "chunk"))
+    whole = whole.select("stream_id", (F.col("t") * 3 + F.col("i")).alias("chunk_seq"), "chunk")
+    end = turns.groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg((F.max("turn") * 3 + 3).alias("chunk_seq")).withColumn("chunk", F.lit("data: [DONE]\n\n"))
+    events = sse.frame_events(whole.unionByName(end))
+    return events.groupBy("stream_id").agg(F.count("*").alias("n_events"), F.sum(F.length("content")).cast("long").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- bypasses, echoes, latency
+
+@query()
+def adversarial_recall(spark, sf_dir):
+    prefix, suffix = "Value ", " was sent."
+    keys = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(evaluation.entity_values(F.col("c_custkey"))["AADHAAR"].alias("v"))
+    forms = {"clean": F.col("v"), **evaluation.obfuscations(F.col("v"))}
+    case = keys.select("v", F.explode(F.array(*[F.struct(F.lit(n).alias("bypass_class"), c.alias("sent")) for n, c in forms.items()])).alias("c")).select("v", "c.*")
+    texts = case.withColumn("text", F.concat(F.lit(prefix), "sent", F.lit(suffix))).withColumn("session_id", F.col("v")).withColumn("seq", F.hash("bypass_class").cast("long"))
+    out, _ = sanitize.sanitize(texts, demo_key())
+    label = F.when(F.col("bypass_class") == "clean", "clean").otherwise("adversarial")
+    sanitized = F.coalesce("sanitized", F.lit(""))
+    return evaluation.recall_by_class(out.withColumn("label", label).withColumn(
+        "caught", evaluation.caught(F.col("sent"), F.col("sent"), sanitized, prefix, suffix)))
+
+
+@query("""SELECT c_custkey, rtrim(regexp_replace(v, '(.{4})', '\\1 ', 'g')) AS spaced_digits, to_base64(encode(v)) AS base64_encoding,
+          array_to_string(string_split(v, ''), chr(8203)) AS zero_width, 'user_' || v || '_row' AS pii_in_code
+          FROM (SELECT c_custkey, '4' || lpad(((c_custkey * 104729 + 7919) % 100000000000000)::VARCHAR, 14, '0') AS v FROM customer)""".replace("\\\\", "\\"))
+def obfuscate_values(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.substring(evaluation.entity_values(F.col("c_custkey"))["CARD"], 1, 15).alias("v"))
+    forms = evaluation.obfuscations(F.col("v"))
+    return df.select("c_custkey", *[forms[n].alias(n) for n in ("spaced_digits", "base64_encoding", "zero_width", "pii_in_code")])
+
+
+@query("""SELECT category, 5112::BIGINT AS total, CASE WHEN category IN ('exact', 'decorated') THEN 5112 ELSE 0 END::BIGINT AS hits
+          FROM (VALUES ('exact'), ('decorated'), ('case_shifted'), ('partial'), ('abbreviated'), ('transliterated'), ('reasoned_about')) t(category)""")
+def fidelity_taxonomy(spark, sf_dir):
+    names = pools.candidate_pools(spark).where("entity_type = 'PERSON'").select("candidate", F.concat(F.lit("Real #"), "pos").alias("original"))
+    forms = evaluation.echo_forms(F.col("candidate"))
+    echo = names.select(F.col("candidate").alias("session_id"), "original", F.explode(F.array(*[F.struct(
+        F.lit(n).alias("category"), c.alias("text")) for n, c in forms.items()])).alias("e")).select("session_id", "original", "e.*")
+    registry = names.select(F.col("candidate").alias("session_id"), F.col("candidate").alias("surrogate"), F.lit("PERSON").alias("entity_type"), "original")
+    back = sanitize.rehydrate(echo, registry)
+    return back.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.contains("rehydrated", "original")).alias("hits"))
+
+
+@query("""SELECT event_type AS workload, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
+          round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(coalesce(stddev_samp(value), 0), 6) AS stdev,
+          min(value) AS "min", max(value) AS "max" FROM events GROUP BY event_type""")
+def latency_stats(spark, sf_dir):
+    out = evaluation.stats(table(spark, sf_dir, "events").select(F.col("event_type").alias("workload"), "value"), ["workload"], "value")
+    return out.select("workload", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p95", "p99", "stdev")], "min", "max")
+
+
+@query("""SELECT tier_class, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9)::DOUBLE AS share FROM (SELECT CASE
+          WHEN bool_or(event_id % 3 = 0) AND bool_or(event_id % 3 = 1) THEN 'both' WHEN bool_or(event_id % 3 = 0) THEN 'tier1_only'
+          WHEN bool_or(event_id % 3 = 1) THEN 'tier2_only' ELSE 'neither' END AS tier_class FROM events GROUP BY event_id // 4) GROUP BY tier_class""")
+def tier_distribution(spark, sf_dir):
+    tier = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 2)
+    per = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 4).alias("request")).agg(F.collect_set(tier).alias("tiers"))
+    counted = per.groupBy(evaluation.tier_class(F.col("tiers")).alias("tier_class")).agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))  # one row
+    return counted.crossJoin(F.broadcast(total)).select("tier_class", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+
+
+@query("""SELECT event_id, round(CASE WHEN value > 0 THEN (value + 1.5 - value) / value * 100 END, 6) AS tax_pct FROM events""")
+def window_tax(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(evaluation.window_tax(F.col("value") + 1.5, F.col("value")), 6).alias("tax_pct"))
