@@ -84,3 +84,50 @@ QUERIES = {f.__name__: f for f in (
 
 #: SQL equivalents, where SQL can express the operator at a bearable cost.
 ORACLES: dict[str, str] = {}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COMPONENTS = """r(x, c) AS (SELECT id, id FROM node UNION SELECT l.x, r.c FROM r JOIN l ON l.y = r.x)"""
+
+ORACLES["op2_chat"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(n, role)),
+m AS (SELECT *, len(regexp_extract_all(role || ' ' || text, '\\|<\|[A-Za-z0-9_]+\|>|</?s>|\[/?(INST|SYS)\]|<</?SYS>>')) AS marks FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(23 + length(role) + length(text) + marks)::BIGINT AS formatted_chars FROM m GROUP BY conv_id"""
+
+ORACLES["op3_ngram_jaccard"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), node AS (SELECT id FROM d),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+{_COMPONENTS}
+SELECT d.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM d LEFT JOIN n USING (id) JOIN r ON r.x = d.id GROUP BY d.id"""
+
+ORACLES["op7_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), node AS (SELECT id FROM v),
+l AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+k AS (SELECT x AS id, count(*) AS n FROM l GROUP BY x), {_COMPONENTS}
+SELECT v.id AS vec_id, coalesce(any_value(k.n), 0) AS n_links, min(c) AS component_id, v.id = min(c) AS kept FROM v LEFT JOIN k USING (id) JOIN r ON r.x = v.id GROUP BY v.id"""
+
+ORACLES["op8_url_filter"] = rf"""
+WITH u AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+h AS (SELECT *, host = 'org' OR ends_with(host, '.org') AS org, host = 'com' OR ends_with(host, '.com') AS com,
+  host = 'example.org' OR ends_with(host, '.example.org') AS ex FROM u),
+j AS (SELECT page_id, host, path, CASE WHEN ex AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN ex AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN org AND starts_with(path, '/') THEN 'org/' WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN com AND starts_with(path, '/de/') THEN 'com/de/' END AS rule FROM h)
+SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM j"""
+
+ORACLES["op9_decontamination"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM g),
+m AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, z WHERE len(w) >= n)) JOIN g USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
