@@ -33,8 +33,10 @@ from .common import LOWER, batch_word_hashes, mix64, save, span_hashes, text_buf
 
 #: The most labelled examples in the index: positive and other ones (the documented bound).
 MAX_POSITIVE, MAX_OTHER = 4_000, 8_000
-#: The most terms kept, and how far from chance a term must be (standard errors of its log odds).
-MAX_TERMS, MIN_Z, MIN_EXAMPLES = 4_000, 3.5, 3
+#: The most terms kept, how far from chance a term must be (standard errors of its log odds), and its odds ratio.
+MAX_TERMS, MIN_Z, MIN_EXAMPLES, MIN_ODDS = 4_000, 3.0, 3, 20
+#: Weight of "no evidence" among the squared similarities of the votes: faint likeness alone convinces nobody.
+DOUBT = 1.0
 NEIGHBOURS, BLOCK = 15, 64
 #: ``predicted`` is 1 from this score on.
 TOXIC_SCORE = 0.7
@@ -123,8 +125,8 @@ class BlockMaxIndex:
         return names, best
 
     def vote(self, names: np.ndarray, best: np.ndarray) -> float:
-        """Similarity-weighted share of positive neighbours."""
-        return float((best * self.labels[names]).sum() / best.sum())
+        """Share of positive neighbours by squared similarity, and some doubt."""
+        return float((best**2 * self.labels[names]).sum() / ((best**2).sum() + DOUBT))
 
     def score(self, names: np.ndarray, best: np.ndarray) -> float:
         """Calibrated score of a document with these neighbours."""
@@ -149,7 +151,7 @@ def select_terms(sample: DataFrame) -> np.ndarray:
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (n - F.col("a") + 0.5) + 1 / (F.col("c") + 0.5) + 1 / (m - F.col("c") + 0.5))
     count = count.where((F.col("a") >= MIN_EXAMPLES) | (F.col("c") >= 10 * MIN_EXAMPLES))
     count = count.withColumn("odds", odds("a", n) - odds("c", m)).withColumn("z", F.abs(F.col("odds")) / spread)
-    kept = count.where((F.abs("odds") >= float(np.log(4))) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+    kept = count.where((F.abs("odds") >= float(np.log(MIN_ODDS))) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
     return np.sort(np.array([r.term for r in kept.select("term").collect()], dtype=np.int64).view(np.uint64))
 
 
