@@ -405,3 +405,76 @@ def tier_distribution(spark, sf_dir):
 @query("""SELECT event_id, round(CASE WHEN value > 0 THEN (value + 1.5 - value) / value * 100 END, 6) AS tax_pct FROM events""")
 def window_tax(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(evaluation.window_tax(F.col("value") + 1.5, F.col("value")), 6).alias("tax_pct"))
+
+
+# ---------------------------------------------------------------- logs, labels, replies, sinks
+
+def _log_lines(spark, sf_dir):
+    event = F.when(F.col("event_id") % 2 == 0, "first_chunk").otherwise("first_release")
+    row = F.to_json(F.struct(F.when(F.col("event_id") % 5 == 0, "other").otherwise("gateway").alias("logger"), event.alias("event"),
+                             F.floor(F.col("event_id") / 4).cast("string").alias("correlation_id"), (F.col("event_id") * 1.5).alias("timestamp_ms"),
+                             F.col("value").alias("latency_ms"), (F.col("event_id") % 2 + 1).cast("int").alias("tier")))
+    return table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, "plain noise {").otherwise(row).alias("value"))
+
+
+@query("""SELECT CASE event_id % 2 WHEN 0 THEN 'first_chunk' ELSE 'first_release' END AS event, count(*) AS n, sum(event_id * 1.5)::DOUBLE AS total_ms FROM events
+          WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 GROUP BY 1""")
+def gateway_log_scan(spark, sf_dir):
+    return bodies.gateway_log(_log_lines(spark, sf_dir)).groupBy("event").agg(F.count("*").alias("n"), F.sum("timestamp_ms").alias("total_ms"))
+
+
+@query("""WITH g AS (SELECT (event_id // 4)::VARCHAR AS correlation_id, event_id, event_id % 2 AS kind FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0),
+          x AS (SELECT correlation_id, max(CASE WHEN kind = 0 THEN event_id * 1.5 END) AS a, max(CASE WHEN kind = 1 THEN event_id * 1.5 END) AS b, bool_or(kind = 0) AS t1, bool_or(kind = 1) AS t2 FROM g GROUP BY ALL),
+          c AS (SELECT DISTINCT (event_id // 4)::VARCHAR AS correlation_id FROM events)
+          SELECT correlation_id, (b - a)::DOUBLE AS window_ms, CASE WHEN t1 AND t2 THEN 'both' WHEN t1 THEN 'tier1_only' WHEN t2 THEN 'tier2_only' ELSE 'neither' END AS tier_class FROM c LEFT JOIN x USING (correlation_id)""")
+def request_log_join(spark, sf_dir):
+    client = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).cast("string").alias("correlation_id")).distinct()
+    index = evaluation.log_index(bodies.gateway_log(_log_lines(spark, sf_dir)))
+    joined = client.join(index, "correlation_id", "left")
+    tiers = F.coalesce("tiers", F.array().cast("array<int>"))
+    return joined.select("correlation_id", (F.col("release_ms") - F.col("chunk_ms")).alias("window_ms"), evaluation.tier_class(tiers).alias("tier_class"))
+
+
+@query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'timeout' WHEN event_id % 17 = 0 THEN 'error' ELSE 'success' END AS outcome FROM events) GROUP BY outcome""")
+def request_outcomes(spark, sf_dir):
+    e = F.col("event_id")
+    status = F.when(e % 13 == 0, 504).otherwise(200)
+    outcome = evaluation.request_outcome(status, F.when(e % 13 == 0, '{"detail":"upstream timeout"}').otherwise("{}"), e % 11 == 0, e % 17 == 0)
+    return table(spark, sf_dir, "events").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT label, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'CARD' WHEN 1 THEN 'EMAIL' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'PERSON' WHEN 4 THEN 'PAN' END AS label FROM events)
+          WHERE label IS NOT NULL GROUP BY label""")
+def label_map(spark, sf_dir):
+    foreign = F.get(F.lit(["CREDIT_CARD", "EMAIL_ADDRESS", "PHONE_NUMBER", "PERSON", "PAN", "US_SSN"]), (F.col("event_id") % 6).cast("int"))
+    found = table(spark, sf_dir, "events").select(evaluation.own_label(foreign).alias("label")).where("label is not null")
+    return found.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT conv_id, arg_max(coalesce(text, ''), turn) AS content, sum(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')))::INT AS prompt_words FROM conversations GROUP BY conv_id""")
+def echo_upstream(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("content")))).alias("m"))
+    return turns.select("conv_id", evaluation.echo_reply(F.col("m")).alias("r")).select("conv_id", "r.content", "r.prompt_words")
+
+
+@query("""SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
+def jsonl_rows(spark, sf_dir):
+    from sparkveil.sources import sinks
+
+    return sinks.jsonl_rows(table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name"))
+
+
+@query("""SELECT 'split_across_turns' AS bypass_class, count(*) AS total, count(*) AS leaked FROM customer UNION ALL SELECT 'pii_in_json_key', count(*), count(*) FROM customer""")
+def structured_bypasses(spark, sf_dir):
+    value = evaluation.entity_values(F.col("c_custkey"))["PAN"]
+    df = table(spark, sf_dir, "customer").select(value.alias("v"))
+    fragments = evaluation.split_value(F.col("v"), 5)
+    left = lambda text: F.size(detect.resolve(detect.deterministic_spans(text))) == 0  # noqa: E731  what is not detected is sent on unchanged
+    pieces = df.select(fragments.alias("f")).select(F.lit("split_across_turns").alias("bypass_class"), (
+        evaluation.fragments_leaked(F.col("f"), F.col("f")) & left(F.get("f", F.lit(0))) & left(F.get("f", F.lit(1)))).alias("leaked"))
+    body = F.to_json(F.create_map(F.col("v"), F.lit("x")))
+    request = df.select("v", F.to_json(F.struct(F.array(F.struct(body.alias("arguments"))).alias("tools"))).alias("body"))
+    walked = request.select("v", bodies.walk_json("body").alias("r"), F.get_json_object("body", "$.tools[0].arguments").alias("arguments"))
+    keys = walked.select(F.lit("pii_in_json_key").alias("bypass_class"), (
+        evaluation.key_leaked(F.col("arguments"), F.col("v")) & ~F.exists("r", lambda x: F.contains(x["text"], F.col("v")))).alias("leaked"))
+    return pieces.unionByName(keys).groupBy("bypass_class").agg(F.count("*").alias("total"), F.count_if("leaked").alias("leaked"))

@@ -178,3 +178,39 @@ def request_outcome(status: Column, body: Column, client_timeout: Column, transp
 def templates_frame(spark: SparkSession) -> DataFrame:
     """(template_id, text) of the carrier sentences."""
     return spark.createDataFrame(list(enumerate(TEMPLATES)), "template_id int, text string")
+
+
+# ---------------------------------------------------------------- labels, replies, structured bypasses
+
+#: Labels of other vocabularies that have a type here.
+FOREIGN_LABELS = {"CREDIT_CARD": "CARD", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "PERSON": "PERSON"}
+
+
+def own_label(label: Column) -> Column:
+    """The type of a label of any vocabulary; null for labels without one."""
+    from sparkveil.operators.detect import TYPES
+
+    return F.when(label.isin(*TYPES), label).otherwise(F.create_map(*[F.lit(x) for kv in FOREIGN_LABELS.items() for x in kv])[label])
+
+
+def echo_reply(messages: Column) -> Column:
+    """struct<content, prompt_words, reply_words>: an upstream that gives the last message back."""
+    last = F.coalesce(F.element_at(messages, -1)["content"], F.lit(""))
+    words = lambda text: F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    prompt = F.aggregate(messages, F.lit(0), lambda n, m: n + words(F.coalesce(m["content"], F.lit(""))))
+    return F.struct(last.alias("content"), prompt.alias("prompt_words"), words(last).alias("reply_words"))
+
+
+def split_value(value: Column, cut: int) -> Column:
+    """A value in two turns: array of its first ``cut`` characters and the rest."""
+    return F.array(F.substring(value, F.lit(1), F.lit(cut)), F.substring(value, F.lit(cut + 1), F.length(value)))
+
+
+def fragments_leaked(texts: Column, fragments: Column) -> Column:
+    """Whether every fragment stands unchanged in its text: then the value got through in pieces."""
+    return F.forall(F.zip_with(texts, fragments, lambda t, f: F.contains(t, f)), lambda x: x)
+
+
+def key_leaked(arguments: Column, value: Column) -> Column:
+    """Whether a value is still a key of the JSON object in ``arguments``."""
+    return F.coalesce(F.array_contains(F.json_object_keys(arguments), value), F.lit(False))
