@@ -37,7 +37,7 @@ MAX_POSITIVE, MAX_OTHER = 4_000, 8_000
 MAX_TERMS, MIN_Z, MIN_EXAMPLES, MIN_ODDS = 4_000, 3.0, 3, 20
 #: Weight of "no evidence" among the squared similarities of the votes: faint likeness alone convinces nobody.
 DOUBT = 1.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
 #: ``predicted`` is 1 from this score on.
 TOXIC_SCORE = 0.7
 
@@ -98,31 +98,28 @@ class BlockMaxIndex:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
         """Exact (examples, similarities) of the ``k`` most similar examples, best first."""
         bounds = weight @ self.block_max[term]
-        order = np.argsort(-bounds, kind="stable")
-        best = np.zeros(0)
-        names = np.zeros(0, dtype=np.int64)
-        lists = [(self.examples[a:b], self.weights[a:b]) for a, b in zip(self.starts[term], self.starts[term + 1])]
-        step, done = 8, 0
-        while done < len(order):
-            group = order[done: done + step]
-            floor = best[k - 1] if len(best) >= k else 0.0
-            group = group[(bounds[group] > 0) & (bounds[group] >= floor - 1e-12)]
-            if not len(group):
-                break
-            score = np.zeros((len(group), BLOCK))
-            for w, (example, value) in zip(weight, lists):
-                for row, block in enumerate(group):
-                    a, b = np.searchsorted(example, (block * BLOCK, (block + 1) * BLOCK))
-                    score[row, example[a:b] - block * BLOCK] += w * value[a:b]
-            row, col = np.nonzero(score > 0)
-            found = group[row] * BLOCK + col
-            names, best = np.concatenate((names, found)), np.concatenate((best, score[row, col]))
-            if without >= 0:
-                names, best = names[names != without], best[names != without]
-            keep = np.lexsort((self.ids[names], -np.round(best, 12)))[:k]
-            names, best = names[keep], best[keep]
-            done += step
-        return names, best
+        count = self.starts[term + 1] - self.starts[term]
+        at = np.repeat(self.starts[term] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        example, value = self.examples[at], np.repeat(weight, count) * self.weights[at]
+        block = example // BLOCK
+
+        def best_in(chosen: np.ndarray):
+            inside = chosen[block]
+            score = np.bincount(example[inside], value[inside])
+            names = np.flatnonzero(score > 0)
+            names = names[names != without]
+            return names, score[names]
+
+        # the blocks of the highest bounds first, then all that can still hold one of the k best
+        chosen = np.zeros(len(bounds), dtype=bool)
+        chosen[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        names, best = best_in(chosen)
+        floor = np.partition(best, -k)[-k] if len(best) >= k else 0.0
+        more = (bounds > 0) & (bounds >= floor - 1e-12) & ~chosen
+        if more.any():
+            names, best = best_in(chosen | more)
+        keep = np.lexsort((self.ids[names], -np.round(best, 12)))[:k]
+        return names[keep], best[keep]
 
     def vote(self, names: np.ndarray, best: np.ndarray) -> float:
         """Share of positive neighbours by squared similarity, and some doubt."""
