@@ -5,9 +5,11 @@ sequences of ``capacity`` tokens. A piece goes where the squared counts of open
 sequences per residual gap become smallest; ties prefer the smaller gap.
 
 Pieces are packed in chunks of bounded size, each in one task, longest first.
-Sequences a chunk could not fill are opened again and their pieces packed in
-the next round with those of other chunks, until one chunk is left, so every
-piece meets the others and no task holds more than a chunk.
+Of the sequences a chunk could not fill, the emptiest that may dissolve into the
+gaps of others, and as many others as can take their pieces, are packed again
+with those of other chunks; the rest stay as they are. Rounds end when one chunk
+held all of them, or when no sequence can be saved or none was. No task holds
+more than a chunk in any round.
 
 Tokenising is exact and word-wise: the pre-tokeniser's pieces are found with
 vectorised rules, each distinct one is encoded once by the tokenizer library
@@ -25,15 +27,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, span_hashes
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces packed in one task at most, and sequences with a larger gap are opened again.
-CHUNK, REOPEN_GAP = 60_000, 0
+#: Pieces packed in one task at most, and the largest share of a round's pieces that may be packed again.
+CHUNK, AGAIN = 60_000, 0.875
 #: Code points tokenised at a time, and distinct pre-tokens remembered by a worker.
 STRIDE, REMEMBERED = 1 << 21, 1_200_000
 
@@ -279,47 +281,105 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return out, offset
 
 
+def _pack_chunks(pieces: DataFrame, chunks: int, tag: str, capacity: int) -> DataFrame:
+    """``pieces`` dealt to ``chunks`` by a hash and packed there; adds bin, offset, and gap and longest piece of the bin."""
+    schema = pieces.schema.add("bin", "string").add("offset", "long").add("gap", "integer").add("longest", "integer")
+
+    def run(key, table):
+        lengths = table["length"].to_numpy()
+        order = np.lexsort((table["piece"].to_numpy(), table["row"].to_numpy(), -lengths))
+        where, offset = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+        where[order], offset[order] = sum_of_squares(lengths[order], capacity)
+        gap = capacity - np.bincount(where, lengths)
+        longest = np.zeros(len(gap))
+        np.maximum.at(longest, where, lengths)
+        names = pa.array([f"{tag}-{key[0].as_py()}-{b}" for b in where.tolist()], pa.string())
+        added = {"bin": names, "offset": pa.array(offset), "gap": pa.array(gap[where].astype(np.int32)), "longest": pa.array(longest[where].astype(np.int32))}
+        table = table.drop_columns("chunk")
+        for name, column in added.items():
+            table = table.append_column(name, column)
+        return table
+
+    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("row", "piece", F.lit(tag)), F.lit(chunks)).cast("long"))
+    return dealt.groupBy("chunk").applyInArrow(run, schema)
+
+
+def _histogram(df: DataFrame, of: str, capacity: int) -> np.ndarray:
+    """Rows of ``df`` by ``of``, which is at most ``capacity``."""
+    out = np.zeros(capacity + 1, dtype=np.int64)
+    for value, n in df.groupBy(of).count().collect():  # one row a length
+        out[value] = n
+    return out
+
+
+def _drawn(wanted: np.ndarray, have: np.ndarray, salt: str) -> Column:
+    """Condition that keeps about ``wanted[g]`` of the ``have[g]`` bins of gap g, with near certainty not fewer."""
+    share = np.where(wanted > 0, np.minimum(1, (wanted + 6 * np.sqrt(wanted) + 12) / np.maximum(have, 1)), 0)
+    return F.pmod(F.xxhash64("bin", F.lit(salt)), F.lit(1 << 30)) < F.get(F.lit((share * (1 << 30)).tolist()), F.col("gap"))
+
+
+def _worth_packing_again(placed: DataFrame, capacity: int) -> Column | None:
+    """Condition on the bins that another round may need, or None if it cannot save a sequence.
+
+    Gaps of ``room`` tokens save ``room // capacity`` sequences at most. Donors
+    are so many of the emptiest bins whose pieces all fit some gap. Bins of gap
+    up to g can't take more than the donors' pieces of length up to g; twice
+    that many receivers are kept for the packer to choose from.
+    """
+    bins = placed.where("offset = 0 and gap > 0")
+    gaps = _histogram(bins, "gap", capacity)
+    most = int((gaps * np.arange(capacity + 1)).sum()) // capacity
+    if not most:
+        return None
+    may_go = F.col("longest") <= int(np.flatnonzero(gaps)[-1])
+    have = _histogram(bins.where(may_go), "gap", capacity)
+    above = np.cumsum(have[::-1])[::-1] - have
+    donor = (F.col("gap") > 0) & may_go & _drawn(np.clip(most - above, 0, have), have, "donor")
+    takes = 2 * np.cumsum(_histogram(placed.where(donor), "length", capacity))
+    if not takes[-1]:
+        return None
+    have, wanted, used = _histogram(bins.where(~donor), "gap", capacity), np.zeros(capacity + 1, dtype=np.int64), 0
+    for g in range(1, capacity):
+        wanted[g] = min(have[g], takes[g] - used)
+        used += wanted[g]
+    return donor | ((F.col("gap") > 0) & _drawn(wanted, have, "receiver"))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
     """``pieces`` (row, piece, length, ...) with ``sequence_id`` and ``offset`` added.
 
-    Full pieces are sequences of their own. The others are dealt to chunks by a
-    hash, packed, and what lies in unfilled sequences is packed again with
-    fewer chunks; the last round is a single bounded chunk.
+    Full pieces are sequences of their own. The others are dealt to chunks of
+    at most ``chunk`` rows by a hash and packed; what another round may improve
+    is dealt anew, and keeps its places if that saves no sequence.
     """
     keys = pieces.columns
     full = pieces.where(F.col("length") == capacity).select(
         *keys, F.concat_ws("-", F.lit("f"), "row", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
+    done, level, before, n_before = [], 0, None, 0
     todo = rest.count()
-    done, level = [full], 0
-    schema = rest.schema.add("bin", "string").add("offset", "long").add("open", "boolean")
-
+    mean = max(1, int(chunk - 6 * chunk ** 0.5))  # chunks are even up to chance
     while True:
-        chunks = max(1, -(-todo // chunk))
-        final, tag = chunks == 1, f"{level}"
-
-        def run(key, table):
-            lengths = table["length"].to_numpy()
-            order = np.lexsort((table["piece"].to_numpy(), table["row"].to_numpy(), -lengths))
-            where, offset = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
-            where[order], offset[order] = sum_of_squares(lengths[order], capacity)
-            filled = np.bincount(where, lengths)
-            names = pa.array([f"{tag}-{key[0].as_py()}-{b}" for b in where.tolist()], pa.string())
-            opened = pa.array((filled[where] < capacity - REOPEN_GAP) & (not final))
-            return table.drop_columns("chunk").append_column("bin", names).append_column("offset", pa.array(offset)).append_column("open", opened)
-
-        dealt = rest.withColumn("chunk", F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(chunks)).cast("long"))
-        packed = save(dealt.groupBy("chunk").applyInArrow(run, schema), "pack")
-        done.append(packed.where("not open").drop("open"))
-        if final:
+        chunks = 1 if todo <= chunk else -(-todo // mean)
+        placed = save(_pack_chunks(rest, chunks, f"{level}", capacity), "pack")
+        if before is not None and placed.where("offset = 0").count() >= n_before:
+            done.append(before)
+            break
+        again = _worth_packing_again(placed, capacity) if chunks > 1 else None
+        if again is None:
+            done.append(placed)
+            break
+        before = placed.where(again)
+        left = before.count()
+        if left > AGAIN * todo:  # chunks are alike, and most of their sequences can't be filled: others do not help
+            done.append(placed)
             break
-        rest = packed.where("open").select(*keys)
-        left, level = rest.count(), level + 1
-        # a round that fills little is followed by smaller and smaller rests: fewer chunks, at least one less
-        todo = min(left, (chunks - 1) * chunk)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+        done.append(placed.where(~again))
+        n_before = before.where("offset = 0").count()
+        rest, todo, level = before.select(*keys), left, level + 1
+    out = full
+    for part in done:
+        out = out.unionByName(part.drop("gap", "longest"))
     return out.withColumn("sequence_id", F.xxhash64("bin")).drop("bin")
 
 

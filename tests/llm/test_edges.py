@@ -235,3 +235,19 @@ def test_lines(spark, docs, none):
     assert rows[None].text == f"{long}\n{other}" and rows[1].text == "top\ntail" and rows[2].text == "" and rows[3].text == texts[2][1]
     assert rows[4].text is None and rows[5].text == "" and rows[6].line_dedup.n_deleted == 19 - 0 or rows[6].line_dedup.n_deleted < 20
     assert lines.remove_repeated_lines(docs).count() == len(DOCS) and lines.remove_repeated_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 60, 1500])
+def test_no_round_packs_more_than_a_chunk(spark, monkeypatch, small):
+    seen, save = [], packing.save
+    monkeypatch.setattr(packing, "save", lambda df, name: seen.append(save(df, name)) or seen[-1])
+    pieces = spark.range(3000 + small).selectExpr("id as row", "0 as piece", "bigint(if(id < 3000, 1100, 900)) as length")
+    rows = packing.pack(pieces, chunk=500).collect()
+    assert len(rows) == 3000 + small and len({r.row for r in rows}) == 3000 + small
+    chunk = [f.groupBy(F.substring_index("bin", "-", 2)).count().agg(F.max("count")).first()[0] for f in seen]
+    assert max(chunk) <= 500 and len(seen) <= 4
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(p)[0][0] == 0 and sum(n for _, n in p) <= 2048 and (len(p) < 2 or sorted(p)[1][0] == sorted(p)[0][1]) for p in by.values())
+    assert len(by) <= 3000 * 1.02  # chunks this small cost some sequences each
