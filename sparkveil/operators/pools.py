@@ -56,19 +56,20 @@ def pool_place(session: Column, entity_type: Column, rank: Column) -> Column:
 
 
 def allocate_names(seen: DataFrame, pools: DataFrame) -> DataFrame:
-    """(session_id, real, entity_type, surrogate, seq) for (session_id, real, entity_type, seq).
+    """(session_id, real, entity_type, surrogate, seq, pos) for (session_id, real, entity_type, seq).
 
     A real name has one surrogate in its session, whatever its type later; the
-    type seen first counts. ``surrogate`` is null once the pool is exhausted.
+    type seen first counts. ``surrogate`` is null once the pool is exhausted;
+    ``pos`` is then the place that another name of the session holds.
     """
     first = seen.groupBy("session_id", "real").agg(F.min(F.struct("seq", "entity_type")).alias("f")).select(
         "session_id", "real", "f.seq", "f.entity_type")
     rank = F.row_number().over(W.partitionBy("session_id", "entity_type").orderBy("seq", "real")) - 1
     size = F.create_map(*[F.lit(x) for kv in POOL_SIZES.items() for x in kv])[F.col("entity_type")]
-    placed = first.withColumn("rank", rank).withColumn(
-        "pos", F.when(F.col("rank") < size, pool_place(F.col("session_id"), F.col("entity_type"), F.col("rank"))))
+    placed = first.withColumn("rank", rank).withColumn("pos", pool_place(F.col("session_id"), F.col("entity_type"), F.col("rank")))
+    free = F.when(F.col("rank") < size, F.col("candidate"))
     return placed.join(F.broadcast(pools), ["entity_type", "pos"], "left").select(  # the pools are of fixed size
-        "session_id", "real", "entity_type", F.col("candidate").alias("surrogate"), "seq")
+        "session_id", "real", "entity_type", free.alias("surrogate"), "seq", "pos")
 
 
 def lookahead(pools: DataFrame, longest_structured: int) -> int:

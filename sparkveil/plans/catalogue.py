@@ -250,10 +250,8 @@ def _seen(spark, sf_dir):
            SELECT session_id, real, entity_type, seq, ({list(pools.PRIMES)}[('0x' || substr(digest, 9, 1))::INT + 1] * rank
            + ('0x' || substr(digest, 1, 8))::BIGINT)::BIGINT % {_SIZES} AS pos FROM ranked""")
 def name_alloc_sessions(spark, sf_dir):
-    pool = pools.candidate_pools(spark)
-    named = pools.allocate_names(_seen(spark, sf_dir), pool)
-    return named.join(F.broadcast(pool.withColumnRenamed("candidate", "surrogate")), ["entity_type", "surrogate"]).select(
-        "session_id", "real", "entity_type", "seq", F.col("pos").cast("long").alias("pos"))
+    named = pools.allocate_names(_seen(spark, sf_dir), pools.candidate_pools(spark))
+    return named.select("session_id", "real", "entity_type", "seq", F.col("pos").cast("long").alias("pos"))
 
 
 @query("""SELECT entity_type, n AS n_candidates, n AS n_distinct FROM (VALUES ('PERSON', 5112::BIGINT), ('ORG', 4900::BIGINT), ('ADDRESS', 5040::BIGINT)) t(entity_type, n)""")

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from sparkveil.operators import pools
 from sparkveil.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,15 @@ def test_key_of_a_column_is_not_in_the_plan(spark):
     df = spark.createDataFrame([("4111111111111111", bytes.fromhex(secret))], "v string, k binary").repartition(1)
     plan = df.select(domains.phone(F.col("v"), F.col("k")))._jdf.queryExecution().toString().lower()
     assert secret not in plan
+
+
+def test_names_beyond_the_pool_are_kept(spark, tmp_path):
+    orders = spark.range(5200).selectExpr("id * 50 as o_orderkey", "id * 3 as o_custkey")  # one session, persons only
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalogue.QUERIES["name_alloc_sessions"](spark, str(tmp_path)).select("session_id", "real", "entity_type", "seq", "pos").collect()
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert len(got) == 5200 and sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLES["name_alloc_sessions"]).fetchall())
+    named = pools.allocate_names(catalogue._seen(spark, str(tmp_path)), pools.candidate_pools(spark))
+    assert named.where("surrogate is null").count() == 5200 - 5112
+    assert named.select("surrogate").distinct().count() == 5112 + 1
