@@ -349,10 +349,14 @@ def sse_frame_batch(spark, sf_dir):
 @query()
 def adversarial_recall(spark, sf_dir):
     prefix, suffix = "Value ", " was sent."
-    keys = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(evaluation.entity_values(F.col("c_custkey"))["AADHAAR"].alias("v"))
+    values = evaluation.entity_values(F.col("c_custkey"))
+    typed = F.array(*[F.struct(F.lit(t).alias("of_type"), values[t].alias("v")) for t in evaluation.CLASS_TYPES["clean"]])
+    keys = table(spark, sf_dir, "customer").select("c_custkey", F.explode(typed).alias("t")).select("c_custkey", "t.*")
     forms = {"clean": F.col("v"), **evaluation.obfuscations(F.col("v"))}
-    case = keys.select("v", F.explode(F.array(*[F.struct(F.lit(n).alias("bypass_class"), c.alias("sent")) for n, c in forms.items()])).alias("c")).select("v", "c.*")
-    texts = case.withColumn("text", F.concat(F.lit(prefix), "sent", F.lit(suffix))).withColumn("session_id", F.col("v")).withColumn("seq", F.hash("bypass_class").cast("long"))
+    case = keys.select("c_custkey", "of_type", F.explode(F.array(*[F.struct(F.lit(n).alias("bypass_class"), F.when(
+        F.col("of_type").isin(*evaluation.CLASS_TYPES[n]), c).alias("sent")) for n, c in forms.items()])).alias("c")).select("c_custkey", "of_type", "c.*").where("sent is not null")
+    texts = case.withColumn("text", F.concat(F.lit(prefix), "sent", F.lit(suffix))).withColumn(
+        "session_id", F.concat_ws(":", "c_custkey", "of_type")).withColumn("seq", F.hash("bypass_class").cast("long"))
     out, _ = sanitize.sanitize(texts, demo_key())
     label = F.when(F.col("bypass_class") == "clean", "clean").otherwise("adversarial")
     sanitized = F.coalesce("sanitized", F.lit(""))

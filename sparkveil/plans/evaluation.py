@@ -91,6 +91,12 @@ def prf(counts: DataFrame) -> DataFrame:
 #: Number words, and letters that look like the first letter of a value.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 HOMOGLYPHS = {"A": "А", "H": "Н"}
+_DIGITS, _LETTER_FIRST = ("AADHAAR", "CARD", "PHONE"), ("PAN", "IFSC", "VEHICLE_REG")
+#: Types that each class of :func:`obfuscations` has a form of. UPI and EMAIL have no surrogate: their texts are refused, clean or not.
+CLASS_TYPES = {
+    "clean": _DIGITS + _LETTER_FIRST, "spaced_digits": _DIGITS, "number_words": _DIGITS, "base64_encoding": _DIGITS + _LETTER_FIRST,
+    "homoglyphs": _LETTER_FIRST, "zero_width": _DIGITS + _LETTER_FIRST, "pii_in_code": _DIGITS + _LETTER_FIRST,
+}
 
 
 def obfuscations(value: Column) -> dict[str, Column]:
@@ -101,8 +107,8 @@ def obfuscations(value: Column) -> dict[str, Column]:
         "spaced_digits": F.regexp_replace(value, "(.{4})(?=.)", "$1 "),
         "number_words": F.array_join(F.transform(F.filter(signs, lambda c: c != ""), lambda c: F.coalesce(F.get(word, F.when(c.between("0", "9"), c.cast("int"))), c)), " "),
         "base64_encoding": F.base64(value.cast("binary")),
-        "homoglyphs": F.concat(F.translate(F.substring(value, 1, 1), "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values())),
-                               F.substring(value, F.lit(2), F.length(value))),
+        # another first letter gets that of A: no pattern takes a letter beyond ASCII
+        "homoglyphs": F.regexp_replace(F.regexp_replace(value, "^H", HOMOGLYPHS["H"]), "^[A-Z]", HOMOGLYPHS["A"]),
         "zero_width": F.array_join(F.filter(signs, lambda c: c != ""), "\u200b"),
         "pii_in_code": F.concat(F.lit("user_"), value, F.lit("_row")),
     }

@@ -55,3 +55,11 @@ def test_names_beyond_the_pool_are_kept(spark, tmp_path):
     named = pools.allocate_names(catalogue._seen(spark, str(tmp_path)), pools.candidate_pools(spark))
     assert named.where("surrogate is null").count() == 5200 - 5112
     assert named.select("surrogate").distinct().count() == 5112 + 1
+
+
+def test_bypasses_cover_every_customer_and_type(spark, tmp_path):
+    spark.range(1, 41).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = {r.bypass_class: r for r in catalogue.QUERIES["adversarial_recall"](spark, str(tmp_path)).collect()}
+    assert {n: r.total for n, r in rows.items()} == {"clean": 240, "spaced_digits": 120, "number_words": 120, "base64_encoding": 240,
+                                                     "homoglyphs": 120, "zero_width": 240, "pii_in_code": 240}
+    assert rows["clean"].recall == 1 and rows["homoglyphs"].caught == rows["zero_width"].caught == 0
