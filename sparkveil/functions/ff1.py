@@ -84,3 +84,8 @@ def ff1_walk(value: Column, size: int, tweak: bytes, key: Column, decrypt: bool
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK_STEPS)), start, step, lambda s: F.when(
         s["done"] | s["x"].isNull(), s["x"]).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long")))
+
+
+def key_of(secret: Column) -> Column:
+    """Key of 32 bytes from a secret of any length: its SHA-256. Keep the secret in a column; a literal shows in plans."""
+    return F.unhex(F.sha2(secret.cast("binary"), 256))

@@ -46,6 +46,12 @@ class Detector:
     pattern: str
     valid: Callable[[Column], Column] | None = None
 
+    def possible(self, text: Column) -> Column:
+        """A cheap condition that every text with a match meets."""
+        if "@" in self.pattern:
+            return F.contains(text, F.lit("@"))
+        return F.regexp_like(text, F.lit(r"[A-Z]{4}0" if self.entity_type == "IFSC" else r"(?U)\d{4}"))
+
 
 DETECTORS = tuple(
     Detector(t, PATTERNS[t], {"AADHAAR": verhoeff_valid, "CARD": luhn_valid,
@@ -68,8 +74,8 @@ def detector_spans(text: Column, detector: Detector, checked: bool = True) -> Co
     spans = F.transform(placed, lambda x, i: F.struct(
         x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.lit(detector.entity_type).alias("entity_type"),
         F.lit(1).alias("tier"), F.lit(idx).alias("det_idx"), i.alias("emit_pos")))
-    # cheap superset test first: most texts hold no candidate at all
-    return F.when(F.regexp_like(text, F.lit(detector.pattern)), spans).otherwise(F.array().cast(SPANS))
+    # cheap tests first: most texts hold no candidate at all
+    return F.when(detector.possible(text) & F.regexp_like(text, F.lit(detector.pattern)), spans).otherwise(F.array().cast(SPANS))
 
 
 def deterministic_spans(text: Column, types=DETERMINISTIC, checked: bool = True) -> Column:
@@ -101,6 +107,18 @@ def detect(df: DataFrame, text: str = "text", model: Column | None = None) -> Da
     return df.withColumn("spans", resolve(F.concat(found, model) if model is not None else found))
 
 
+def is_span(span: Column, text: Column) -> Column:
+    """Whether a span lies inside its text and is not empty."""
+    return (span["start"] >= 0) & (span["start"] < span["end"]) & (span["end"] <= F.length(text))
+
+
+def only_type(text: Column, entity_type: str) -> Column:
+    """Whether the whole text resolves to one span of a type: a value that no other detector claims."""
+    spans = resolve(deterministic_spans(text))
+    first = F.get(spans, F.lit(0))
+    return (F.size(spans) == 1) & (first["entity_type"] == entity_type) & (first["start"] == 0) & (first["end"] == F.length(text))
+
+
 def mark_ingress(spans: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``is_ingress``: whether (session_id, surface) is a surrogate the session handed out earlier."""
     known = registry.select("session_id", F.col("surrogate").alias("surface")).distinct().withColumn("is_ingress", F.lit(True))

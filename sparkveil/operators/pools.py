@@ -46,30 +46,62 @@ def candidate_pools(spark: SparkSession) -> DataFrame:
     )
 
 
-def pool_place(session: Column, entity_type: Column, rank: Column) -> Column:
-    """Pool position of the ``rank``-th (from 0) name of a type in a session."""
+def _step_and_start(session: Column, entity_type: Column) -> tuple[Column, Column]:
+    """a and b of the session's permutation of a pool."""
     digest = F.md5(F.concat_ws("|", session, entity_type).cast("binary"))
-    size = F.create_map(*[F.lit(x) for kv in POOL_SIZES.items() for x in kv])[entity_type]
     a = F.get(F.lit(list(PRIMES)), F.conv(F.substring(digest, 9, 1), 16, 10).cast("int"))
-    b = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return ((a * rank + b) % size).cast("int")
+    return a, F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def _by_type(values: dict, entity_type: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[entity_type]
+
+
+def pool_place(session: Column, entity_type: Column, rank: Column) -> Column:
+    """Pool position of the ``rank``-th (from 0) name of a type in a session."""
+    a, b = _step_and_start(session, entity_type)
+    return ((a * rank + b) % _by_type(POOL_SIZES, entity_type)).cast("int")
+
+
+def pool_rank(session: Column, entity_type: Column, pos: Column) -> Column:
+    """Inverse of :func:`pool_place`: which name of its session got this place."""
+    a, b = _step_and_start(session, entity_type)
+    size = _by_type(POOL_SIZES, entity_type)
+    inverse = {(t, p): pow(p, -1, n) for t, n in POOL_SIZES.items() for p in PRIMES}
+    inverse = F.create_map(*[F.lit(x) for (t, p), v in inverse.items() for x in (f"{t}|{p}", v)])[F.concat_ws("|", entity_type, a.cast("string"))]
+    return (F.pmod(pos - b, size) * inverse % size).cast("long")
 
 
-def allocate_names(seen: DataFrame, pools: DataFrame) -> DataFrame:
+def allocate_names(seen: DataFrame, pools: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """(session_id, real, entity_type, surrogate, seq, pos) for (session_id, real, entity_type, seq).
 
     A real name has one surrogate in its session, whatever its type later; the
-    type seen first counts. ``surrogate`` is null once the pool is exhausted;
-    ``pos`` is then the place that another name of the session holds.
+    type seen first counts. Names that ``registry`` (session_id, surrogate,
+    entity_type, original) knows keep theirs, new ones are ranked behind all
+    that it handed out, so no surrogate is given twice in a session.
+    ``surrogate`` is null once the pool is exhausted; ``pos`` is then the place
+    that another name of the session holds.
     """
     first = seen.groupBy("session_id", "real").agg(F.min(F.struct("seq", "entity_type")).alias("f")).select(
         "session_id", "real", "f.seq", "f.entity_type")
+    pools = F.broadcast(pools)  # of fixed size
+    before = known = None
+    if registry is not None:
+        used = registry.where(F.col("entity_type").isin(*POOL_SIZES)).select(
+            "session_id", "entity_type", F.col("original").alias("real"), F.col("surrogate").alias("candidate")).join(pools, ["entity_type", "candidate"])
+        used = used.withColumn("rank", pool_rank(F.col("session_id"), F.col("entity_type"), F.col("pos")))
+        known = used.groupBy("session_id", "real").agg(F.min(F.struct("rank", "candidate", "entity_type", "pos")).alias("k"))
+        before = used.groupBy("session_id", "entity_type").agg((F.max("rank") + 1).alias("before"))
+        kept = first.join(known, ["session_id", "real"]).select("session_id", "real", "k.entity_type", F.col("k.candidate").alias("surrogate"), "seq", "k.pos")
+        first = first.join(known, ["session_id", "real"], "left_anti")
     rank = F.row_number().over(W.partitionBy("session_id", "entity_type").orderBy("seq", "real")) - 1
-    size = F.create_map(*[F.lit(x) for kv in POOL_SIZES.items() for x in kv])[F.col("entity_type")]
-    placed = first.withColumn("rank", rank).withColumn("pos", pool_place(F.col("session_id"), F.col("entity_type"), F.col("rank")))
-    free = F.when(F.col("rank") < size, F.col("candidate"))
-    return placed.join(F.broadcast(pools), ["entity_type", "pos"], "left").select(  # the pools are of fixed size
-        "session_id", "real", "entity_type", free.alias("surrogate"), "seq", "pos")
+    ranked = first.withColumn("rank", rank.cast("long"))
+    if before is not None:
+        ranked = ranked.join(before, ["session_id", "entity_type"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0))).drop("before")
+    placed = ranked.withColumn("pos", pool_place(F.col("session_id"), F.col("entity_type"), F.col("rank")))
+    free = F.when(F.col("rank") < _by_type(POOL_SIZES, F.col("entity_type")), F.col("candidate"))
+    named = placed.join(pools, ["entity_type", "pos"], "left").select("session_id", "real", "entity_type", free.alias("surrogate"), "seq", "pos")
+    return named if known is None else named.unionByName(kept)
 
 
 def lookahead(pools: DataFrame, longest_structured: int) -> int:

@@ -1,40 +1,52 @@
-"""Sanitising and rehydrating tables of texts.
+"""Sanitising and rehydrating tables of texts and of JSON bodies.
 
 ``sanitize`` exchanges every detected span for a surrogate; ``rehydrate`` puts
 the originals back wherever a surrogate of the session stands in a text. Spans
 are exploded for the lookups and spliced back in one aggregate per text. A text
-with a span no domain covers is refused as a whole: its output is null and its
-status says why, without the value.
+with a span no domain covers, or whose model failed under ``closed``, is refused
+as a whole: its output is null and its status says why, without the value. A
+body is refused with any of its regions.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions.text import splice
 from sparkveil.operators import detect, domains, pools
+from sparkveil.sources import bodies
+from sparkveil.sources.scratch import written
 
 REGISTRY = ("session_id", "surrogate", "entity_type", "original", "seq")
+#: Leading characters by which surrogates are looked up in texts; each surrogate has more.
+ANCHOR = 6
+#: Regions of a body are numbered below this.
+MAX_REGIONS = 1_000_000
 
 
 def sanitize(texts: DataFrame, key: Column, model: Column | None = None, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts with ``sanitized`` and ``status``, registry of surrogates handed out).
 
-    ``texts`` has session_id, seq (unique in the session, its order) and text.
-    A span whose text is a surrogate handed out earlier in the session, by
-    ``registry`` or by a smaller seq, is left alone.
+    ``texts`` has session_id, seq (a long, unique in the session, its order) and
+    text. ``model`` is a struct<spans, error> of :func:`detect.model_spans`; a
+    row with an error is refused. A span whose text is a surrogate handed out
+    earlier in the session, by ``registry`` or by a smaller seq, is left alone.
     """
     spark = texts.sparkSession
-    found = detect.detect(texts.select("session_id", "seq", "text"), model=model)
+    plain = texts.select("session_id", "seq", "text")
+    if model is None:
+        found, failed = detect.detect(plain), None
+    else:
+        judged = written(plain.withColumn("_model", model), "model")  # a model runs once a text
+        found = detect.detect(judged.where("_model.error is null"), model=F.col("_model.spans"))
+        failed = judged.where("_model.error is not null").select("session_id", "seq", F.concat(F.lit("model_failed:"), "_model.error").alias("failed"))
     span = found.select("session_id", "seq", "text", F.explode("spans").alias("s")).select(
         "session_id", "seq", "s", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"), F.col("s.entity_type").alias("entity_type"))
-    span = span.withColumn("structured", domains.surrogate(F.col("entity_type"), F.col("value"), key))
-    span = span.persist(StorageLevel.MEMORY_AND_DISK)  # read by the four lookups below; recomputed where it is lost
+    span = written(span.withColumn("structured", domains.surrogate(F.col("entity_type"), F.col("value"), key)), "spans")  # read by four lookups
     names = pools.allocate_names(
         span.where(F.col("entity_type").isin(*detect.MODEL_TYPES)).select("session_id", F.col("value").alias("real"), "entity_type", "seq"),
-        pools.candidate_pools(spark))
+        pools.candidate_pools(spark), registry)
     minted = span.where("structured is not null").groupBy("session_id", F.col("structured").alias("value")).agg(F.min("seq").alias("since"))
     minted = minted.unionByName(names.where("surrogate is not null").select("session_id", F.col("surrogate").alias("value"), F.col("seq").alias("since")))
     if registry is not None:
@@ -43,13 +55,16 @@ def sanitize(texts: DataFrame, key: Column, model: Column | None = None, registr
     named = names.select("session_id", F.col("real").alias("value"), F.col("surrogate").alias("name"))
     span = span.join(minted, ["session_id", "value"], "left").join(named, ["session_id", "value"], "left")
     ingress = F.coalesce(F.col("since") < F.col("seq"), F.lit(False))
-    new = F.when(ingress, F.col("value")).otherwise(F.coalesce("structured", "name"))
-    span = span.withColumn("ingress", ingress).withColumn("new", new)
+    own = F.when(F.col("entity_type").isin(*detect.MODEL_TYPES), F.col("name")).otherwise(F.col("structured"))
+    span = span.withColumn("ingress", ingress).withColumn("new", F.when(ingress, F.col("value")).otherwise(own))
     refused = F.when(F.col("new").isNull(), F.concat(F.when(F.col("entity_type").isin(*detect.MODEL_TYPES), "name_list_exhausted:").otherwise("surrogate_domain:"), "entity_type"))
     whole = span.groupBy("session_id", "seq").agg(
         F.array_sort(F.collect_list(F.struct("s.start", "s.end", "new"))).alias("spans"), F.min(refused).alias("error"))
     out = texts.join(whole, ["session_id", "seq"], "left")
-    spliced = F.when(F.col("spans").isNull(), F.col("text")).when(F.col("error").isNull(), splice(F.col("text"), F.col("spans"), lambda s: s["new"]))
+    if failed is not None:
+        out = out.join(failed, ["session_id", "seq"], "left").withColumn("error", F.coalesce("failed", "error")).drop("failed")
+    spliced = F.when(F.col("error").isNotNull(), F.lit(None)).when(F.col("spans").isNull(), F.col("text")).otherwise(
+        splice(F.col("text"), F.col("spans"), lambda s: s["new"]))
     out = out.withColumn("sanitized", spliced).withColumn("status", F.coalesce("error", F.lit("ok"))).drop("spans", "error")
     given = span.where("not ingress and new is not null").groupBy("session_id", F.col("new").alias("surrogate")).agg(
         F.min(F.struct("seq", "entity_type", "value")).alias("f")).select("session_id", "surrogate", "f.entity_type", F.col("f.value").alias("original"), "f.seq")
@@ -62,17 +77,86 @@ def decrypt_registry(registry: DataFrame, key: Column) -> DataFrame:
     return registry.withColumn("original", F.when(F.col("entity_type").isin(*domains.SURROGATE_TYPES), plain).otherwise(F.col("original")))
 
 
+def tier_of(entity_type: Column) -> Column:
+    """The tier that finds a type: 2 for the types of the name map, else 1."""
+    return F.when(entity_type.isin(*detect.MODEL_TYPES), 2).otherwise(1)
+
+
+def known_surrogates(registry: DataFrame) -> DataFrame:
+    """(session_id, surrogate, original, n_originals) of each surrogate of a session; the original is null if none or more than one is known."""
+    one = registry.groupBy("session_id", "surrogate").agg(F.min("original").alias("lo"), F.max("original").alias("hi"))
+    return one.select("session_id", "surrogate", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("original"))
+
+
 def rehydrate(texts: DataFrame, registry: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``rehydrated``: every surrogate of the text's session put back, longest first, in one pass from the left."""
-    one = registry.groupBy("session_id", "surrogate").agg(F.min("original").alias("original"))
-    if one.where("original is null").limit(1).count():
-        raise ValueError("a surrogate without an original: the name map is incomplete")
-    known = one.groupBy("session_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("surrogate", "original"))).alias("_map"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("surrogate")).alias("n"), "surrogate"))),
-                                 lambda s: F.concat(F.lit("\\Q"), s["surrogate"], F.lit("\\E"))), "|").alias("_pattern"))
-    joined = texts.join(known, "session_id", "left")
+    """Adds ``rehydrated``: every surrogate of the text's session put back, longest first, in one pass from the left.
+
+    Surrogates are found by an equi-join of their first characters with the
+    texts' own character runs that begin like one, so neither a session nor its
+    texts meet in one row; a text is matched against what it may hold only.
+    A surrogate in a text that has no original, or more than one, is an error.
+    """
     body = F.col(text)
+    known = known_surrogates(registry).where(F.length("surrogate") > 0)
+    anchor = F.substring("surrogate", 1, ANCHOR)
+    begins = sorted(r[0] for r in known.select(F.substring("surrogate", 1, 1)).distinct().collect())  # single characters
+    if not begins:
+        return texts.withColumn("rehydrated", body)
+    shortest = known.agg(F.min(F.length("surrogate"))).first()[0]
+    n = min(ANCHOR, shortest)
+    one_of = "".join("\\" + c if not c.isalnum() and c.isascii() and not c.isspace() else c for c in begins)
+    runs = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?s)(?=([{one_of}].{{{n - 1}}}))"), F.lit(1)))
+    asked = texts.where(body.isNotNull()).select("session_id", F.xxhash64(body).alias("_text"), F.explode(runs).alias("run")).distinct()
+    held = asked.join(known.select("session_id", F.substring(anchor, 1, n).alias("run"), "surrogate", "original"), ["session_id", "run"])
+    held = held.groupBy("session_id", "_text").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.length("surrogate")).alias("n"), "surrogate", "original"))).alias("_held"))
+    held = held.withColumn("_map", F.map_from_entries(F.transform("_held", lambda s: F.struct(s["surrogate"], s["original"]))))
+    held = held.withColumn("_pattern", F.array_join(F.transform("_held", lambda s: F.concat(F.lit("\\Q"), s["surrogate"], F.lit("\\E"))), "|")).drop("_held")
+    joined = texts.withColumn("_text", F.xxhash64(body)).join(held, ["session_id", "_text"], "left")
     between, hits = F.split(body, F.col("_pattern"), -1), F.regexp_extract_all(body, F.col("_pattern"), F.lit(0))
-    back = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.col("_map")[F.get(hits, i)], F.lit("")))), "")
-    return joined.withColumn("rehydrated", F.when(F.col("_pattern").isNull(), body).otherwise(back)).drop("_map", "_pattern")
+    original = lambda hit: F.when(hit.isNull(), "").otherwise(F.coalesce(
+        F.col("_map")[hit], F.raise_error(F.lit("a surrogate without exactly one original: the name map is broken")).cast("string")))
+    back = F.array_join(F.transform(between, lambda part, i: F.concat(part, original(F.get(hits, i)))), "")
+    return joined.withColumn("rehydrated", F.when(F.col("_pattern").isNull(), body).otherwise(back)).drop("_text", "_map", "_pattern")
+
+
+# ---------------------------------------------------------------- bodies
+
+
+def _rebuilt(whole: DataFrame, region: DataFrame, keys: list[str], new: str) -> DataFrame:
+    """``whole`` with ``body`` rebuilt from the regions whose text changed."""
+    changed = region.where(F.col(new).isNotNull() & (F.col(new) != F.col("text")))
+    change = changed.groupBy(*keys).agg(F.collect_list(F.struct("path", F.col(new).alias("text"))).alias("_changes"))
+    joined = whole.join(change, keys, "left")
+    rebuilt = bodies.rebuild_json("body", F.coalesce("_changes", F.array().cast(f"array<struct<path:{bodies.PATH},text:string>>")))
+    return joined.withColumn("body", F.when(F.col("_changes").isNull(), F.col("body")).otherwise(rebuilt["body"])).drop("_changes")
+
+
+def sanitize_requests(requests: DataFrame, key: Column, model=None, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(session_id, request_seq, body, status) of every request, and the registry of surrogates handed out.
+
+    ``requests`` has session_id, request_seq and body. All text regions but
+    protocol words are sanitised; one refused region refuses the body, which is
+    null then. ``model`` makes the model column of a text column.
+    """
+    keys = ["session_id", "request_seq"]
+    region = written(bodies.text_regions(requests).withColumn("seq", F.col("request_seq").cast("long") * MAX_REGIONS + F.col("region_no")), "regions")
+    clean, given = sanitize(region, key, model(F.col("text")) if model else None, registry)
+    clean = written(clean, "clean-regions")
+    refused = clean.where("status != 'ok'").groupBy(*keys).agg(F.min("status").alias("refused"))
+    status = bodies.request_status(F.col("body"), F.col("session_id"))
+    whole = requests.select(*keys, "body", status.alias("status")).join(refused, keys, "left")
+    whole = whole.withColumn("status", F.coalesce("refused", "status")).drop("refused")
+    whole = _rebuilt(whole, clean, keys, "sanitized")
+    return whole.withColumn("body", F.when(F.col("status") == "ok", F.col("body"))), given
+
+
+def rehydrate_replies(replies: DataFrame, registry: DataFrame) -> DataFrame:
+    """(session_id, request_seq, http_status, body): JSON objects of 2xx replies with every surrogate put back, others as they came."""
+    keys = ["session_id", "request_seq"]
+    parsed = F.try_parse_json("body")
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    restored = replies.where((F.floor(F.col("http_status") / 100) == 2) & is_object)
+    region = restored.select(*keys, F.explode(bodies.walk_json("body")).alias("r")).select(*keys, "r.path", "r.text")
+    region = rehydrate(region, registry)
+    return _rebuilt(replies.select(*keys, "http_status", "body"), region, keys, "rehydrated")

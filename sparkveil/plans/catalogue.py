@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkveil.functions import checksums, mixed_radix
+from sparkveil.functions.ff1 import key_of
 from sparkveil.functions.text import split_into_n, split_on_space
 from sparkveil.operators import detect, domains, pools, sanitize, sessions
 from sparkveil.plans import evaluation
 from sparkveil.sources import bodies
+from sparkveil.sources.scratch import shared_dir, written
 from sparkveil.streaming import sse
 
 QUERIES: dict = {}
@@ -123,12 +128,48 @@ def score_prf(spark, sf_dir):
 #: Ablations that stand for comparison arms: patterns without checks, without two types, and all.
 ARMS = {"patterns_only": (None, False), "without_contacts": (tuple(t for t in detect.DETERMINISTIC if t not in ("EMAIL", "PHONE")), True), "full": (None, True)}
 
+#: What each arm finds in the hard cases, by kind (key modulo 8): entity type, kind, tp, fp, fn.
+_HARD = """(VALUES ('PAN', 0, 1, 0, 0), ('PAN', 1, 0, 0, 1), ('CARD', 2, 0, 1, 0), ('CARD', 3, 0, 0, 1), ('AADHAAR', 4, 1, 1, 0), ('EMAIL', 5, 0, 0, 1),
+           ('PHONE', 6, 1, 0, 0), ('VEHICLE_REG', 6, 1, 0, 0)) h(entity_type, kind, tp, fp, fn)"""
+
+def _hard(spark, sf_dir, types=None, checked=True):
+    texts = evaluation.hard_cases(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    gold = texts.select(F.col("text_id").alias("example_id"), F.explode("gold").alias("s")).select("example_id", "s.*")
+    spans = detect.resolve(detect.deterministic_spans(F.col("text"), types or detect.DETERMINISTIC, checked))
+    found = texts.select(F.col("text_id").alias("example_id"), F.explode(spans).alias("s")).select("example_id", "s.start", "s.end", "s.entity_type")
+    return gold, found
+
+
+#: Phones with 91 have 12 digits: with a valid check digit they are found as AADHAAR, else as CARD, else as PHONE.
+_AS_12 = f"""SELECT c_custkey, CASE WHEN verhoeff THEN 'AADHAAR' WHEN luhn THEN 'CARD' ELSE 'PHONE' END AS found FROM (SELECT c_custkey, {_LUHN} AS luhn,
+          list_reduce(list_prepend(0, list_transform(range(0, 12), lambda i: {checksums._permutations()}[(i % 8) * 10 + substr(m, 12 - i, 1)::INT + 1])),
+          lambda c, x: {[checksums._products()[i] for i in range(100)]}[c * 10 + x + 1]) = 0 AS verhoeff
+          FROM (SELECT c_custkey, '919' || lpad((c_custkey * 15485863 % 1000000000)::VARCHAR, 9, '0') AS m FROM customer WHERE c_custkey % 8 = 6))"""
+
 
-@query()
+def _hard_sql(checked: bool = True, contacts: bool = True) -> str:
+    """(entity_type, tp, fp, fn) of the hard cases for an arm."""
+    found = "CASE WHEN found = 'PHONE' AND NOT {c} THEN NULL ELSE found END".format(c=str(contacts).lower()) if checked else "'AADHAAR'"
+    rows = f"""SELECT entity_type, tp, fp, fn FROM customer JOIN {_HARD} ON c_custkey % 8 = kind WHERE entity_type <> 'PHONE'
+        UNION ALL SELECT 'PHONE', (f = 'PHONE')::INT, 0, (f IS DISTINCT FROM 'PHONE')::INT FROM (SELECT {found} AS f FROM ({_AS_12}))
+        UNION ALL SELECT f, 0, 1, 0 FROM (SELECT {found} AS f FROM ({_AS_12})) WHERE f <> 'PHONE'"""
+    if not checked:  # the card with a wrong digit is found, too
+        rows = rows.replace("('CARD', 3, 0, 0, 1)", "('CARD', 3, 1, 0, 0)")
+    return f"SELECT entity_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({rows}) GROUP BY entity_type"
+
+
+@query(_hard_sql())
+def score_hard_cases(spark, sf_dir):
+    return evaluation.confusion(*_hard(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{arm}' AS arm, entity_type, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision,
+       CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall, 2.0 * tp / (2 * tp + fp + fn) AS f1, tp + fn AS support FROM ({_hard_sql(*how)})"""
+       for arm, how in (("patterns_only", (False, True)), ("without_contacts", (True, False)), ("full", (True, True)))))
 def arm_ablation(spark, sf_dir):
     out = None
     for arm, (types, checked) in ARMS.items():
-        part = evaluation.prf(evaluation.confusion(*_gold_and_found(spark, sf_dir, types, checked))).select(F.lit(arm).alias("arm"), "*")
+        part = evaluation.prf(evaluation.confusion(*_hard(spark, sf_dir, types, checked))).select(F.lit(arm).alias("arm"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -141,7 +182,13 @@ def omitted_entity_types(spark, sf_dir):
     return everything.join(covered, "entity_type", "left_anti")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey AS k, list({'s': (l_partkey % 40)::INT, 'e': (l_partkey % 40 + 1 + l_suppkey % 25)::INT, 't': l_suppkey % 11, 'tier': CASE WHEN l_suppkey % 11 < 8 THEN 1 ELSE 2 END}
+            ORDER BY CASE WHEN l_suppkey % 11 < 8 THEN 1 ELSE 2 END, -(1 + l_suppkey % 25), l_suppkey % 11, l_linenumber, l_partkey % 40) AS x FROM lineitem GROUP BY l_orderkey),
+          r(k, n, taken) AS (SELECT k, 0, list_filter(x, lambda a: false) FROM c UNION ALL
+            SELECT r.k, n + 1, CASE WHEN len(list_filter(taken, lambda a: a.s < x[n + 1].e AND x[n + 1].s < a.e)) > 0 THEN taken ELSE list_append(taken, x[n + 1]) END
+            FROM r JOIN c ON c.k = r.k WHERE n < len(x))
+          SELECT k AS l_orderkey, s.s AS start, s.e AS "end", ['AADHAAR', 'CARD', 'PAN', 'IFSC', 'UPI', 'VEHICLE_REG', 'EMAIL', 'PHONE', 'PERSON', 'ORG', 'ADDRESS'][s.t + 1] AS entity_type, s.tier AS tier
+          FROM (SELECT r.k, unnest(taken) AS s FROM r JOIN c ON c.k = r.k WHERE n = len(x))""")
 def resolve_overlaps(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     start = (F.col("l_partkey") % 40).cast("int")
@@ -315,13 +362,90 @@ def walk_regions(spark, sf_dir):
     return region.groupBy("session_id").agg(F.count("*").alias("n_regions"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
-@query("SELECT conv_id::VARCHAR AS session_id, 1::INT AS applied, 1::INT AS unmatched FROM conversations GROUP BY conv_id")
+_BODY_TEXT = """SELECT conv_id::VARCHAR AS session_id, 1::INT AS applied, 1::INT AS unmatched, coalesce(string_agg(CASE WHEN n = 1 THEN 'changed' ELSE text END, chr(10) ORDER BY n), '') AS content
+  FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) GROUP BY conv_id"""
+
+
+def _contents(body):
+    return F.array_join(F.from_json(F.get_json_object(body, "$.messages"), "array<struct<role:string,content:string>>")["content"], "\n")
+
+
+@query(_BODY_TEXT)
 def rebuild_bodies(spark, sf_dir):
     path = lambda *parts: F.array(*[F.struct(F.lit(p if isinstance(p, str) else None).cast("string").alias("key"),
                                              F.lit(p if isinstance(p, int) else None).cast("int").alias("idx")) for p in parts])
     change = F.array(F.struct(path("messages", 0, "content").alias("path"), F.lit("changed").alias("text")),
                      F.struct(path("messages", 0, "nothing").alias("path"), F.lit("x").alias("text")))
-    return _requests(spark, sf_dir).select("session_id", bodies.rebuild_json("body", change).alias("r")).select("session_id", "r.applied", "r.unmatched")
+    return _requests(spark, sf_dir).select("session_id", bodies.rebuild_json("body", change).alias("r")).select(
+        "session_id", "r.applied", "r.unmatched", _contents(F.col("r.body")).alias("content"))
+
+
+def _marked_requests(spark, sf_dir):
+    """Bodies of all conversations: a PAN in every message, an e-mail address in the first one of every seventh."""
+    key = F.col("conv_id") * 100 + F.col("turn")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), evaluation.entity_values(key)["PAN"], F.lit("]"),
+                    F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 0), " a@mail.example.com").otherwise(""))
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", said.alias("content"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+    body = F.to_json(F.struct(F.lit("demo").alias("model"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    return whole.select(F.col("conv_id").cast("string").alias("session_id"), F.lit(0).alias("request_seq"), body.alias("body"))
+
+
+_PAN_SQL = """chr((65 + k % 26)::INT) || chr((65 + (k + 7) % 26)::INT) || 'XP' || chr((65 + k % 7)::INT) || lpad((k % 10000)::VARCHAR, 4, '0') || chr((65 + k % 11)::INT)"""
+_MARKED_SQL = f"SELECT conv_id, turn, role, coalesce(text, '') || ' [' || {_PAN_SQL} || ']' AS content FROM (SELECT *, conv_id * 100 + turn AS k FROM conversations WHERE conv_id IS NOT NULL)"
+
+
+@query("""SELECT conv_id::VARCHAR AS session_id, CASE WHEN conv_id % 7 = 3 AND bool_or(turn = 0) THEN 'surrogate_domain:EMAIL' ELSE 'ok' END AS status,
+          CASE WHEN NOT (conv_id % 7 = 3 AND bool_or(turn = 0)) THEN sum(length(coalesce(text, '')) + 13) + count(*) - 1 END::BIGINT AS n_chars,
+          CASE WHEN NOT (conv_id % 7 = 3 AND bool_or(turn = 0)) THEN 0 END::BIGINT AS n_left FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id""")
+def sanitize_conversations(spark, sf_dir):
+    requests = _marked_requests(spark, sf_dir)
+    out, _ = sanitize.sanitize_requests(requests, demo_key())
+    before = requests.select("session_id", F.regexp_extract_all("body", F.lit(r"\[([A-Z]{5}\d{4}[A-Z])\]"), F.lit(1)).alias("pans"))
+    left = F.size(F.filter("pans", lambda p: F.contains("body", p))).cast("long")
+    return out.join(before, "session_id").select("session_id", "status", F.length(_contents(F.col("body"))).cast("long").alias("n_chars"), F.when(F.col("body").isNotNull(), left).alias("n_left"))
+
+
+@query(f"SELECT conv_id::VARCHAR AS session_id, string_agg(content, chr(10) ORDER BY turn, role, content) AS content FROM ({_MARKED_SQL}) WHERE conv_id % 7 <> 3 GROUP BY conv_id")
+def rehydrate_conversations(spark, sf_dir):
+    sent, given = sanitize.sanitize_requests(_marked_requests(spark, sf_dir), demo_key())
+    replies = sent.where("status = 'ok'").withColumn("http_status", F.lit(200))
+    back = sanitize.rehydrate_replies(replies, sanitize.decrypt_registry(given, demo_key()))
+    return back.where("cast(session_id as bigint) % 7 != 3").select("session_id", _contents(F.col("body")).alias("content"))
+
+
+@query("""SELECT o_orderkey AS seq, 'real ' || o_custkey AS text, 'ok' AS status FROM orders""")
+def sanitize_two_batches(spark, sf_dir):
+    """Names of two batches of the same sessions, restored; a name that two people shared would not come back."""
+    orders = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 400).cast("string").alias("session_id"), F.col("o_orderkey").alias("seq"),
+                                                   F.concat(F.lit("real "), "o_custkey").alias("text"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("PERSON").alias("entity_type"), F.lit(2).alias("tier"), F.lit(8).alias("det_idx"), F.lit(0).alias("emit_pos")))
+    model = F.struct(whole.alias("spans"), F.lit(None).cast("string").alias("error"))  # a model that takes each text for a name
+    first, given = sanitize.sanitize(orders.where("seq % 2 = 0"), demo_key(), model)
+    given = written(given, "registry")
+    second, more = sanitize.sanitize(orders.where("seq % 2 = 1"), demo_key(), model, given)
+    back = sanitize.rehydrate(first.unionByName(second), given.unionByName(more), "sanitized")
+    return back.select("seq", F.col("rehydrated").alias("text"), "status")
+
+
+@query("""SELECT mode, status, count(*) AS n, sum(changed)::BIGINT AS n_changed FROM (SELECT mode, CASE WHEN mode = 'closed' AND c_custkey % 3 = 0 THEN 'model_failed:RuntimeError' ELSE 'ok' END AS status,
+          CASE WHEN mode = 'closed' AND c_custkey % 3 = 0 THEN 0 ELSE 1 END AS changed FROM customer, (VALUES ('open'), ('closed')) m(mode)) GROUP BY ALL""")
+def detect_fail_modes(spark, sf_dir):
+    """A model that fails on every third text: ``open`` goes on with the patterns, ``closed`` refuses the text."""
+    def predict(text):
+        if text.startswith("fail"):
+            raise RuntimeError
+        return []
+
+    k = F.col("c_custkey")
+    texts = table(spark, sf_dir, "customer").select((k % 40).cast("string").alias("session_id"), k.alias("seq"), F.concat(
+        F.when(k % 3 == 0, "fail ").otherwise("fine "), evaluation.entity_values(k)["PAN"]).alias("text"))
+    out = None
+    for mode in ("open", "closed"):
+        clean, _ = sanitize.sanitize(texts, demo_key(), detect.model_spans(predict, mode)("text"))
+        part = clean.select(F.lit(mode).alias("mode"), "status", F.coalesce((F.col("sanitized") != F.col("text")).cast("long"), F.lit(0)).alias("changed"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("mode", "status").agg(F.count("*").alias("n"), F.sum("changed").alias("n_changed"))
 
 
 @query("""SELECT conv_id::VARCHAR AS session_id, role, count(*) AS n FROM conversations WHERE role IN ('system', 'user', 'assistant', 'tool', 'function') GROUP BY ALL""")
@@ -344,33 +468,105 @@ def sse_frame_batch(spark, sf_dir):
     return events.groupBy("stream_id").agg(F.count("*").alias("n_events"), F.sum(F.length("content")).cast("long").alias("n_chars"))
 
 
+_REPLY_SQL = """SELECT conv_id::VARCHAR AS stream_id, string_agg('Dear Real #' || conv_id || ', ' || text, '' ORDER BY turn, text) AS content, {status} AS status
+  FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id"""
+
+
+def _reply_chunks(spark, sf_dir, done: bool):
+    """Replies as streams cut inside lines, events and names; every session uses one surrogate for another person."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null and conv_id is not null")
+    stream = F.col("conv_id").cast("string").alias("stream_id")
+    n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    content = F.concat(F.lit("Dear Arjan Balberg, "), "text")
+    data = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("delta"))).alias("choices"))), F.lit("\r\n\r\n"))
+    cut = turns.select(stream, n.alias("t"), data.alias("data")).select("stream_id", "t", F.posexplode(split_into_n(F.col("data"), 4)).alias("i", "chunk"))
+    chunk = cut.select("stream_id", F.col("stream_id").alias("session_id"), (F.col("t") * 4 + F.col("i")).cast("long").alias("chunk_seq"), "chunk", F.lit(False).alias("is_last"))
+    end = turns.groupBy(stream).agg((F.count("*") * 4).alias("chunk_seq"))
+    end = end.select("stream_id", F.col("stream_id").alias("session_id"), "chunk_seq", F.lit("data: [DONE]\n\n" if done else ": lost\n").alias("chunk"), F.lit(True).alias("is_last"))
+    known = end.select("session_id", F.lit("Arjan Balberg").alias("surrogate"), F.lit("PERSON").alias("entity_type"), F.concat(F.lit("Real #"), "session_id").alias("original"))
+    return chunk.unionByName(end), known
+
+
+def _read_back(events):
+    """(stream_id, content, status) of written events."""
+    rows = events.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("out_seq", "payload", "status"))).alias("e"))
+    texts = F.transform("e", lambda x: F.coalesce(F.get_json_object(F.substring(x["payload"], F.lit(7), F.length(x["payload"])), "$.choices[0].delta.content"), F.lit("")))
+    last = F.element_at("e", -1)
+    ended = F.when(last["payload"] == "data: [DONE]\n\n", last["status"]).otherwise("no end")
+    return rows.select("stream_id", F.array_join(texts, "").alias("content"), ended.alias("status"))
+
+
+@query(_REPLY_SQL.format(status="'ok'"))
+def sse_out(spark, sf_dir):
+    chunks, known = _reply_chunks(spark, sf_dir, True)
+    return _read_back(sse.reply_events(chunks, known, 40))
+
+
+@query(_REPLY_SQL.format(status="'no_done'"))
+def sse_broken_off(spark, sf_dir):
+    chunks, known = _reply_chunks(spark, sf_dir, False)
+    return _read_back(sse.reply_events(chunks, known, 40))
+
+
+@query(_REPLY_SQL.format(status="'ok'"))
+def window_stream_equiv(spark, sf_dir):
+    """:func:`sse_out` as a stream, its state kept over micro-batches; the result is read from its sink."""
+    chunks, known = _reply_chunks(spark, sf_dir, True)
+    folder = f"{shared_dir(spark)}/sparkveil-window-{uuid.uuid4().hex}"
+    chunks.repartition(2).write.json(f"{folder}/in")
+    source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
+    run = sse.reply_stream(source, known, 40).writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _read_back(spark.read.schema(sse.REPLY_ROWS).parquet(f"{folder}/out"))
+
+
 # ---------------------------------------------------------------- bypasses, echoes, latency
 
-@query()
+#: How many types every class has a form of, and how many of these are caught: all clean ones, names in any script that the
+#: model knows, and phones in code, whose pattern takes an underscore for a boundary.
+_CLASSES = ", ".join(f"('{c}', {len(t)}, {len(t) if c in ('clean', 'transliterated_names') else int(c == 'pii_in_code')})" for c, t in evaluation.CLASS_TYPES.items())
+
+
+@query(f"""SELECT bypass_class, CASE bypass_class WHEN 'clean' THEN 'clean' ELSE 'adversarial' END AS label, (n * hit)::BIGINT AS caught, (n * types)::BIGINT AS total, hit / types AS recall
+           FROM (SELECT count(*) AS n FROM customer), (VALUES {_CLASSES}) c(bypass_class, types, hit)""")
 def adversarial_recall(spark, sf_dir):
     prefix, suffix = "Value ", " was sent."
-    values = evaluation.entity_values(F.col("c_custkey"))
+    names = evaluation.NAME_PAIRS
+    k = F.col("c_custkey")
+    values = evaluation.entity_values(k) | {"PERSON": F.get(F.lit([n for n, _ in names]), (k % len(names)).cast("int"))}
     typed = F.array(*[F.struct(F.lit(t).alias("of_type"), values[t].alias("v")) for t in evaluation.CLASS_TYPES["clean"]])
     keys = table(spark, sf_dir, "customer").select("c_custkey", F.explode(typed).alias("t")).select("c_custkey", "t.*")
-    forms = {"clean": F.col("v"), **evaluation.obfuscations(F.col("v"))}
-    case = keys.select("c_custkey", "of_type", F.explode(F.array(*[F.struct(F.lit(n).alias("bypass_class"), F.when(
-        F.col("of_type").isin(*evaluation.CLASS_TYPES[n]), c).alias("sent")) for n, c in forms.items()])).alias("c")).select("c_custkey", "of_type", "c.*").where("sent is not null")
+    forms = {"clean": F.col("v"), **evaluation.obfuscations(F.col("v"), F.col("of_type"))}
+    case = keys.select("c_custkey", "of_type", "v", F.explode(F.array(*[F.struct(F.lit(n).alias("bypass_class"), F.when(
+        F.col("of_type").isin(*evaluation.CLASS_TYPES[n]), c).alias("sent")) for n, c in forms.items()])).alias("c")).select("c_custkey", "of_type", "v", "c.*").where("sent is not null")
     texts = case.withColumn("text", F.concat(F.lit(prefix), "sent", F.lit(suffix))).withColumn(
         "session_id", F.concat_ws(":", "c_custkey", "of_type")).withColumn("seq", F.hash("bypass_class").cast("long"))
-    out, _ = sanitize.sanitize(texts, demo_key())
+    model = detect.model_spans(detect.gazetteer_model({"PERSON": [n for pair in names for n in pair]}), "closed")
+    out, _ = sanitize.sanitize(texts, demo_key(), model("text"))
+    body = F.when(F.col("status") == "ok", F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("sanitized").alias("content"))).alias("messages"))))
+    outcome = evaluation.slot_outcome(body, "$.messages[0].content", prefix, suffix, F.col("v"), F.col("sent"))
     label = F.when(F.col("bypass_class") == "clean", "clean").otherwise("adversarial")
-    sanitized = F.coalesce("sanitized", F.lit(""))
-    return evaluation.recall_by_class(out.withColumn("label", label).withColumn(
-        "caught", evaluation.caught(F.col("sent"), F.col("sent"), sanitized, prefix, suffix)))
+    return evaluation.recall_by_class(out.withColumn("label", label).withColumn("caught", evaluation.caught(outcome)))
+
 
+_CARD_SQL = "'4' || lpad(((c_custkey * 104729 + 7919) % 100000000000000)::VARCHAR, 14, '0')"
+_WORDS_SQL = "['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine']"
 
-@query("""SELECT c_custkey, rtrim(regexp_replace(v, '(.{4})', '\\1 ', 'g')) AS spaced_digits, to_base64(encode(v)) AS base64_encoding,
-          array_to_string(string_split(v, ''), chr(8203)) AS zero_width, 'user_' || v || '_row' AS pii_in_code
-          FROM (SELECT c_custkey, '4' || lpad(((c_custkey * 104729 + 7919) % 100000000000000)::VARCHAR, 14, '0') AS v FROM customer)""".replace("\\\\", "\\"))
+
+@query(f"""SELECT c_custkey, rtrim(regexp_replace(v, '(.{{4}})', '\\1 ', 'g')) AS spaced_digits, to_base64(encode(v)) AS base64_encoding,
+          array_to_string(string_split(v, ''), chr(8203)) AS zero_width, 'user_' || v || '_row' AS pii_in_code,
+          array_to_string(list_transform(string_split(v, ''), lambda c: {_WORDS_SQL}[c::INT + 1]), ' ') AS number_words,
+          chr(1040) || substr(p, 2) AS homoglyphs_pan, chr(1053) || substr(i, 2) AS homoglyphs_ifsc
+          FROM (SELECT c_custkey, v || ((10 - list_sum(list_transform(range(0, 15), lambda i: CASE WHEN i % 2 = 0 THEN (substr(v, 15 - i, 1)::INT * 2) // 10 + (substr(v, 15 - i, 1)::INT * 2) % 10
+            ELSE substr(v, 15 - i, 1)::INT END)) % 10) % 10)::INT AS v, {_PAN_SQL} AS p, 'HDFC0' || lpad((k % 1000000)::VARCHAR, 6, '0') AS i
+          FROM (SELECT c_custkey, c_custkey AS k, {_CARD_SQL} AS v FROM customer))""")
 def obfuscate_values(spark, sf_dir):
-    df = table(spark, sf_dir, "customer").select("c_custkey", F.substring(evaluation.entity_values(F.col("c_custkey"))["CARD"], 1, 15).alias("v"))
-    forms = evaluation.obfuscations(F.col("v"))
-    return df.select("c_custkey", *[forms[n].alias(n) for n in ("spaced_digits", "base64_encoding", "zero_width", "pii_in_code")])
+    values = evaluation.entity_values(F.col("c_custkey"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", *[values[t].alias(t) for t in ("CARD", "PAN", "IFSC")])
+    forms = evaluation.obfuscations(F.col("CARD"))
+    letters = {t: evaluation.obfuscations(F.col(t), F.lit(t))["homoglyphs"].alias(f"homoglyphs_{t.lower()}") for t in ("PAN", "IFSC")}
+    return df.select("c_custkey", *[forms[n].alias(n) for n in ("spaced_digits", "base64_encoding", "zero_width", "pii_in_code", "number_words")], *letters.values())
 
 
 @query("""SELECT category, 5112::BIGINT AS total, CASE WHEN category IN ('exact', 'decorated') THEN 5112 ELSE 0 END::BIGINT AS hits
@@ -412,37 +608,101 @@ def window_tax(spark, sf_dir):
 # ---------------------------------------------------------------- logs, labels, replies, sinks
 
 def _log_lines(spark, sf_dir):
-    event = F.when(F.col("event_id") % 2 == 0, "first_chunk").otherwise("first_release")
-    row = F.to_json(F.struct(F.when(F.col("event_id") % 5 == 0, "other").otherwise("gateway").alias("logger"), event.alias("event"),
-                             F.floor(F.col("event_id") / 4).cast("string").alias("correlation_id"), (F.col("event_id") * 1.5).alias("timestamp_ms"),
-                             F.col("value").alias("latency_ms"), (F.col("event_id") % 2 + 1).cast("int").alias("tier")))
-    return table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, "plain noise {").otherwise(row).alias("value"))
+    """Log lines of the events; line numbers run against the time stamps, so the last line is not the latest time."""
+    e = F.col("event_id")
+    event = F.get(F.lit([evaluation.FIRST_CHUNK, evaluation.FIRST_RELEASE, evaluation.SPAN_SANITIZED]), (e % 3).cast("int"))
+    row = F.to_json(F.struct(F.when(e % 5 == 0, "other").otherwise("gateway").alias("logger"), event.alias("event"),
+                             F.floor(e / 12).cast("string").alias("correlation_id"), (e * 1.5).alias("timestamp_ms"),
+                             F.col("value").alias("latency_ms"), (e % 2 + 1).cast("int").alias("tier")))
+    return table(spark, sf_dir, "events").select((-e).alias("line_no"), F.when(e % 7 == 0, "plain noise {").otherwise(row).alias("value"))
+
 
+_LOG_SQL = "SELECT event_id, event_id // 12 AS r, event_id % 3 AS kind FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0"
 
-@query("""SELECT CASE event_id % 2 WHEN 0 THEN 'first_chunk' ELSE 'first_release' END AS event, count(*) AS n, sum(event_id * 1.5)::DOUBLE AS total_ms FROM events
-          WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 GROUP BY 1""")
+
+@query(f"""SELECT ['latency.upstream_first_chunk', 'latency.window_first_release', 'pipeline.span_sanitized'][kind + 1] AS event, count(*) AS n, sum(event_id * 1.5)::DOUBLE AS total_ms FROM ({_LOG_SQL}) GROUP BY kind""")
 def gateway_log_scan(spark, sf_dir):
     return bodies.gateway_log(_log_lines(spark, sf_dir)).groupBy("event").agg(F.count("*").alias("n"), F.sum("timestamp_ms").alias("total_ms"))
 
 
-@query("""WITH g AS (SELECT (event_id // 4)::VARCHAR AS correlation_id, event_id, event_id % 2 AS kind FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0),
-          x AS (SELECT correlation_id, max(CASE WHEN kind = 0 THEN event_id * 1.5 END) AS a, max(CASE WHEN kind = 1 THEN event_id * 1.5 END) AS b, bool_or(kind = 0) AS t1, bool_or(kind = 1) AS t2 FROM g GROUP BY ALL),
-          c AS (SELECT DISTINCT (event_id // 4)::VARCHAR AS correlation_id FROM events)
-          SELECT correlation_id, (b - a)::DOUBLE AS window_ms, CASE WHEN t1 AND t2 THEN 'both' WHEN t1 THEN 'tier1_only' WHEN t2 THEN 'tier2_only' ELSE 'neither' END AS tier_class FROM c LEFT JOIN x USING (correlation_id)""")
+@query(f"""WITH x AS (SELECT r, min(CASE WHEN kind = 0 THEN event_id * 1.5 END) AS a, min(CASE WHEN kind = 1 THEN event_id * 1.5 END) AS b,
+          bool_or(kind = 2 AND event_id % 2 = 0) AS t1, bool_or(kind = 2 AND event_id % 2 = 1) AS t2 FROM ({_LOG_SQL}) GROUP BY r),
+          c AS (SELECT DISTINCT event_id // 12 AS r FROM events)
+          SELECT c.r::VARCHAR AS correlation_id, (b - a)::DOUBLE AS window_ms, CASE WHEN t1 AND t2 THEN 'both' WHEN t1 THEN 'tier1_only' WHEN t2 THEN 'tier2_only' ELSE 'neither' END AS tier_class FROM c LEFT JOIN x ON c.r = x.r""")
 def request_log_join(spark, sf_dir):
-    client = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).cast("string").alias("correlation_id")).distinct()
+    client = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 12).cast("string").alias("correlation_id")).distinct()
     index = evaluation.log_index(bodies.gateway_log(_log_lines(spark, sf_dir)))
     joined = client.join(index, "correlation_id", "left")
     tiers = F.coalesce("tiers", F.array().cast("array<int>"))
     return joined.select("correlation_id", (F.col("release_ms") - F.col("chunk_ms")).alias("window_ms"), evaluation.tier_class(tiers).alias("tier_class"))
 
 
-@query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'timeout' WHEN event_id % 17 = 0 THEN 'error' ELSE 'success' END AS outcome FROM events) GROUP BY outcome""")
+@query(f"""SELECT value AS latency_ms FROM events WHERE event_id = (SELECT max(event_id) FROM ({_LOG_SQL}) WHERE kind = 0 AND r = 3)""")
+def first_logged_latency(spark, sf_dir):
+    return evaluation.first_latency(bodies.gateway_log(_log_lines(spark, sf_dir)), evaluation.FIRST_CHUNK, "3")
+
+
+_OUTCOME_SQL = "CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'timeout' WHEN event_id % 17 = 0 THEN 'error' ELSE 'success' END"
+
+
+def _outcome():
+    e = F.col("event_id")
+    return evaluation.request_outcome(F.when(e % 13 == 0, 504).otherwise(200), F.when(e % 13 == 0, '{ "error" : "upstream request timed out" }').otherwise("{}"), e % 11 == 0, e % 17 == 0)
+
+
+@query(f"SELECT outcome, count(*) AS n FROM (SELECT {_OUTCOME_SQL} AS outcome FROM events) GROUP BY outcome")
 def request_outcomes(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(_outcome().alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT workload, concurrency, count(*) AS attempted, count_if(outcome = 'timeout') AS timeouts, count_if(outcome = 'error') AS errors, count_if(outcome = 'success') AS n,
+          round(avg(v), 6) AS mean, round(quantile_cont(v, 0.95), 6) AS p95, round(CASE WHEN count(v) = 1 THEN 0 ELSE stddev_samp(v) END, 6) AS stdev FROM (SELECT *, CASE WHEN outcome = 'success' THEN value END AS v FROM
+          (SELECT event_type AS workload, event_id % 4 AS concurrency, value, {_OUTCOME_SQL} AS outcome, row_number() OVER (PARTITION BY event_type, event_id % 4 ORDER BY event_id) - 1 AS seq FROM events)
+          WHERE seq >= 10) GROUP BY ALL""")
+def latency_cells(spark, sf_dir):
+    seq = F.row_number().over(W.partitionBy("workload", "concurrency").orderBy("event_id")) - 1
+    requests = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("workload"), (F.col("event_id") % 4).alias("concurrency"), "value", _outcome().alias("outcome")).withColumn("seq", seq)
+    out = evaluation.cells(requests, ["workload", "concurrency"], "value", 10)
+    return out.select("workload", "concurrency", "attempted", "timeouts", "errors", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "stdev")])
+
+
+@query("""SELECT workload, tier_class, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(coalesce(stddev_samp(value), 0) / avg(value), 6) AS cv FROM (SELECT event_type AS workload, value,
+          CASE event_id % 3 WHEN 0 THEN 'tier1_only' WHEN 1 THEN 'tier2_only' ELSE 'neither' END AS tier_class FROM events) GROUP BY ALL""")
+def latency_by_tier(spark, sf_dir):
     e = F.col("event_id")
-    status = F.when(e % 13 == 0, 504).otherwise(200)
-    outcome = evaluation.request_outcome(status, F.when(e % 13 == 0, '{"detail":"upstream timeout"}').otherwise("{}"), e % 11 == 0, e % 17 == 0)
-    return table(spark, sf_dir, "events").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    tiers = F.when(e % 3 == 0, F.array(F.lit(1))).when(e % 3 == 1, F.array(F.lit(2))).otherwise(F.array().cast("array<int>"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("workload"), evaluation.tier_class(tiers).alias("tier_class"), "value")
+    out = evaluation.stats(rows, ["workload", "tier_class"], "value")
+    return out.select("workload", "tier_class", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "cv")])
+
+
+@query("SELECT event_id, epoch_us(ts) / 1000 AS ms FROM events")
+def epoch_millis(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", evaluation.epoch_ms(F.col("ts")).alias("ms"))
+
+
+@query("SELECT c_custkey, lower(sha256('secret ' || c_custkey)) AS key FROM customer")
+def derived_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.hex(key_of(F.concat(F.lit("secret "), "c_custkey")))).alias("key"))
+
+
+@query("SELECT * FROM (VALUES ('baseline_clean', 1), ('tier1_only', 1), ('tier2_only', 1), ('mixed_dense', 1), ('multiturn_5', 5), ('field_walker_heavy', 4), ('pathological_chunking', 1), ('long_response', 1)) w(workload, messages)")
+def workloads(spark, sf_dir):
+    return evaluation.workloads_frame(spark).select("workload", "messages")
+
+
+@query(f"SELECT c_custkey, found = 'PHONE' AS wins FROM ({_AS_12})")
+def phone_wins(spark, sf_dir):
+    value = F.substring(evaluation.entity_values(F.col("c_custkey"))["PHONE"], 2, 12)
+    return table(spark, sf_dir, "customer").where("c_custkey % 8 = 6").select("c_custkey", detect.only_type(value, "PHONE").alias("wins"))
+
+
+@query("""SELECT c_custkey AS case_id, c_custkey % 4 = 0 AS caught FROM customer WHERE c_custkey % 5 <> 0 AND (c_custkey % 4 = 0) <> (c_custkey % 2 = 0) ORDER BY c_custkey""")
+def bypass_mismatches(spark, sf_dir):
+    k = F.col("c_custkey")
+    cases = table(spark, sf_dir, "customer").select(k.alias("case_id"), (k % 4 == 0).alias("caught"), F.when(k % 5 != 0, k % 2 == 0).alias("predicted_caught"))
+    found = evaluation.discovered(cases.where("case_id % 3 = 0"), cases.where("case_id % 3 != 0"))
+    return evaluation.mismatches(found).select("case_id", "caught")
 
 
 @query("""SELECT label, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'CARD' WHEN 1 THEN 'EMAIL' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'PERSON' WHEN 4 THEN 'PAN' END AS label FROM events)
@@ -453,12 +713,6 @@ def label_map(spark, sf_dir):
     return found.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT conv_id, arg_max(coalesce(text, ''), turn) AS content, sum(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')))::INT AS prompt_words FROM conversations GROUP BY conv_id""")
-def echo_upstream(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("content")))).alias("m"))
-    return turns.select("conv_id", evaluation.echo_reply(F.col("m")).alias("r")).select("conv_id", "r.content", "r.prompt_words")
-
-
 @query("""SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
 def jsonl_rows(spark, sf_dir):
     from sparkveil.sources import sinks

@@ -88,36 +88,79 @@ def prf(counts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- bypass transforms and verifiers
 
-#: Number words, and letters that look like the first letter of a value.
+#: Number words, and the look-alike that takes the place of the first letter, by type.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-HOMOGLYPHS = {"A": "А", "H": "Н"}
+HOMOGLYPHS = {"PAN": "\u0410", "IFSC": "\u041d"}
 _DIGITS, _LETTER_FIRST = ("AADHAAR", "CARD", "PHONE"), ("PAN", "IFSC", "VEHICLE_REG")
 #: Types that each class of :func:`obfuscations` has a form of. UPI and EMAIL have no surrogate: their texts are refused, clean or not.
 CLASS_TYPES = {
-    "clean": _DIGITS + _LETTER_FIRST, "spaced_digits": _DIGITS, "number_words": _DIGITS, "base64_encoding": _DIGITS + _LETTER_FIRST,
-    "homoglyphs": _LETTER_FIRST, "zero_width": _DIGITS + _LETTER_FIRST, "pii_in_code": _DIGITS + _LETTER_FIRST,
+    "clean": _DIGITS + _LETTER_FIRST + ("PERSON",), "spaced_digits": _DIGITS, "number_words": _DIGITS, "base64_encoding": _DIGITS + _LETTER_FIRST,
+    "homoglyphs": tuple(HOMOGLYPHS), "zero_width": _DIGITS + _LETTER_FIRST, "pii_in_code": _DIGITS + _LETTER_FIRST, "transliterated_names": ("PERSON",),
 }
+#: Names of the bypass cases in two scripts.
+NAME_PAIRS = (("Arjun Mehta", "अर्जुन मेहता"), ("Neha Gupta", "नेहा गुप्ता"))
 
 
-def obfuscations(value: Column) -> dict[str, Column]:
-    """The forms that hide a value from pattern detectors, by class."""
-    signs = F.split(value, "")
+def obfuscations(value: Column, entity_type: Column | None = None) -> dict[str, Column]:
+    """The forms that hide a value from pattern detectors, by class; ``homoglyphs`` and ``transliterated_names`` need the type."""
+    signs = F.filter(F.split(value, ""), lambda c: c != "")
     word = F.lit(list(NUMBER_WORDS))
-    return {
+    forms = {
         "spaced_digits": F.regexp_replace(value, "(.{4})(?=.)", "$1 "),
-        "number_words": F.array_join(F.transform(F.filter(signs, lambda c: c != ""), lambda c: F.coalesce(F.get(word, F.when(c.between("0", "9"), c.cast("int"))), c)), " "),
+        "number_words": F.array_join(F.transform(F.filter(signs, lambda c: c.between("0", "9")), lambda c: F.get(word, c.cast("int"))), " "),
         "base64_encoding": F.base64(value.cast("binary")),
-        # another first letter gets that of A: no pattern takes a letter beyond ASCII
-        "homoglyphs": F.regexp_replace(F.regexp_replace(value, "^H", HOMOGLYPHS["H"]), "^[A-Z]", HOMOGLYPHS["A"]),
-        "zero_width": F.array_join(F.filter(signs, lambda c: c != ""), "\u200b"),
+        "zero_width": F.array_join(signs, "\u200b"),
         "pii_in_code": F.concat(F.lit("user_"), value, F.lit("_row")),
     }
+    if entity_type is not None:
+        letter, other = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for t, sign in HOMOGLYPHS.items():
+            letter = F.when(entity_type == t, sign).otherwise(letter)
+        for latin, script in NAME_PAIRS:
+            other = F.when(value == latin, script).otherwise(other)
+        forms |= {"homoglyphs": F.overlay(value, letter, F.lit(1), F.lit(1)), "transliterated_names": other}
+    return forms
+
+
+def slot_outcome(body: Column, path: str, prefix: str, suffix: str, real: Column, sent: Column) -> Column:
+    """struct<decoded, original_absent, replacement_present> of a body that was sent on.
+
+    ``real`` must be absent from the whole body; the field at the JSON ``path``
+    must keep ``prefix`` and ``suffix``, with something else than ``sent``
+    between. A null body, a body that is no JSON, and a missing field fail.
+    """
+    decoded = F.coalesce(F.try_parse_json(body).isNotNull(), F.lit(False))
+    field = F.get_json_object(body, path)
+    middle = F.substring(field, F.lit(len(prefix) + 1), F.length(field) - len(prefix) - len(suffix))
+    replaced = field.startswith(prefix) & field.endswith(suffix) & (F.length(field) > len(prefix) + len(suffix)) & (middle != sent)
+    return F.struct(decoded.alias("decoded"), (decoded & (F.instr(body, real) == 0)).alias("original_absent"),
+                    (decoded & F.coalesce(replaced, F.lit(False))).alias("replacement_present"))
+
+
+def caught(outcome: Column) -> Column:
+    """Whether a bypass failed: the value is gone and something stands in its place."""
+    return outcome["decoded"] & outcome["original_absent"] & outcome["replacement_present"]
+
+
+def still_working(recall: DataFrame) -> DataFrame:
+    """The adversarial classes that let any value through, worst first."""
+    return recall.where("label = 'adversarial' and caught < total").orderBy("recall", "bypass_class")
 
 
-def caught(sent: Column, original: Column, sanitized: Column, prefix: str, suffix: str) -> Column:
-    """Whether a value is gone from the whole text, its surroundings are intact, and something else stands there."""
-    middle = F.substring(sanitized, F.lit(len(prefix) + 1), F.length(sanitized) - len(prefix) - len(suffix))
-    return (F.instr(sanitized, original) == 0) & sanitized.startswith(prefix) & sanitized.endswith(suffix) & (middle != "") & (middle != sent)
+def mismatches(cases: DataFrame) -> DataFrame:
+    """Cases whose outcome is not the predicted one (null predictions are none), by case id."""
+    return cases.where("predicted_caught is not null and predicted_caught != caught").orderBy("case_id")
+
+
+def discovered(*parts: DataFrame) -> DataFrame:
+    """All cases (case_id, ...) of several builders, ordered by id; an id that occurs twice is an error."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    count = out.groupBy("case_id").agg(F.count("*").alias("_n"))
+    unique = F.when(F.col("_n") == 1, F.col("case_id")).otherwise(F.raise_error(F.concat(F.lit("case id occurs twice: "), F.col("case_id").cast("string"))))
+    names = [c for c in out.columns if c != "case_id"]
+    return out.join(count, "case_id").select(unique.alias("case_id"), *names).orderBy("case_id")
 
 
 def recall_by_class(cases: DataFrame) -> DataFrame:
@@ -129,7 +172,7 @@ def recall_by_class(cases: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- echo forms
 
-#: Latin letters to a phonetic stand-in of one other script.
+#: Latin letters and a phonetic stand-in of another script.
 _SCRIPT = ("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстувшкыз")
 
 
@@ -140,7 +183,7 @@ def echo_forms(surrogate: Column) -> dict[str, Column]:
         "exact": surrogate, "decorated": F.concat(F.lit("**"), surrogate, F.lit("**")), "case_shifted": F.upper(surrogate), "partial": first,
         "abbreviated": F.concat(F.substring(surrogate, 1, 1), F.lit(". "), last),
         "transliterated": F.translate(F.lower(surrogate), *_SCRIPT),
-        "reasoned_about": F.concat(F.lit("The name starts with the letter "), F.substring(surrogate, 1, 1), F.lit(".")),
+        "reasoned_about": F.concat(F.lit("I was given someone whose initial is "), F.substring(surrogate, 1, 1), F.lit("?")),
     }
 
 
@@ -167,20 +210,92 @@ def window_tax(with_window: Column, without: Column) -> Column:
     return F.when(without > 0, (with_window - without) / without * 100)
 
 
+#: Events of the gateway log, and the body of its upstream timeout.
+FIRST_CHUNK, FIRST_RELEASE, SPAN_SANITIZED = "latency.upstream_first_chunk", "latency.window_first_release", "pipeline.span_sanitized"
+UPSTREAM_TIMEOUT = {"error": "upstream request timed out"}
+
+
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp, with fractions."""
+    return F.unix_micros(ts.cast("timestamp")) / 1000
+
+
 def log_index(log: DataFrame) -> DataFrame:
-    """One row per correlation_id: last first_chunk and first_release times, tiers seen."""
-    last = lambda event: F.max(F.when(F.col("event") == event, F.col("timestamp_ms")))
-    return log.groupBy("correlation_id").agg(last("first_chunk").alias("chunk_ms"), last("first_release").alias("release_ms"),
-                                             F.collect_set("tier").alias("tiers"))
+    """One row per correlation_id of (line_no, event, correlation_id, timestamp_ms, tier): chunk_ms and release_ms of the last line of each event, tiers of sanitised spans."""
+    last = lambda event: F.max_by("timestamp_ms", F.when((F.col("event") == event) & F.col("timestamp_ms").isNotNull(), F.col("line_no")))
+    return log.where("correlation_id is not null").groupBy("correlation_id").agg(
+        last(FIRST_CHUNK).alias("chunk_ms"), last(FIRST_RELEASE).alias("release_ms"),
+        F.collect_set(F.when(F.col("event") == SPAN_SANITIZED, F.col("tier"))).alias("tiers"))
+
+
+def first_latency(log: DataFrame, event: str, correlation_id: str) -> DataFrame:
+    """(latency_ms) of the first line of an event and id; null without one."""
+    return log.where((F.col("event") == event) & (F.col("correlation_id") == correlation_id)).agg(F.min_by("latency_ms", "line_no").alias("latency_ms"))
 
 
 def request_outcome(status: Column, body: Column, client_timeout: Column, transport_error: Column) -> Column:
     """success, timeout or error; any other reply that is not 200 is fatal."""
-    upstream = F.lit('{"detail":"upstream timeout"}')
-    return F.when(client_timeout | ((status == 504) & (body == upstream)), "timeout").when(transport_error, "error").when(
+    key, text = next(iter(UPSTREAM_TIMEOUT.items()))
+    timed_out = (status == 504) & (F.try_variant_get(F.try_parse_json(body), f"$.{key}", "string") == text) & (F.size(F.json_object_keys(body)) == 1)
+    return F.when(client_timeout | F.coalesce(timed_out, F.lit(False)), "timeout").when(transport_error, "error").when(
         status == 200, "success").otherwise(F.raise_error(F.concat(F.lit("unexpected status "), status.cast("string"))))
 
 
+def cells(requests: DataFrame, by: list[str], value: str, warmup: int = 0) -> DataFrame:
+    """Per cell: attempted, timeouts, errors and the statistics of the successes (null where there are none).
+
+    ``requests`` has seq (from 0 in its cell), outcome and the value; those with a seq below ``warmup`` are left out.
+    """
+    kept = requests.where(F.col("seq") >= warmup)
+    count = kept.groupBy(*by).agg(F.count("*").alias("attempted"), F.count_if(F.col("outcome") == "timeout").alias("timeouts"), F.count_if(F.col("outcome") == "error").alias("errors"))
+    return count.join(stats(kept.where("outcome = 'success'"), by, value), by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+#: The workloads of the latency tables: name, messages, and what they hold.
+WORKLOADS = (
+    ("baseline_clean", 1, "nothing to find"), ("tier1_only", 1, "structured values"), ("tier2_only", 1, "names"), ("mixed_dense", 1, "both"),
+    ("multiturn_5", 5, "both, over five turns"), ("field_walker_heavy", 4, "nested fields and arguments"),
+    ("pathological_chunking", 1, "a reply in single characters"), ("long_response", 1, "a long reply"),
+)
+
+
+def workloads_frame(spark: SparkSession) -> DataFrame:
+    """(workload, messages, holds)."""
+    return spark.createDataFrame(list(WORKLOADS), "workload string, messages int, holds string")
+
+
+# ---------------------------------------------------------------- hard cases
+
+
+def hard_cases(keys: DataFrame, key: str) -> DataFrame:
+    """(text_id, text, gold): one text for each key, of eight kinds that detectors get right or wrong, by key modulo 8.
+
+    0 a PAN; 1 a PAN glued into an identifier; 2 an order number that passes the
+    card check; 3 a card with a wrong digit; 4 an AADHAAR that stands twice and
+    is marked once; 5 an EMAIL with invisible characters; 6 a phone with 91 and
+    a value of another shape of vehicle; 7 nothing.
+    """
+    k = F.col(key).cast("long")
+    v = entity_values(k)
+    wrong = F.concat(F.substring(v["CARD"], 1, 15), ((F.substring(v["CARD"], 16, 1).cast("int") + 1) % 10).cast("string"))
+    hidden = F.array_join(F.filter(F.split(v["EMAIL"], ""), lambda c: c != ""), "\u200b")
+    bharat = F.concat(F.lit("22BH"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("AA"))
+    mark = lambda at, value, t: F.struct(F.lit(at).alias("start"), (at + F.length(value)).cast("int").alias("end"), F.lit(t).alias("entity_type"))
+    kinds = [
+        (F.concat(F.lit("pan "), v["PAN"]), [mark(4, v["PAN"], "PAN")]), (F.concat(F.lit("id_"), v["PAN"], F.lit("_x")), [mark(3, v["PAN"], "PAN")]),
+        (F.concat(F.lit("order "), v["CARD"]), []), (F.concat(F.lit("card "), wrong), [mark(5, wrong, "CARD")]),
+        (F.concat(v["AADHAAR"], F.lit(" "), v["AADHAAR"]), [mark(0, v["AADHAAR"], "AADHAAR")]), (F.concat(F.lit("to "), hidden), [mark(3, hidden, "EMAIL")]),
+        (F.concat(F.substring(v["PHONE"], 2, 12), F.lit(" "), bharat), [mark(0, F.substring(v["PHONE"], 2, 12), "PHONE"), mark(13, bharat, "VEHICLE_REG")]),
+        (F.lit("nothing here"), [])]
+    text, gold = F.lit(None).cast("string"), F.lit(None)
+    none = F.array().cast("array<struct<start:int,end:int,entity_type:string>>")
+    gold = none
+    for i, (made, spans) in enumerate(kinds):
+        text = F.when(k % 8 == i, made).otherwise(text)
+        gold = F.when(k % 8 == i, F.array(*spans) if spans else none).otherwise(gold)
+    return keys.select(k.alias("text_id"), text.alias("text"), gold.alias("gold"))
+
+
 def templates_frame(spark: SparkSession) -> DataFrame:
     """(template_id, text) of the carrier sentences."""
     return spark.createDataFrame(list(enumerate(TEMPLATES)), "template_id int, text string")
@@ -199,14 +314,6 @@ def own_label(label: Column) -> Column:
     return F.when(label.isin(*TYPES), label).otherwise(F.create_map(*[F.lit(x) for kv in FOREIGN_LABELS.items() for x in kv])[label])
 
 
-def echo_reply(messages: Column) -> Column:
-    """struct<content, prompt_words, reply_words>: an upstream that gives the last message back."""
-    last = F.coalesce(F.element_at(messages, -1)["content"], F.lit(""))
-    words = lambda text: F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    prompt = F.aggregate(messages, F.lit(0), lambda n, m: n + words(F.coalesce(m["content"], F.lit(""))))
-    return F.struct(last.alias("content"), prompt.alias("prompt_words"), words(last).alias("reply_words"))
-
-
 def split_value(value: Column, cut: int) -> Column:
     """A value in two turns: array of its first ``cut`` characters and the rest."""
     return F.array(F.substring(value, F.lit(1), F.lit(cut)), F.substring(value, F.lit(cut + 1), F.length(value)))

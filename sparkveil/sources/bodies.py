@@ -79,7 +79,10 @@ def _walk_batch(bodies: pd.Series) -> pd.Series:
 def _rebuild_batch(bodies: pd.Series, changes: pd.Series) -> pd.DataFrame:
     rows = []
     for body, change in zip(bodies, changes):
-        texts = {tuple(s["key"] if s["key"] is not None else int(s["idx"]) for s in c["path"]): c["text"] for c in (change if change is not None else [])}
+        if change is None or not len(change):
+            rows.append((body, 0, 0))
+            continue
+        texts = {tuple(s["key"] if s["key"] is not None else int(s["idx"]) for s in c["path"]): c["text"] for c in change}
         applied: set = set()
         new = rebuild(json.loads(body), texts, applied)
         rows.append((json.dumps(new, ensure_ascii=False) if applied else body, len(applied), len(texts) - len(applied)))
@@ -117,7 +120,8 @@ def text_regions(requests: DataFrame) -> DataFrame:
 
 
 def gateway_log(lines: DataFrame) -> DataFrame:
-    """Rows of a text log (``value``) that are JSON of the logger ``gateway``; noise is skipped."""
+    """Rows of a text log (``value``, and ``line_no`` if there is one) that are JSON of the logger ``gateway``; noise is skipped."""
     schema = "logger string, event string, correlation_id string, timestamp_ms double, latency_ms double, tier int"
-    row = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    number = [c for c in lines.columns if c == "line_no"]
+    row = lines.select(*number, F.from_json("value", schema).alias("r")).select(*number, "r.*")
     return row.where("logger = 'gateway'")

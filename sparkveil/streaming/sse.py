@@ -1,20 +1,31 @@
 """Server-sent events and the rehydrating window, in batch and as a stream.
 
-Spark has no arrival order, so every fragment has ``chunk_seq``. The batch form
-puts fragments together per stream; the streaming form keeps the undecided tail
-of each stream as state. A position is decided once the longest surrogate fits
-behind it, and decided text is never looked at again, so both forms agree.
+Spark has no arrival order, so every fragment has ``chunk_seq``. The batch forms
+put fragments together per stream; the streaming form keeps of each stream the
+open line, the open event and the undecided tail as state. A position is decided
+once the longest surrogate fits behind it, and decided text is never looked at
+again, so all forms agree. Names are those of the stream's session.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkveil.operators.sanitize import known_surrogates
+
+#: The data of the last event.
+DONE = "[DONE]"
+#: Seconds that the state of a stream lives without a fragment.
+TTL_SECONDS = 3600
+
 
 def stream_text(chunks: DataFrame) -> DataFrame:
     """(stream_id, text): the fragments of each stream in order of ``chunk_seq``."""
@@ -60,44 +71,215 @@ def frame_events(chunks: DataFrame) -> DataFrame:
 
 def release(buffer: str, final: bool, known: dict[str, str], hold: int) -> tuple[str, str]:
     """(released, kept): longest surrogate first at each position that is decided."""
+    if hold < 0:
+        raise ValueError("hold must not be negative")
+    last = len(buffer) if final else len(buffer) - max(hold, 1)  # the last position that is decided
     out, at = [], 0
-    names = sorted(known, key=len, reverse=True)
-    while at < len(buffer) and (final or len(buffer) - at >= hold):
-        hit = next((n for n in names if buffer.startswith(n, at)), None)
-        out.append(known[hit] if hit else buffer[at])
-        at += len(hit) if hit else 1
-    return "".join(out), buffer[at:]
+    names = re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True)))) if known else None
+    while names and (hit := names.search(buffer, at)) and hit.start() <= last:
+        out += buffer[at: hit.start()], known[hit.group()]
+        at = hit.end()
+    stop = max(at, min(last + 1, len(buffer)))
+    return "".join(out) + buffer[at:stop], buffer[stop:]
+
+
+def split_lines(partial: str, held_cr: bool, text: str) -> tuple[list[str], str, bool]:
+    """(complete lines, open line, whether a CR waits) after ``text``: a CR at its end may be half of CR LF."""
+    text = partial + "\r" * held_cr + text
+    held = text.endswith("\r")
+    *lines, rest = re.split("\r\n|\n|\r", text[:-1] if held else text)
+    return lines, rest, held
+
+
+def parsed_event(data: str) -> dict | None:
+    """The JSON object of an event with ``choices``; None for anything else."""
+    try:
+        found = json.loads(data)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) and "choices" in found else None
+
+
+def _delta(event: dict) -> dict:
+    """``choices[0].delta`` of an event, or an empty object."""
+    choices = event["choices"]
+    first = choices[0] if isinstance(choices, list) and choices else None
+    delta = first.get("delta") if isinstance(first, dict) else None
+    return delta if isinstance(delta, dict) else {}
+
+
+def written_event(data: str, content: str) -> str:
+    """An event as text, with another content if it had one."""
+    event = json.loads(data)
+    delta = _delta(event)
+    if "content" in delta:
+        delta["content"] = content
+    return f"data: {json.dumps(event)}\n\n"
+
+
+@dataclass
+class Reply:
+    """State of one reply between fragments; fields are what Spark keeps."""
+
+    expected: int = 0
+    out_seq: int = 0
+    closed: bool = False
+    partial: str = ""
+    held_cr: bool = False
+    data: list[str] = field(default_factory=list)
+    buffer: str = ""
+    slot: str = ""  # the last event with a content
+    finish: str = ""  # an event without one waits for the end
+    early_seq: list[int] = field(default_factory=list)
+    early_chunk: list[str] = field(default_factory=list)
+    early_last: list[bool] = field(default_factory=list)
+
+    SCHEMA = ("expected long, out_seq long, closed boolean, partial string, held_cr boolean, data array<string>, buffer string, "
+              "slot string, finish string, early_seq array<long>, early_chunk array<string>, early_last array<boolean>")
+
+
+def _take_lines(state: Reply, lines: list[str]) -> list[str]:
+    """Data of the events that ``lines`` complete."""
+    events = []
+    for line in lines:
+        if line == "":
+            if state.data:
+                events.append("\n".join(state.data))
+            state.data = []
+        elif line.startswith("data:"):
+            state.data.append(line[5:].removeprefix(" "))
+    return events
+
+
+def _take_events(state: Reply, events: list[str], known: dict[str, str], hold: int, lenient: bool = False) -> tuple[list[str], str | None]:
+    """(events to write, why the reply ends, if it does); ``lenient`` skips what cannot be read."""
+    out = []
+    for data in events:
+        if data == DONE:
+            if lenient:
+                continue
+            return out, "ok"
+        event = parsed_event(data)
+        if event is None:
+            if lenient:
+                continue
+            return out, "malformed_event"
+        delta = _delta(event)
+        if "content" not in delta:
+            state.finish = data
+            continue
+        state.slot = data
+        content = delta["content"] if isinstance(delta["content"], str) else ""
+        text, state.buffer = release(state.buffer + content, False, known, hold)
+        if text:
+            out.append(written_event(data, text))
+    return out, None
+
+
+def _end(state: Reply, known: dict[str, str], hold: int, why: str) -> list[str]:
+    """The last events: what the window holds, the finish event, and always :data:`DONE`."""
+    out = []
+    if why != "ok":  # an honest end: what came so far is still delivered
+        rest = [state.partial] if state.partial or state.held_cr else []
+        out, _ = _take_events(state, _take_lines(state, [*rest, ""]), known, hold, lenient=True)
+    text, state.buffer = release(state.buffer, True, known, hold)
+    if text and state.slot:
+        out.append(written_event(state.slot, text))
+    if state.finish:
+        out.append(written_event(state.finish, ""))
+    out.append(f"data: {DONE}\n\n")
+    closed = Reply(expected=state.expected, out_seq=state.out_seq, closed=True)
+    state.__dict__.update(closed.__dict__)
+    return out
+
+
+def take_fragments(state: Reply, fragments: list[tuple[int, str, bool]], known: dict[str, str], hold: int) -> list[tuple[str, str]]:
+    """(event to write, status) for new (chunk_seq, chunk, is_last); the status of an end says why, of others it is ``open``.
+
+    A fragment after the end writes nothing and has the status ``after_end``.
+    """
+    rows: list[tuple[str, str]] = []
+    waiting = {n: (c, last) for n, c, last in zip(state.early_seq, state.early_chunk, state.early_last)}
+    for n, chunk, last in fragments:
+        if state.closed:
+            rows.append(("", "after_end"))
+        elif n >= state.expected:
+            waiting[n] = (chunk, last)
+    while not state.closed and state.expected in waiting:
+        chunk, last = waiting.pop(state.expected)
+        state.expected += 1
+        lines, state.partial, state.held_cr = split_lines(state.partial, state.held_cr, chunk)
+        events, why = _take_events(state, _take_lines(state, lines), known, hold)
+        rows += [(e, "open") for e in events]
+        if why or last:
+            rows += [(e, why or "no_done") for e in _end(state, known, hold, why or "no_done")]
+            rows += [("", "after_end")] * len(waiting)
+            waiting = {}
+    if not state.closed:
+        state.early_seq, state.early_chunk, state.early_last = list(waiting), [c for c, _ in waiting.values()], [x for _, x in waiting.values()]
+    return rows
+
+
+def _with_names(chunks: DataFrame, registry: DataFrame) -> DataFrame:
+    """``chunks`` with ``names``, the (surrogate, original) of their session."""
+    names = known_surrogates(registry).where("original is not null").groupBy("session_id").agg(F.collect_list(F.struct("surrogate", "original")).alias("names"))
+    return chunks.join(names, "session_id", "left")
+
 
+def _names(rows: pd.DataFrame) -> dict[str, str]:
+    names = rows["names"].iloc[0]
+    return {n["surrogate"]: n["original"] for n in names} if names is not None else {}
 
-def rehydrate_stream(chunks: DataFrame, known: dict[str, str], hold: int | None = None) -> DataFrame:
-    """(stream_id, out_seq, text) of a streaming frame (stream_id, chunk_seq, chunk, is_last).
 
-    State is the next fragment number, fragments that came early, and the
-    undecided tail. Fragments after the last one are an error of the sender and ignored.
+def _fragments(rows: pd.DataFrame) -> list[tuple[int, str, bool]]:
+    return [(int(n), c or "", bool(last)) for n, c, last in zip(rows["chunk_seq"], rows["chunk"], rows["is_last"])]
+
+
+REPLY_ROWS = "stream_id string, out_seq long, payload string, status string"
+
+
+def reply_events(chunks: DataFrame, registry: DataFrame, hold: int) -> DataFrame:
+    """(stream_id, out_seq, payload, status): complete replies (stream_id, session_id, chunk_seq, chunk, is_last) rewritten; a group is one reply."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known = _names(rows)
+        state = Reply()
+        out = take_fragments(state, sorted(_fragments(rows)), known, hold)
+        if not state.closed:  # a fragment is missing or the last one is not marked
+            out += [(e, "dropped") for e in _end(state, known, hold, "dropped")]
+        return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "out_seq": range(len(out)), "payload": [p for p, _ in out], "status": [s for _, s in out]})
+
+    return _with_names(chunks, registry).groupBy("stream_id").applyInPandas(run, REPLY_ROWS)
+
+
+def reply_stream(chunks: DataFrame, registry: DataFrame, hold: int, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """:func:`reply_events` of a streaming ``chunks``; ``registry`` is a table.
+
+    Fragments may come in any order. A reply that gets none for ``ttl_seconds``
+    ends honestly, with the status ``dropped``; the state of an ended reply is
+    a few numbers, and removed after that time too.
     """
-    hold = max([1, *map(len, known)]) if hold is None else hold
     if hold < 0:
         raise ValueError("hold must not be negative")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        expected, out_seq, buffer, early, closed = state.get if state.exists else (0, 0, "", "", False)
-        waiting = {int(k): (v, last == "1") for k, last, v in (x.split("\x1f", 2) for x in early.split("\x1e") if x)}
-        for frame in frames:
-            for row in frame.itertuples():
-                if row.chunk_seq >= expected:
-                    waiting[int(row.chunk_seq)] = (row.chunk or "", bool(row.is_last))
-        text = ""
-        while expected in waiting and not closed:
-            chunk, closed = waiting.pop(expected)
-            expected += 1
-            done, buffer = release(buffer + chunk, closed, known, hold)
-            text += done
-        if text:
-            yield pd.DataFrame({"stream_id": [key[0]], "out_seq": [out_seq], "text": [text]})
-            out_seq += 1
-        early = "\x1e".join(f"{k}\x1f{int(last)}\x1f{v}" for k, (v, last) in waiting.items()) if not closed else ""
-        state.update((expected, out_seq, buffer, early, closed))
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, out_seq long, text string", "expected long, out_seq long, buffer string, early string, closed boolean",
-        "append", GroupStateTimeout.NoTimeout)
+        kept = list(state.get) if state.exists else None
+        reply = Reply(*[list(v) if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0) else v for v in kept[:-1]]) if kept else Reply()
+        known = dict(json.loads(kept[-1])) if kept else {}
+        out: list[tuple[str, str]] = []
+        if state.hasTimedOut:
+            if not reply.closed:
+                out = [(e, "dropped") for e in _end(reply, known, hold, "dropped")]
+            state.remove()
+        else:
+            for rows in frames:
+                known = known or _names(rows)
+                out += take_fragments(reply, _fragments(rows), known, hold)
+        if out:
+            yield pd.DataFrame({"stream_id": [key[0]] * len(out), "out_seq": range(reply.out_seq, reply.out_seq + len(out)), "payload": [p for p, _ in out], "status": [s for _, s in out]})
+            reply.out_seq += len(out)
+        if not state.hasTimedOut:
+            state.update((*astuple(reply), json.dumps({} if reply.closed else known)))
+            state.setTimeoutDuration(ttl_seconds * 1000)
+
+    return _with_names(chunks, registry).groupBy("stream_id").applyInPandasWithState(
+        step, REPLY_ROWS, Reply.SCHEMA + ", known string", "append", GroupStateTimeout.ProcessingTimeTimeout)

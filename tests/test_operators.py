@@ -139,18 +139,118 @@ def test_release_equals_one_pass(size):
     assert out + sse.release(buffer, True, KNOWN, 12)[0] == whole
 
 
+def _event(content):
+    return "data: " + json.dumps({"id": 1, "choices": [{"delta": {"content": content}}]}) + "\r\n\r\n"
+
+
+FINISH = 'data: {"choices":[{"delta":{},"finish_reason":"stop"}]}\n\n'
+REPLY = ": hi\n\n" + _event("call Priya Kh") + FINISH + _event("anna now, Priya Khan. A1") + _event(" B2 Priya") + "data: [DONE]\n\n"
+RESTORED = "call Real B now, Real A. B2 C3 Priya"
+CHUNKS = "stream_id string, session_id string, chunk_seq long, chunk string, is_last boolean"
+
+
+def _registry(spark, known=KNOWN, session="s"):
+    return spark.createDataFrame([(session, k, "PERSON", v) for k, v in known.items()], "session_id string, surrogate string, entity_type string, original string")
+
+
+def _content(payloads):
+    events = [json.loads(p[6:]) for p in payloads if p.startswith("data: {")]
+    return "".join(e["choices"][0]["delta"].get("content", "") for e in events)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_reply_any_split(size):
+    state, out = sse.Reply(), []
+    for i in range(0, len(REPLY), size):
+        out += sse.take_fragments(state, [(i // size, REPLY[i:i + size], i + size >= len(REPLY))], KNOWN, 12)
+    assert _content(p for p, _ in out) == RESTORED and out[-1] == ("data: [DONE]\n\n", "ok") and state.closed
+    assert "finish_reason" in out[-2][0] and sum("finish_reason" in p for p, _ in out) == 1
+    assert sse.take_fragments(state, [(99, "x", False)], KNOWN, 12) == [("", "after_end")]
+
+
+@pytest.mark.parametrize("tail,status,text", [
+    ("", "no_done", "see Real A"), ("data: {broken\n\n" + _event("lost"), "malformed_event", "see Real A"), ('data: {"choices":[{"delta":{"content":" cut', "no_done", "see Real A"),
+    ('data: {"choices":[{"delta":{"content":" end"}}]}', "no_done", "see Real A end"), ("data: 5\n\n", "malformed_event", "see Real A")])
+def test_reply_that_breaks_off_ends_honestly(tail, status, text):
+    out = sse.take_fragments(sse.Reply(), [(0, _event("see Priya Khan") + FINISH + tail, True)], KNOWN, 12)
+    assert _content(p for p, _ in out) == text and out[-1] == ("data: [DONE]\n\n", status) and "finish_reason" in out[-2][0]
+
+
+def test_null_content_is_a_slot():
+    out = sse.take_fragments(sse.Reply(), [(0, 'data: {"choices":[{"delta":{"content":null}}]}\n\n' + _event("A1") + "data: [DONE]\n\n", True)], KNOWN, 12)
+    assert [p for p, _ in out] == [sse.written_event(_event("A1")[6:], "B2"), "data: [DONE]\n\n"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    parts = [TEXT[i:i + 5] for i in range(0, len(TEXT), 5)]
-    rows = [("s", i, p, i == len(parts) - 1) for i, p in enumerate(parts)]
-    schema = "stream_id string, chunk_seq long, chunk string, is_last boolean"
-    for part in (rows[4:], rows[:4]):  # later fragments arrive first
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    run = sse.rehydrate_stream(stream, KNOWN).writeStream.format("memory").queryName("out").option(
+    parts = [REPLY[i:i + 5] for i in range(0, len(REPLY), 5)]
+    both = [(f"r-{s}", s, i, p, i == len(parts) - 1) for s in "st" for i, p in enumerate(parts)]
+    for rows in (both[4:], both[:4]):  # later fragments arrive first
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    registry = _registry(spark).union(_registry(spark, {"Priya Khan": "Other"}, "t"))
+    stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    run = sse.reply_stream(stream, registry, 12).writeStream.format("memory").queryName("out").option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
-    got = "".join(r.text for r in spark.table("out").orderBy("out_seq").collect())
-    assert got == "call Real B now, Real A. B2 C3 Priya"
+    got = {s: [r.payload for r in spark.table("out").where(f"stream_id = 'r-{s}'").orderBy("out_seq").collect()] for s in "st"}
+    assert _content(got["s"]) == RESTORED and _content(got["t"]) == "call Othernanna now, Other. A1 B2 Priya".replace("Othernanna", "Otherna")
+    batch = sse.reply_events(spark.createDataFrame(both, CHUNKS), registry, 12).orderBy("stream_id", "out_seq").collect()
+    assert {s: [r.payload for r in batch if r.stream_id == f"r-{s}"] for s in "st"} == got
+
+
+def test_replies_by_status(spark):
+    body = json.dumps({"choices": [{"message": {"role": "A1", "content": "Priya Khan\u00e9"}}], "n": 2.50})
+    rows = [("s", 1, 200, body), ("s", 2, 500, body), ("s", 3, 200, "[1]"), ("s", 4, 201, None), ("t", 5, 200, body)]
+    df = spark.createDataFrame(rows, "session_id string, request_seq long, http_status int, body string")
+    got = {r.request_seq: r.body for r in sanitize.rehydrate_replies(df, _registry(spark)).collect()}
+    assert json.loads(got[1])["choices"][0]["message"] == {"role": "B2", "content": "Real A\u00e9"}
+    assert {n: got[n] for n in (2, 3, 4, 5)} == {n: b for _, n, _, b in rows if n > 1}
+
+
+def test_requests_are_refused_whole(spark):
+    key = F.unhex(F.lit("11" * 32))
+    body = lambda *texts: json.dumps({"messages": [{"role": "user", "content": t} for t in texts]})
+    rows = [("s", 1, body("pan ABCPE1234F", "hello Ada Lane")), ("s", 2, body("fine ABCPE1234F", "mail a@b.co")), ("s", 3, "[]"), (None, 4, "{}"), ("s", 5, "{}"),
+            ("s", 6, body("boom"))]
+    df = spark.createDataFrame(rows, "session_id string, request_seq long, body string")
+
+    def predict(text):
+        if "boom" in text:
+            raise RuntimeError(text)
+        return detect.gazetteer_model({"PERSON": ["Ada Lane"]})(text)
+
+    for mode, failed in (("closed", "model_failed:RuntimeError"), ("open", "ok")):
+        out, given = sanitize.sanitize_requests(df, key, detect.model_spans(predict, mode))
+        got = {r.request_seq: r for r in out.collect()}
+        assert {n: r.status for n, r in got.items()} == {1: "ok", 2: "surrogate_domain:EMAIL", 3: "not_a_json_object", 4: "missing_session", 5: "ok", 6: failed}
+        assert all((r.body is None) == (r.status != "ok") for r in got.values())
+    assert "ABCPE1234F" not in got[1].body and "Ada" not in got[1].body and got[5].body == "{}"
+    back = out.where("request_seq = 1").withColumn("http_status", F.lit(200))
+    assert json.loads(sanitize.rehydrate_replies(back, sanitize.decrypt_registry(given, key)).first().body) == json.loads(rows[0][2])
+
+
+def test_names_differ_across_batches(spark):
+    key = F.unhex(F.lit("11" * 32))
+    model = detect.model_spans(detect.gazetteer_model({"PERSON": ["Ada Lane", "Bob Hill", "Cy Moss"]}), "closed")
+    schema = "session_id string, seq long, text string"
+    registry, named = None, {}
+    for seq, text in enumerate(("Ada Lane", "Bob Hill met Ada Lane", "Cy Moss and Bob Hill")):
+        out, given = sanitize.sanitize(spark.createDataFrame([("s", seq, text)], schema), key, model("text"), registry)
+        registry = given if registry is None else registry.unionByName(given)
+        row, new = out.first(), {r.original: r.surrogate for r in given.collect()}
+        assert all(named.get(k, v) == v for k, v in new.items())
+        named |= new
+        assert row.status == "ok" and sanitize.rehydrate(spark.createDataFrame([("s", row.sanitized)], "session_id string, text string"), registry).first().rehydrated == text
+    assert len(set(named.values())) == 3
+    rank = spark.range(5112).select(pools.pool_rank(F.lit("s"), F.lit("PERSON"), pools.pool_place(F.lit("s"), F.lit("PERSON"), F.col("id"))).alias("r"), "id")
+    assert rank.where("r != id").count() == 0
+
+
+def test_a_surrogate_of_two_people_is_an_error(spark):
+    registry = _registry(spark).union(_registry(spark, {"A1": "someone else"}))
+    fine = spark.createDataFrame([("s", "Priya Khan")], "session_id string, text string")
+    assert sanitize.rehydrate(fine, registry).first().rehydrated == "Real A"
+    with pytest.raises(Exception, match="name map is broken"):
+        sanitize.rehydrate(spark.createDataFrame([("s", "A1")], "session_id string, text string"), registry).collect()
 
 
 def test_confusion_counts_repeats(spark):
