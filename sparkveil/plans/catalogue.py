@@ -515,7 +515,7 @@ def window_stream_equiv(spark, sf_dir):
     folder = f"{shared_dir(spark)}/sparkveil-window-{uuid.uuid4().hex}"
     chunks.repartition(2).write.json(f"{folder}/in")
     source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
-    run = sse.reply_stream(source, known, 40).writeStream.format("parquet").option("path", f"{folder}/out").option(
+    run = sse.reply_stream(source, known, 40, None).writeStream.format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return _read_back(spark.read.schema(sse.REPLY_ROWS).parquet(f"{folder}/out"))

@@ -251,12 +251,13 @@ def reply_events(chunks: DataFrame, registry: DataFrame, hold: int) -> DataFrame
     return _with_names(chunks, registry).groupBy("stream_id").applyInPandas(run, REPLY_ROWS)
 
 
-def reply_stream(chunks: DataFrame, registry: DataFrame, hold: int, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def reply_stream(chunks: DataFrame, registry: DataFrame, hold: int, ttl_seconds: int | None = TTL_SECONDS) -> DataFrame:
     """:func:`reply_events` of a streaming ``chunks``; ``registry`` is a table.
 
     Fragments may come in any order. A reply that gets none for ``ttl_seconds``
     ends honestly, with the status ``dropped``; the state of an ended reply is
-    a few numbers, and removed after that time too.
+    a few numbers, and removed after that time too. Such a query never ends by
+    itself; a run over what is there (``availableNow``) has to set None, no timeout.
     """
     if hold < 0:
         raise ValueError("hold must not be negative")
@@ -279,7 +280,8 @@ def reply_stream(chunks: DataFrame, registry: DataFrame, hold: int, ttl_seconds:
             reply.out_seq += len(out)
         if not state.hasTimedOut:
             state.update((*astuple(reply), json.dumps({} if reply.closed else known)))
-            state.setTimeoutDuration(ttl_seconds * 1000)
+            if ttl_seconds is not None:
+                state.setTimeoutDuration(ttl_seconds * 1000)
 
     return _with_names(chunks, registry).groupBy("stream_id").applyInPandasWithState(
-        step, REPLY_ROWS, Reply.SCHEMA + ", known string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, REPLY_ROWS, Reply.SCHEMA + ", known string", "append", GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout)

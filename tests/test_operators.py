@@ -1,6 +1,7 @@
 """Detection, resolution, sanitising, bodies and streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,15 +189,31 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     registry = _registry(spark).union(_registry(spark, {"Priya Khan": "Other"}, "t"))
     stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    run = sse.reply_stream(stream, registry, 12).writeStream.format("memory").queryName("out").option(
+    run = sse.reply_stream(stream, registry, 12, None).writeStream.format("memory").queryName("out").option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    assert run.awaitTermination(120)
     got = {s: [r.payload for r in spark.table("out").where(f"stream_id = 'r-{s}'").orderBy("out_seq").collect()] for s in "st"}
     assert _content(got["s"]) == RESTORED and _content(got["t"]) == "call Othernanna now, Other. A1 B2 Priya".replace("Othernanna", "Otherna")
     batch = sse.reply_events(spark.createDataFrame(both, CHUNKS), registry, 12).orderBy("stream_id", "out_seq").collect()
     assert {s: [r.payload for r in batch if r.stream_id == f"r-{s}"] for s in "st"} == got
 
 
+def test_a_silent_stream_ends_after_its_time(spark, tmp_path):
+    rows = [("r", "s", 0, _event("see Priya Khan") + FINISH, False)]
+    spark.createDataFrame(rows, CHUNKS).coalesce(1).write.json(str(tmp_path / "in"))
+    run = sse.reply_stream(spark.readStream.schema(CHUNKS).json(str(tmp_path / "in")), _registry(spark), 12, 1).writeStream.format("memory").queryName(
+        "silent").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            got = spark.table("silent").orderBy("out_seq").collect()
+            if got and got[-1].status == "dropped":
+                break
+    finally:
+        run.stop()
+    assert _content(r.payload for r in got) == "see Real A" and got[-1].payload == "data: [DONE]\n\n" and got[-1].status == "dropped"
+
+
 def test_replies_by_status(spark):
     body = json.dumps({"choices": [{"message": {"role": "A1", "content": "Priya Khan\u00e9"}}], "n": 2.50})
     rows = [("s", 1, 200, body), ("s", 2, 500, body), ("s", 3, 200, "[1]"), ("s", 4, 201, None), ("t", 5, 200, body)]
