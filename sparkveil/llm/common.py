@@ -1,8 +1,7 @@
 """Shared helpers of the training-data operators.
 
-* :func:`shared_dir` / :func:`save`: the only places intermediate results go
-  to. They live under ``spark.checkpoint.dir``, which every executor can read,
-  so a lost executor never loses a stage that was already saved.
+* :func:`save`: where intermediate results go to, the shared folder that every
+  executor can read, so a lost executor never loses a stage already saved.
 * :func:`connected_components`: alternating large-star / small-star label
   propagation, expressed as joins and ``min`` aggregates only.
 * :func:`word_hashes` and friends: vectorised word hashing over raw UTF-8.
@@ -10,48 +9,25 @@
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL_DIR: dict[str, str] = {}
-_COUNTER = itertools.count()
-
+from sparkveil.sources.scratch import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, readable by the driver and executors.
-
-    It is ``spark.checkpoint.dir`` of the session. Only a local-mode session
-    (tests) may leave it unset; then a temporary folder of this machine is used.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIR:
-        _LOCAL_DIR[app] = tempfile.mkdtemp(prefix="sparkveil-")
-    return _LOCAL_DIR[app]
+#: Arrow batches of saved tables are cut at this size, whatever the length of a row.
+BATCH_BYTES, _BATCH_CONF = str(8 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts lineage the way ``checkpoint()`` does, but keeps columns pruned
-    and compressed. The files go when the application ends.
-    """
+    """Write ``df`` into the shared folder and read it back, with Arrow batches of bounded size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkveil-{name}-{next(_COUNTER)}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    size = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.unset(_BATCH_CONF) if size is None else spark.conf.set(_BATCH_CONF, size)
 
 
 def drop_saved(*frames: DataFrame) -> None:
@@ -118,6 +94,38 @@ def _edge_state(df: DataFrame) -> tuple[int, str]:
     return int(row.n), str(row.h)
 
 
+def contracted(root: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (``node``, ``component``) after ``links`` (a, b) are added to those of ``root``.
+
+    Only the links between unlike components take part, under the names of these.
+    """
+    if root is None:
+        return save(connected_components(links, "a", "b"), "roots")
+    of = lambda x: root.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    bridges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
+    top = save(connected_components(bridges, "a", "b"), "roots")
+    moved = root.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    known = moved.select("node", F.coalesce("top", "component").alias("component"))
+    return save(known.unionByName(top.join(root.select("node"), "node", "left_anti")), "roots")
+
+
+#: A key counts as hot from this share of the rows on; so there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """Inner equi-join of ``rows`` with ``keyed``, which has each key once and the number of its ``rows`` in ``copies``.
+
+    The hot keys, a thousand at most, are broadcast, so the rows of such a key
+    stay where they are; all other keys are shuffled.
+    """
+    least = HOT_SHARE * total
+    hot = F.broadcast(keyed.where(F.col(copies) >= least))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(copies) < least), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
@@ -143,24 +151,48 @@ def merge_runs(runs: Column) -> Column:
 
 # ---------------------------------------------------------------- numpy side
 
-#: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
-_P = np.uint64(0x9E3779B97F4A7C15)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Mersenne prime of the polynomial word hashes, and their two bases.
+_PRIME = (1 << 31) - 1
+_BASES = (1_103_529_601, 1_827_364_553)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes hashed at a time; longer texts are cut between words.
 SEGMENT = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("p")
-    if have is None or len(have) < n:
-        size = max(n, SEGMENT + 1)
-        with np.errstate(over="ignore"):
-            for key, base in (("p", _P), ("i", _PINV)):
-                full = np.full(size, base, dtype=np.uint64)
-                full[0] = 1
-                _POWERS[key] = np.multiply.accumulate(full)
-    return _POWERS["p"], _POWERS["i"]
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for any uint64."""
+    p, bits = np.uint64(_PRIME), np.uint64(31)
+    x = (x & p) + (x >> bits)
+    x = (x & p) + (x >> bits)
+    return np.where(x >= p, x - p, x)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse modulo the prime, ``n`` of each at least."""
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, _PRIME)):
+            full = np.ones(1, dtype=np.uint64)
+            while len(full) < max(n, SEGMENT + 1):  # doubling: the next half is the first half times base ** len
+                full = np.concatenate((full, _reduce(full * np.uint64(pow(b, len(full), _PRIME)))))
+            out.append(full.astype(np.uint32))
+        if n > 2 * SEGMENT:
+            return out[0], out[1]  # a giant word: not worth keeping
+        _POWERS[base] = have = (out[0], out[1])
+    return have
+
+
+def release_memory() -> None:
+    """Give freed memory of a Python worker back, at the end of a task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -174,15 +206,24 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of ``values[starts[i]:ends[i]]`` for every i, vectorised."""
+    """64-bit hash of ``values[starts[i]:ends[i]]`` for every i, vectorised.
+
+    Two polynomials modulo a prime, so unlike strings of n values agree with a
+    chance of about (n / 2**31) ** 2 only, whatever their structure.
+    """
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
-    p, inv = _powers(len(values) + 1)
+    parts, total = [], np.zeros(len(values) + 1, dtype=np.uint64)
+    for base in _BASES:
+        power, inverse = _powers(base, len(values) + 1)
+        x = values.astype(np.uint64)
+        x += np.uint64(1)
+        x *= power[: len(values)]
+        x = (x & np.uint64(_PRIME)) + (x >> np.uint64(31))  # below 2**33: sums of 2**31 of them fit
+        np.cumsum(x, out=total[1:])
+        parts.append(_reduce(_reduce(total[ends] - total[starts]) * inverse[starts]))
     with np.errstate(over="ignore"):
-        total = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[: len(values)], out=total[1:])
-        h = (total[ends] - total[starts]) * inv[starts]
-        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix64((parts[0] << np.uint64(32) | parts[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_table(separators: str | bytes | None = None, word: bytes | None = None, high: bool = True) -> np.ndarray:
