@@ -9,14 +9,16 @@ Of the sequences a chunk could not fill, the emptiest that may dissolve into the
 gaps of others, and as many others as can take their pieces, are packed again
 with those of other chunks; the rest stay as they are. Rounds end when one chunk
 held all of them, or when no sequence can be saved or none was. No task holds
-more than a chunk in any round.
+more than a chunk in any round. A chunk should fill many sequences: where even
+its shortest pieces fill few, each chunk may leave one open.
 
 Tokenising is exact and word-wise: the pre-tokeniser's pieces are found with
 vectorised rules, each distinct one is encoded once by the tokenizer library
 and remembered, and the ids of a text are gathered from there.
 
 Defined cases: a null text counts as empty and is the single end-of-text id;
-repeated rows are packed separately (``row`` tells them apart); an empty table
+repeated rows are packed separately (``row`` tells them apart); very long texts
+are cut after they were tokenised as a whole; an empty table
 gives no rows; columns besides ``doc_id`` and ``text`` are not read.
 """
 
@@ -30,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, span_hashes
+from .common import release_memory, save, span_hashes
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces packed in one task at most, and the largest share of a round's pieces that may be packed again.
 CHUNK, AGAIN = 60_000, 0.875
+#: Bits of a sequence number for the place in its chunk, and for the chunk in its round.
+_BIN_BITS, _CHUNK_BITS = 17, 38
 #: Code points tokenised at a time, and distinct pre-tokens remembered by a worker.
-STRIDE, REMEMBERED = 1 << 21, 1_200_000
+STRIDE, REMEMBERED = 1 << 20, 600_000
 
 _CLASSES: list[np.ndarray] = []
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -239,6 +243,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                     for column, value in zip(columns, (doc_id, row, piece, start, length, zlib.crc32(part.tobytes()), part)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+        tokenizer.clear()  # the worker lives on and serves other tasks
+        release_memory()
 
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     numbered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
@@ -281,9 +287,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return out, offset
 
 
-def _pack_chunks(pieces: DataFrame, chunks: int, tag: str, capacity: int) -> DataFrame:
+def _pack_chunks(pieces: DataFrame, chunks: int, level: int, capacity: int) -> DataFrame:
     """``pieces`` dealt to ``chunks`` by a hash and packed there; adds bin, offset, and gap and longest piece of the bin."""
-    schema = pieces.schema.add("bin", "string").add("offset", "long").add("gap", "integer").add("longest", "integer")
+    schema = pieces.schema.add("bin", "long").add("offset", "long").add("gap", "integer").add("longest", "integer")
 
     def run(key, table):
         lengths = table["length"].to_numpy()
@@ -293,14 +299,14 @@ def _pack_chunks(pieces: DataFrame, chunks: int, tag: str, capacity: int) -> Dat
         gap = capacity - np.bincount(where, lengths)
         longest = np.zeros(len(gap))
         np.maximum.at(longest, where, lengths)
-        names = pa.array([f"{tag}-{key[0].as_py()}-{b}" for b in where.tolist()], pa.string())
+        names = pa.array(where + (((level << _CHUNK_BITS) + key[0].as_py()) << _BIN_BITS))
         added = {"bin": names, "offset": pa.array(offset), "gap": pa.array(gap[where].astype(np.int32)), "longest": pa.array(longest[where].astype(np.int32))}
         table = table.drop_columns("chunk")
         for name, column in added.items():
             table = table.append_column(name, column)
         return table
 
-    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("row", "piece", F.lit(tag)), F.lit(chunks)).cast("long"))
+    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("row", "piece", F.lit(f"{level}")), F.lit(chunks)).cast("long"))
     return dealt.groupBy("chunk").applyInArrow(run, schema)
 
 
@@ -350,18 +356,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> Dat
 
     Full pieces are sequences of their own. The others are dealt to chunks of
     at most ``chunk`` rows by a hash and packed; what another round may improve
-    is dealt anew, and keeps its places if that saves no sequence.
+    is dealt anew, and keeps its places if that saves no sequence. A sequence is
+    numbered by its round, chunk and place there, or from -1 down if it is one piece.
     """
+    if not 0 < chunk <= 1 << _BIN_BITS:
+        raise ValueError(f"a chunk has 1 to {1 << _BIN_BITS} pieces")
     keys = pieces.columns
     full = pieces.where(F.col("length") == capacity).select(
-        *keys, F.concat_ws("-", F.lit("f"), "row", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"))
+        *keys, (-1 - F.monotonically_increasing_id()).alias("bin"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
     done, level, before, n_before = [], 0, None, 0
     todo = rest.count()
     mean = max(1, int(chunk - 6 * chunk ** 0.5))  # chunks are even up to chance
     while True:
         chunks = 1 if todo <= chunk else -(-todo // mean)
-        placed = save(_pack_chunks(rest, chunks, f"{level}", capacity), "pack")
+        placed = save(_pack_chunks(rest, chunks, level, capacity), "pack")
         if before is not None and placed.where("offset = 0").count() >= n_before:
             done.append(before)
             break
@@ -380,7 +389,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> Dat
     out = full
     for part in done:
         out = out.unionByName(part.drop("gap", "longest"))
-    return out.withColumn("sequence_id", F.xxhash64("bin")).drop("bin")
+    return out.withColumnRenamed("bin", "sequence_id")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
