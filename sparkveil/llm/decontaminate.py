@@ -3,15 +3,19 @@
 Of every ``WINDOW_GRAMS`` neighbouring ``GRAM``-word hashes the smallest is a
 fingerprint; a shared span of ``SPAN`` = GRAM + WINDOW_GRAMS - 1 = 13 words
 therefore always shares one. Training and benchmark fingerprints are joined;
-each match nominates a (document, item) pair, whose hits are then extended:
-all 13-word windows of the document that the item has are found and merged to
-maximal spans. Items of fewer than 13 words are one window each and are joined
-by their whole length instead.
+each match nominates a document, whose hits are then extended: all its 13-word
+windows that an item has are joined and merged to maximal spans. Items of fewer
+than 13 words are one window each, and nominate by the hash of their whole.
+
+Every text becomes its word hashes once; they are saved, and all later steps
+read these. Windows are rows in the joins, never lists compared with lists.
 
 Defined cases: null texts and texts without words have 0 words and no hits;
 items without words are ignored; repeated items count as items each, by
 ``item_id``; repeated documents are each returned; a repeated window counts
-once per word; columns besides doc_id, item_id and text are not read.
+once per word; very long texts are longer lists of hashes; an empty table gives
+no rows; columns besides doc_id, item_id and text are not read. Words and
+windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,13 +27,12 @@ from .common import ascii_lower, merge_runs, save
 
 SPAN, GRAM = 13, 8
 WINDOW_GRAMS = SPAN - GRAM + 1
-#: Benchmark windows are broadcast up to this many rows, joined with a shuffle beyond.
+#: Tables of a few numbers a row are broadcast up to this many rows (some 40 MB), joined with a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 #: Stands for a null doc_id while rows are joined.
 _NO_ID = -(2**63)
 #: Words: ASCII letters and digits and all beyond ASCII (A-Z are lower-cased first).
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def contamination_words(text: Column) -> Column:
@@ -83,55 +86,58 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _windows(hashes: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds ``windows``: array<struct<n, i, g>>, the place and hash of every window of each of the lengths."""
+    for n in lengths:
+        hashes = _grams(hashes, "h", n, f"_g{n}")
+    placed = lambda n: F.transform(f"_g{n}", lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("i"), g.alias("g")))
+    return hashes.withColumn("windows", F.concat(*map(placed, lengths))).drop(*[f"_g{n}" for n in lengths])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated, spans.
+    """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated, spans, text_key.
 
-    ``spans`` are the hit words as (start, length) in words.
+    ``spans`` are the hit words as (start, stop) in words.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
+    key = ["doc_id", "text_key"]
     items = _hashed(benchmark.select("item_id", "text")).select("item_id", "h", F.size("h").alias("n")).where("n > 0")
     items = save(items, "items")
     short = sorted(r.n for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())  # at most 12 lengths
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    hashed = _hashed(keyed.where("text is not null").select("doc_id", "text_key", "text")).drop("text")
+    lengths = [*short, SPAN]
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), "text")
+    hashed = save(_hashed(keyed).select(*key, "h", F.size("h").alias("n_words")), "doc-words")
 
-    # nominate pairs: winnowed fingerprints for whole windows, whole-length grams for short items
+    # nominate documents: by winnowed fingerprints of 13-word windows (n = 13), by the whole of short items
     # (explode_outer: for explode, the optimizer would copy the whole expression into a filter of its own)
-    wanted = winnow(items.where(F.col("n") >= SPAN)).select("item_id", F.explode_outer("prints").alias("print"))
-    offered = winnow(hashed).select("doc_id", "text_key", F.explode_outer("prints").alias("print"))
-    pairs = offered.join(_bounded(wanted.distinct()), "print").select("doc_id", "text_key", "item_id")
+    named = lambda n, of: F.transform(of, lambda g: F.struct(F.lit(n).alias("n"), g.alias("print")))
+    wanted = winnow(items.where(F.col("n") >= SPAN)).select(F.explode_outer(named(SPAN, F.col("prints"))).alias("p"))
+    for n in short:
+        whole = _grams(items.where(F.col("n") == n), "h", n, "g")
+        wanted = wanted.unionByName(whole.select(F.explode_outer(named(n, F.col("g"))).alias("p")))
+    wanted = save(wanted.where("p is not null").select("p.n", "p.print").distinct(), "wanted-prints")
+    offered = winnow(hashed.where("n_words > 0"))
     for n in short:
-        whole = _grams(items.where(F.col("n") == n), "h", n, "g").select("item_id", F.explode_outer("g").alias("print"))
-        grams = _grams(hashed, "h", n, "g").select("doc_id", "text_key", F.explode_outer(F.array_distinct("g")).alias("print"))
-        pairs = pairs.unionByName(grams.join(_bounded(whole), "print").select("doc_id", "text_key", "item_id"))
-    named = pairs.distinct().groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("items"))
+        offered = _grams(offered, "h", n, f"_g{n}")
+    prints = F.concat(named(SPAN, F.col("prints")), *[named(n, F.array_distinct(f"_g{n}")) for n in short])
+    offered = offered.select(*key, F.explode_outer(prints).alias("p")).select(*key, "p.n", "p.print")
+    nominated = save(offered.join(_bounded(wanted), ["n", "print"], "left_semi").select(*key).distinct(), "nominated")
 
-    # extend: windows of the document that the item has, merged to maximal spans
-    lengths = [*short, SPAN]
-    windows = None
-    for n in lengths:
-        own = items.where(F.col("n") >= SPAN if n == SPAN else F.col("n") == n)
-        own = _grams(own, "h", n, "g").select("item_id", F.lit(n).alias("window"), F.array_distinct("g").alias("item_grams"))
-        windows = own if windows is None else windows.unionByName(own)
-    texts = _hashed(keyed.join(named, ["doc_id", "text_key"])).drop("text")
+    # extend: the windows of nominated documents that items have, merged to maximal spans
+    own = None
     for n in lengths:
-        texts = _grams(texts, "h", n, f"g{n}")
-    texts = texts.withColumn("g", F.create_map(*[c for n in lengths for c in (F.lit(n), F.col(f"g{n}"))]))
-    matched = (
-        texts.select("doc_id", "text_key", "g", F.explode("items").alias("item_id")).dropDuplicates(["doc_id", "text_key", "item_id"])
-        .join(_bounded(windows), "item_id")
-    )
-    starts = F.filter(F.transform(F.col("g")[F.col("window")], lambda g, i: F.when(F.array_contains("item_grams", g), i)), lambda i: i.isNotNull())
-    runs = matched.select("doc_id", "text_key", "item_id", F.transform(starts, lambda s: F.struct(
-        s.alias("start"), (s + F.col("window")).alias("stop"))).alias("runs"))
-    runs = runs.withColumn("runs", merge_runs(F.col("runs")))
-    hits = runs.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
-        F.array_sort(F.transform(F.collect_set(F.when(F.size("runs") > 0, F.col("item_id"))), lambda i: i.cast("string"))).alias("item_ids"))
-    hits = hits.select("doc_id", "text_key", "item_ids", merge_runs(F.col("runs")).alias("spans"))
-
-    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
-    out = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_words.alias("n_words")).join(hits, ["doc_id", "text_key"], "left")
+        of_length = _grams(items.where(F.col("n") >= SPAN if n == SPAN else F.col("n") == n), "h", n, "g")
+        of_length = of_length.select("item_id", F.lit(n).alias("n"), F.explode_outer("g").alias("g")).distinct()
+        own = of_length if own is None else own.unionByName(of_length)
+    own = save(own.where("g is not null"), "item-windows")
+    windows = _windows(hashed.join(_bounded(nominated), key, "left_semi").select(*key, "h"), lengths)
+    windows = windows.select(*key, F.explode_outer("windows").alias("w")).select(*key, "w.n", "w.i", "w.g")
+    hits = save(windows.join(_bounded(own.select("n", "g").distinct()), ["n", "g"], "left_semi"), "window-hits")
+    runs = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("stop")))).alias("runs"))
+    spans = runs.select(*key, merge_runs(F.col("runs")).alias("spans"))
+    found = hits.select(*key, "n", "g").distinct().join(_bounded(own), ["n", "g"]).groupBy(*key).agg(
+        F.array_sort(F.transform(F.collect_set("item_id"), lambda i: i.cast("string"))).alias("item_ids"))
+
+    out = hashed.select(*key, F.col("n_words").cast("long").alias("n_words")).join(spans.join(found, key), key, "left")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]), F.lit(0).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
