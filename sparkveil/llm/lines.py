@@ -17,8 +17,9 @@ all maximal repeated runs of ``min_words`` words or more.
 Global ranks never pass through one task: counts are summed per bucket, buckets
 are summed in a table of bounded size, and rows are ranked inside their bucket.
 
-Defined cases: a null text stays null, an empty text is one empty line; lines
-end at ``\\n`` only; equal rows (same id, same text) are one document and get the
+Defined cases: a null text stays null, an empty text is one empty line; very
+long texts are sequences of more lines; an empty table gives no rows; lines end
+at ``\\n`` only; equal rows (same id, same text) are one document and get the
 same result; rows with equal ids and other texts are ordered by a hash of the
 text; a null doc_id sorts first; a document of which every line is deleted
 stays with an empty text; other columns are kept as they are, whatever their
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_saved, merge_runs, save
+from .common import drop_saved, join_hot, merge_runs, save
 
 #: Words a repeated run must have for its later copies to be deleted.
 MIN_WORDS = 50
@@ -121,7 +122,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = save(runs, "line-runs")
     where = F.struct("d", "t", "start")
     kept = runs.groupBy("a", "b", "lines").agg(F.min(where).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    return runs.join(kept, ["a", "b", "lines"]).where(where > F.col("kept")).select("d", "t", "start", "stop")
+    later = join_hot(runs, save(kept, "line-kept"), ["a", "b", "lines"], "copies", runs.count())
+    return later.where(where > F.col("kept")).select("d", "t", "start", "stop")
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
