@@ -9,12 +9,14 @@ in double precision, so nothing below the threshold links.
 Dense groups never become pairs: vectors within half the threshold angle of a
 group leader are all linked to each other, so they form a group with a size and
 a radius. Candidates are pairs of groups; from the angle of their leaders and
-the radii it follows that all, or none, of their members link, and only
-otherwise are member pairs verified one by one.
+the radii it follows that all, or none, of their members link. Otherwise their
+members are compared in blocks of bounded size by matrix products, of which only
+the number of links of each vector is kept: member pairs are never rows.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null or
 non-finite component link with nothing, nor do those with a null label;
 vectors of different lengths do not link; repeated rows are vectors each;
+very long vectors are compared like others; an empty table gives no rows;
 columns besides vec_id, embedding and label are not read. A link needs the pair
 to meet in one of the tables; the chance to miss one is below 0.5 % at the
 threshold itself and falls quickly above it.
@@ -34,6 +36,8 @@ from .common import connected_components, mix64, save
 THRESHOLD = 0.93
 #: Tables, probed neighbours a table, and the edge of the lattice in units of the projected unit vectors at 64 dimensions.
 TABLES, PROBES, SCALE = 10, 12, 0.14
+#: Vectors in a block of a group, on average.
+BLOCK = 256
 #: Rounds in which ungrouped vectors look for a leader.
 GROUP_ROUNDS = 2
 _SEED = 20240229
@@ -143,6 +147,43 @@ def _cosines(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, cosine double")
 
 
+def _block_links(pairs: DataFrame, member: DataFrame, size: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """Links between the members of each pair (a, b) of groups: (rid, n, a, b), ``rid`` null and ``n`` 0 for the pair itself if it has any."""
+    wide = pairs.select(F.col("a").alias("leader")).union(pairs.select("b")).distinct()
+    block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    held = member.select("rid", "leader").join(wide, "leader", "left_semi").join(size.select("leader", "size"), "leader").withColumn("block", block)
+    blocks = held.join(units, "rid").groupBy("leader", "block").agg(F.collect_list(F.struct("rid", "embedding")).alias("v"))  # bounded: even blocks
+    blocks = save(blocks.select("leader", "v"), "vector-blocks")
+
+    def run(batches):
+        for batch in batches:
+            rids, counts, left, right = [], [], [], []
+            for a, b, u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                (ru, x), (rv, y) = ((w.values.field(0).to_numpy(), w.values.field(1)) for w in (u, v))
+                lx, ly = x.value_lengths().to_numpy(), y.value_lengths().to_numpy()
+                for dim in np.intersect1d(lx, ly):
+                    at_x, at_y = np.flatnonzero(lx == dim), np.flatnonzero(ly == dim)
+                    mx, my = (c.take(pa.array(i)).flatten().to_numpy().reshape(-1, dim) for c, i in ((x, at_x), (y, at_y)))
+                    cosine = mx @ my.T
+                    close = np.argwhere(np.abs(cosine - threshold) < 1e-12)  # the same sum as for single pairs
+                    cosine[close[:, 0], close[:, 1]] = (mx[close[:, 0]] * my[close[:, 1]]).sum(axis=1)
+                    linked = cosine >= threshold
+                    if not linked.any():
+                        continue
+                    for ids, n in ((ru[at_x], linked.sum(axis=1)), (rv[at_y], linked.sum(axis=0))):
+                        rids += ids[n > 0].tolist()
+                        counts += n[n > 0].tolist()
+                    rids.append(None), counts.append(0)
+                    new = len(rids) - len(left)
+                    left += [a] * new
+                    right += [b] * new
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (rids, counts, left, right)], ["rid", "n", "a", "b"])
+
+    met = pairs.join(blocks.select(F.col("leader").alias("a"), F.col("v").alias("va")), "a").join(
+        blocks.select(F.col("leader").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
+    return met.mapInArrow(run, "rid long, n long, a long, b long")
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     limit = float(np.arccos(threshold))
@@ -184,22 +225,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tab
     judged = save(judged.withColumn("state", state).where("state != 'none'"), "vector-pairs")
     whole = judged.where("state = 'all'")
     some = judged.where("state = 'some'").select("a", "b")
-    each = (
-        some.join(member.select(F.col("leader").alias("a"), F.col("rid").alias("x")), "a")
-        .join(member.select(F.col("leader").alias("b"), F.col("rid").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    single = save(_cosines(each, units).where(F.col("cosine") >= threshold), "vector-links")
+    single = save(_block_links(some, member, size, units, threshold), "vector-links")
 
     # links of each vector
     by_group = whole.select(F.col("a").alias("leader"), F.col("nb").alias("n")).union(whole.select("b", "na"))
     by_group = by_group.union(size.select("leader", F.col("size") - 1)).groupBy("leader").agg(F.sum("n").alias("n_group"))
-    by_vector = single.select(F.col("a").alias("rid")).union(single.select("b")).groupBy("rid").agg(F.count("*").alias("n_single"))
+    by_vector = single.where("rid is not null").groupBy("rid").agg(F.sum("n").alias("n_single"))
 
     # components: over groups, then down to vectors
     lead = member.select("rid", "leader")
-    linked = single.join(lead.select(F.col("rid").alias("a"), F.col("leader").alias("ga")), "a").join(
-        lead.select(F.col("rid").alias("b"), F.col("leader").alias("gb")), "b").select("ga", "gb")
+    linked = single.where("rid is null").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
     edges = whole.select(F.col("a").alias("ga"), F.col("b").alias("gb")).union(linked).distinct()
     root = connected_components(edges, "ga", "gb").withColumnRenamed("node", "leader")
     placed = rows.select("rid", "vec_id").join(lead, "rid", "left").join(root, "leader", "left")
