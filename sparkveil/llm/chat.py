@@ -13,7 +13,7 @@ Control strings cannot occur inside a role or a text: a backslash is put inside
 each one, and backslashes themselves are doubled, so removing one level of
 backslashes restores the text exactly. :func:`parse_formatted` does that.
 
-Defined cases: null text and null parts are empty; a null role is the empty
+Defined cases: null text and null parts are empty; very long texts are kept whole; an empty table gives no rows; a null role is the empty
 role; turns are ordered by ``turn`` (null first), ties by role, then content;
 repeated rows are repeated turns; a null ``conv_id`` is one conversation;
 columns besides those named are not read. A conversation becomes one string,
@@ -72,10 +72,14 @@ def _visit(parts: Column) -> tuple[Column, Column]:
     media = F.filter(parts, is_media)
     attachments = F.transform(media, lambda p, i: F.struct(
         i.alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
-    earlier = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), is_media))
-    content = F.array_join(F.transform(parts, lambda p, i: F.when(
-        is_media(p), F.concat(F.lit("<|"), p["type"], F.lit("_"), earlier(i), F.lit("|>"))
-    ).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
+    # neighbouring texts are joined before they are escaped: a control string could be spread over them
+    start = F.struct(F.lit("").alias("content"), F.lit("").alias("text"), F.lit(0).alias("n"))
+    flush = lambda s: F.concat(s["content"], escape(s["text"]))
+    step = lambda s, p: F.when(is_media(p), F.struct(
+        F.concat(flush(s), F.lit("<|"), p["type"], F.lit("_"), s["n"].cast("string"), F.lit("|>")).alias("content"),
+        F.lit("").alias("text"), (s["n"] + 1).alias("n"))).otherwise(F.struct(
+            s["content"].alias("content"), F.concat(s["text"], F.coalesce(p["text"], F.lit(""))).alias("text"), s["n"].alias("n")))
+    content = F.aggregate(parts, start, step, flush)
     return F.coalesce(content, F.lit("")), F.coalesce(attachments, F.array().cast(
         "array<struct<place:int,type:string,ref:string,tokens:bigint>>"))
 
