@@ -5,11 +5,14 @@ ids, hex runs) are exact and always reported. The method adds spans: every
 candidate string is swept by a fixed window whose character counts are updated
 incrementally (one in, one out), giving the Shannon entropy of each window for
 the candidate's character class; windows over the class threshold are merged to
-a span. Allow-listed strings are suppressed from the added spans only.
+a span. Parts of a candidate (between ``/`` and ``=``) that the allow list names
+are left out, what stands beside them is judged by itself. Of the added spans
+what lies outside the base spans is reported.
 
 Offsets are code points, end exclusive. A null text counts as empty and yields
 no spans; repeated rows give repeated results; a text is read as a whole
-whatever its length; columns besides ``doc_id`` and ``text`` are not read.
+whatever its length; an empty table gives no rows; columns besides ``doc_id``
+and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -29,26 +32,29 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Strings the entropy sweep looks at.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Entropy, in bits, from which a window of a class is suspicious.
-ENTROPY_LIMITS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.9}
+#: Entropy, in bits, from which a window of a class is suspicious. Letters alone need more, as long plain words reach 3.9;
+#: digits alone stay below 3.33, so numbers are never reported.
+ENTROPY_LIMITS = {"digits": 3.33, "hex": 3.0, "letters": 4.05, "alphanumeric": 3.7, "base64": 3.9}
 WINDOW = 20
-#: Candidates that look random and are public: identifiers, digests named as such, placeholders.
-ALLOW_LIST = (
+#: Candidates that look random and are public: identifiers, addresses, the alphabet, one sign repeated ...
+PUBLIC = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i:.*(example|placeholder|changeme|dummy|sample|xxxx).*)",
     r"(?i:(https?|www|ftp)[/_.=-].*)",
     r"(?i:abcdefghijklmnopqrstuvwxyz.*)",
     r"(.)\1*",
 )
+#: ... and parts of candidates named as placeholders.
+PLACEHOLDERS = (r"(?i:.*(example|placeholder|changeme|dummy|sample|xxxx).*)",)
 
 _XLOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
-def character_class(candidate: str) -> str | None:
-    """Class of a candidate, or None for words: without both letters and digits it is no random string."""
-    digits = sum(c in "0123456789" for c in candidate)
-    if digits < 2 or digits == len(candidate):
-        return None
+def character_class(candidate: str) -> str:
+    """Class of a candidate by the signs in it."""
+    if candidate.isdigit():
+        return "digits"
+    if candidate.replace("_", "").replace("-", "").isalpha():
+        return "letters"
     if all(c in "0123456789abcdefABCDEF" for c in candidate):
         return "hex"
     return "alphanumeric" if candidate.isalnum() else "base64"
@@ -71,23 +77,38 @@ def entropy_windows(candidate: str, window: int = WINDOW):
             yield i - window + 1, math.log2(window) - total / window
 
 
-def high_entropy_spans(text: str, allow=tuple(re.compile(p) for p in ALLOW_LIST)) -> list[tuple[int, int]]:
+_PUBLIC, _PLACEHOLDERS = (tuple(re.compile(p) for p in patterns) for patterns in (PUBLIC, PLACEHOLDERS))
+_PART = re.compile(r"[^/=]+")
+
+
+def judged_parts(candidate: str) -> list[tuple[int, int]]:
+    """(start, end) of what the allow list leaves of a candidate."""
+    if any(p.fullmatch(candidate) for p in _PUBLIC):
+        return []
+    out, at = [], 0
+    for part in _PART.finditer(candidate):
+        if any(p.fullmatch(part.group()) for p in _PUBLIC[:1] + _PLACEHOLDERS):
+            out.append((at, part.start()))
+            at = part.end() + 1  # and the sign behind it
+    return [(a, b) for a, b in [*out, (at, len(candidate))] if b - a >= WINDOW]
+
+
+def high_entropy_spans(text: str) -> list[tuple[int, int]]:
     """Spans of windows at or over their class limit, overlapping windows merged."""
     spans = []
     for match in _CANDIDATE.finditer(text):
-        candidate = match.group()
-        kind = character_class(candidate)
-        if kind is None or any(p.fullmatch(candidate) for p in allow):
-            continue
-        runs: list[list[int]] = []
-        for start, entropy in entropy_windows(candidate):
-            if entropy < ENTROPY_LIMITS[kind]:
-                continue
-            if runs and start <= runs[-1][1]:
-                runs[-1][1] = start + WINDOW
-            else:
-                runs.append([start, start + WINDOW])
-        spans += [(match.start() + a, match.start() + b) for a, b in runs]
+        for a, b in judged_parts(match.group()):
+            judged = match.group()[a:b]
+            limit, at = ENTROPY_LIMITS[character_class(judged)], match.start() + a
+            runs: list[list[int]] = []
+            for start, entropy in entropy_windows(judged):
+                if entropy < limit:
+                    continue
+                if runs and start <= runs[-1][1]:
+                    runs[-1][1] = start + WINDOW
+                else:
+                    runs.append([start, start + WINDOW])
+            spans += [(at + i, at + j) for i, j in runs]
     return spans
 
 
@@ -103,13 +124,40 @@ def _ordered(spans):
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def outside(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the disjoint, ordered ``spans`` have outside ``taken`` (ordered by start); one sweep over both."""
+    out, i = [], 0
+    for start, end in spans:
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        j = i
+        while j < len(taken) and taken[j][0] < end:
+            if start < taken[j][0]:
+                out.append((start, taken[j][0]))
+            start = max(start, taken[j][1])
+            j += 1
+        if start < end:
+            out.append((start, end))
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def scan_text(text: str | None) -> tuple[list, list]:
     """(base spans, all spans) of one text; added spans never overlap a base span."""
     if not text:
         return [], []
     base = base_spans(text)
-    added = [(a, b, "entropy") for a, b in high_entropy_spans(text) if not any(a < e and s < b for s, e, _ in base)]
-    return base, _ordered(base + added)
+    added = outside(high_entropy_spans(text), _merged([(s, e) for s, e, _ in base]))
+    return base, _ordered(base + [(a, b, "entropy") for a, b in added])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
