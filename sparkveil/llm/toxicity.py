@@ -1,43 +1,44 @@
 """Operator 6: toxicity by nearest labelled examples.
 
-A bounded sample of labelled examples becomes a block-max inverted index: for
-every term its postings, and for every term and block of neighbouring examples
-the largest weight there. A document is scored by the exact TF-IDF cosine to
-its nearest examples: blocks are visited by descending upper bound (the sum of
-the block maxima of its terms) until no unvisited block can enter the nearest
-``k``. The neighbours vote weighted by similarity; the vote is calibrated on
-the examples themselves, each scored without itself. The neighbours are
-returned as evidence.
-
-Terms are words and four-byte word beginnings, kept where the sample shows
-them to depend on the label. Document frequencies are counted over all
-documents of the table, not over the sample.
+A bounded sample of labelled examples becomes a block-max inverted index over
+all its terms: for every term and block of neighbouring examples the postings
+and the largest weight there. A document is scored by the exact TF-IDF cosine
+to its nearest examples: the bound of a block is the sum of the block maxima of
+the document's terms; blocks are visited by descending bound, and postings of a
+block are read only if its bound can still enter the nearest ``k``.
+
+The neighbours vote: each by the part of its similarity that comes from terms
+which depend on the label in the sample, against all similarity there is. The
+vote is calibrated on the examples themselves, each scored without itself. The
+neighbours are returned as evidence.
+
+Terms are words and four-byte word beginnings. Document frequencies are counted
+over all documents of the table, not over the sample.
 
 Defined cases: null and empty texts, and texts without any known term, have no
 neighbours and get the calibrated score of such examples; equal similarities
-are broken by the smaller example id; repeated rows score alike; without
-labelled rows every score is 0; columns besides ``doc_id`` and ``text`` are
-not read.
+are broken by the smaller example id; repeated rows score alike, and equal texts
+or rows of one id among the examples count once; very long texts are read whole,
+in segments; an empty table gives no rows; without labelled rows every score is
+0; columns besides ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batch_word_hashes, mix64, save, span_hashes, text_buffers, word_table
+from .common import LOWER, SEGMENT, batch_word_hashes, mix64, save, span_hashes, text_buffers, word_table
 
 #: The most labelled examples in the index: positive and other ones (the documented bound).
-MAX_POSITIVE, MAX_OTHER = 4_000, 8_000
-#: The most terms kept, how far from chance a term must be (standard errors of its log odds), and its odds ratio.
-MAX_TERMS, MIN_Z, MIN_EXAMPLES, MIN_ODDS = 4_000, 3.0, 3, 20
-#: Weight of "no evidence" among the squared similarities of the votes: faint likeness alone convinces nobody.
-DOUBT = 1.0
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
+MAX_POSITIVE, MAX_OTHER = 2_000, 4_000
+#: When a term depends on the label: how far from chance (standard errors of its log odds), how many positive examples, and its odds ratio.
+MIN_Z, MIN_EXAMPLES, MIN_ODDS = 3.0, 3, 20
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 16, 24
 #: ``predicted`` is 1 from this score on.
 TOXIC_SCORE = 0.7
 
@@ -46,8 +47,19 @@ _WORDS = word_table(word=b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopq
 _PREFIX_SALT = np.uint64(0xA0761D6478BD642F)
 
 
+def _beginnings(piece: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the word beginnings ``piece[at[i]:stop[i]]``, a segment at a time."""
+    out, i = [], 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + SEGMENT)))
+        part = piece[at[i]: stop[j - 1]]
+        out.append(span_hashes(LOWER[part], at[i:j] - at[i], stop[i:j] - at[i]))
+        i = j
+    return mix64(np.concatenate(out) ^ _PREFIX_SALT) if out else np.zeros(0, dtype=np.uint64)
+
+
 def term_batches(array):
-    """Yield (first row, row starts, term hashes) over the texts of an Arrow array: words, then word beginnings."""
+    """Yield (first row, row starts, term hashes) over the texts of an Arrow array: every word and its beginning."""
     data, offsets = text_buffers(array)
     for first, cuts, words in batch_word_hashes(data, offsets, _WORDS):
         last = first + len(cuts) - 1
@@ -59,132 +71,138 @@ def term_batches(array):
         inner = inner[inner < len(piece)]
         start[inner] = word[inner]
         at = np.flatnonzero(start)
-        if len(at) != len(words):  # a text beyond one segment: its word beginnings are left out
-            yield first, cuts, words
-            continue
         stop = np.minimum(at + 4, np.append(at[1:], len(piece)))
-        begin = span_hashes(LOWER[piece], at, stop) ^ _PREFIX_SALT
         both = np.empty(2 * len(words), dtype=np.uint64)
-        both[::2], both[1::2] = words, mix64(begin)
+        both[::2], both[1::2] = words, _beginnings(piece, at, stop)
         yield first, cuts * 2, both
 
 
+def _expanded(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... (count[i] of them) for every i."""
+    return np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Examples by term. All arrays are bounded by the bounds above."""
+    """Examples by term. All arrays are bounded by the sample."""
 
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray
+    telling: np.ndarray  # 1 for terms that speak for the label, else 0
     ids: np.ndarray  # of the examples
     labels: np.ndarray
-    starts: np.ndarray  # postings of term t: starts[t] to starts[t + 1]
-    examples: np.ndarray  # ascending within a term
+    entries: np.ndarray  # block entries of term t: entries[t] to entries[t + 1]
+    block: np.ndarray  # of an entry
+    block_max: np.ndarray
+    starts: np.ndarray  # postings of entry e: starts[e] to starts[e + 1]
+    examples: np.ndarray
     weights: np.ndarray
-    block_max: np.ndarray  # [term, block]
+    blocks: int
     cuts: np.ndarray  # calibration: vote thresholds
     levels: np.ndarray  # and the score of each step
     blank: float  # score without any neighbour
 
     def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a document, unit length; empty without known terms."""
-        at = np.searchsorted(self.terms, hashes)
-        at[at == len(self.terms)] = 0
-        at = at[self.terms[at] == hashes] if len(self.terms) else at[:0]
-        term, count = np.unique(at, return_counts=True)
+        """(terms, weights) of a document, unit length over the known terms; empty without any."""
+        if not len(self.terms):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return self._unit(*np.unique(at[self.terms[at] == hashes], return_counts=True))
+
+    def _unit(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight = (1 + np.log(count)) * self.idf[term]
         norm = np.sqrt((weight**2).sum())
         return (term, weight / norm) if norm > 0 else (term[:0], weight[:0])
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
-        """Exact (examples, similarities) of the ``k`` most similar examples, best first."""
-        bounds = weight @ self.block_max[term]
-        count = self.starts[term + 1] - self.starts[term]
-        at = np.repeat(self.starts[term] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        example, value = self.examples[at], np.repeat(weight, count) * self.weights[at]
-        block = example // BLOCK
-
-        def best_in(chosen: np.ndarray):
-            inside = chosen[block]
-            score = np.bincount(example[inside], value[inside])
-            names = np.flatnonzero(score > 0)
-            names = names[names != without]
-            return names, score[names]
+        """Exact (examples, similarities, telling parts) of the ``k`` most similar examples, best first."""
+        count = self.entries[term + 1] - self.entries[term]
+        entry = _expanded(self.entries[term], count)
+        own, block = np.repeat(weight, count), self.block[entry]
+        bounds = np.bincount(block, own * self.block_max[entry], minlength=self.blocks)
+        score = np.zeros(len(self.ids))
+
+        def read(chosen: np.ndarray) -> np.ndarray:
+            """Add the postings of the chosen blocks to ``score``; the k-th best similarity so far."""
+            held = np.flatnonzero(chosen[block])
+            begin = self.starts[entry[held]]
+            n = self.starts[entry[held] + 1] - begin
+            at = _expanded(begin, n)
+            score[:] += np.bincount(self.examples[at], np.repeat(own[held], n) * self.weights[at], minlength=len(score))
+            if without >= 0:
+                score[without] = 0
+            return np.partition(score, -k)[-k] if len(score) >= k else 0.0
 
         # the blocks of the highest bounds first, then all that can still hold one of the k best
-        chosen = np.zeros(len(bounds), dtype=bool)
-        chosen[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        names, best = best_in(chosen)
-        floor = np.partition(best, -k)[-k] if len(best) >= k else 0.0
-        more = (bounds > 0) & (bounds >= floor - 1e-12) & ~chosen
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argpartition(bounds, -FIRST_BLOCKS)[-FIRST_BLOCKS:] if self.blocks > FIRST_BLOCKS else slice(None)] = True
+        more = (bounds > 0) & (bounds >= read(first) - 1e-12) & ~first
         if more.any():
-            names, best = best_in(chosen | more)
-        keep = np.lexsort((self.ids[names], -np.round(best, 12)))[:k]
-        return names[keep], best[keep]
-
-    def vote(self, names: np.ndarray, best: np.ndarray) -> float:
-        """Share of positive neighbours by squared similarity, and some doubt."""
-        return float((best**2 * self.labels[names]).sum() / ((best**2).sum() + DOUBT))
-
-    def score(self, names: np.ndarray, best: np.ndarray) -> float:
+            read(more)
+        names = np.flatnonzero(score > 0)
+        if len(names) > k:
+            names = names[score[names] >= np.partition(score, -k)[-k] - 1e-11]
+        names = names[np.lexsort((self.ids[names], -np.round(score[names], 12)))[:k]]
+        # what of these similarities comes from telling terms
+        tell = np.flatnonzero(self.telling[term] > 0)
+        entry = _expanded(self.entries[term[tell]], count[tell])
+        n = self.starts[entry + 1] - self.starts[entry]
+        at = _expanded(self.starts[entry], n)
+        told = np.bincount(self.examples[at], np.repeat(np.repeat(weight[tell], count[tell]), n) * self.weights[at], minlength=len(score))
+        return names, score[names], told[names]
+
+    def vote(self, names: np.ndarray, best: np.ndarray, told: np.ndarray) -> float:
+        """Telling similarity of the positive neighbours among all similarity."""
+        return float((told * self.labels[names]).sum() / best.sum())
+
+    def score(self, names: np.ndarray, best: np.ndarray, told: np.ndarray) -> float:
         """Calibrated score of a document with these neighbours."""
         if not len(names):
             return self.blank
-        return float(self.levels[np.searchsorted(self.cuts, self.vote(names, best), side="right") - 1])
-
-
-def select_terms(sample: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms that depend on the label in the sample (``text``, ``label`` boolean).
-
-    Counted by a Spark aggregate; at most ``MAX_TERMS`` terms reach the driver.
-    """
-    size = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    n, m = size.get(True, 0), size.get(False, 0)
-    if not n or not m:
-        return np.zeros(0, dtype=np.uint64)
-    term = _term_rows(sample.select(F.col("label").cast("long").alias("doc_id"), "text"))
-    term = term.select(F.col("doc_id").alias("y"), F.explode(F.array_distinct("terms")).alias("term"))
-    count = term.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("c"))
-    odds = lambda x, all_: F.log((F.col(x) + 0.5) / (all_ - F.col(x) + 0.5))
-    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (n - F.col("a") + 0.5) + 1 / (F.col("c") + 0.5) + 1 / (m - F.col("c") + 0.5))
-    count = count.where((F.col("a") >= MIN_EXAMPLES) | (F.col("c") >= 10 * MIN_EXAMPLES))
-    count = count.withColumn("odds", odds("a", n) - odds("c", m)).withColumn("z", F.abs(F.col("odds")) / spread)
-    kept = count.where((F.abs("odds") >= float(np.log(MIN_ODDS))) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return np.sort(np.array([r.term for r in kept.select("term").collect()], dtype=np.int64).view(np.uint64))
-
-
-def build_index(ids: np.ndarray, labels: np.ndarray, rows: list[np.ndarray], terms: np.ndarray, df: np.ndarray,
-                documents: int, shares: tuple[float, float] = (1.0, 1.0)) -> BlockMaxIndex:
-    """Index of the examples; ``df`` counts documents with each term among ``documents``.
-
-    ``shares`` are the sampled shares of other and positive examples; the
-    calibration weighs examples by their inverse.
-    """
+        return float(self.levels[np.searchsorted(self.cuts, self.vote(names, best, told), side="right") - 1])
+
+
+def telling_terms(positive: np.ndarray, other: np.ndarray, n: int, m: int) -> np.ndarray:
+    """1.0 for the terms that speak for the label, from the examples with each term among ``n`` positive and ``m`` other ones."""
+    odds = np.log((positive + 0.5) / (n - positive + 0.5)) - np.log((other + 0.5) / (m - other + 0.5))
+    spread = np.sqrt(1 / (positive + 0.5) + 1 / (n - positive + 0.5) + 1 / (other + 0.5) + 1 / (m - other + 0.5))
+    return ((positive >= MIN_EXAMPLES) & (odds >= np.log(MIN_ODDS)) & (odds / spread >= MIN_Z)).astype(float)
+
+
+def build_index(ids: np.ndarray, labels: np.ndarray, rows: list[np.ndarray], terms: np.ndarray, df: np.ndarray, documents: int) -> BlockMaxIndex:
+    """Index of the examples, not calibrated yet; ``df`` counts documents with each of the sorted ``terms`` among ``documents``."""
     idf = np.log((documents + 1) / (df + 1)) + 1e-3
-    none = np.zeros(0)
-    index = BlockMaxIndex(terms, idf, ids, labels.astype(float), none, none, none, none, none, none, 0.0)
+    labels = labels.astype(float)
+    none, whole = np.zeros(0), np.zeros(0, dtype=np.int64)
+    index = BlockMaxIndex(terms, idf, np.zeros(len(terms)), ids, labels, whole, whole, none, whole, whole, none, 1, np.array([-np.inf]), np.array([0.0]), 0.0)
     vectors = [index.vector(r) for r in rows]
-    t = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, dtype=np.int64)
-    w = np.concatenate([v[1] for v in vectors]) if vectors else none
-    e = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-    order = np.lexsort((e, t))
-    t, w, e = t[order].astype(np.int64), w[order], e[order]
-    blocks = max(1, -(-len(rows) // BLOCK))
-    block_max = np.zeros((len(terms), blocks))
-    np.maximum.at(block_max, (t, e // BLOCK), w)
-    starts = np.searchsorted(t, np.arange(len(terms) + 1))
-    index = BlockMaxIndex(terms, idf, ids, labels.astype(float), starts, e, w, block_max, none, none, 0.0)
-    votes, truth, mass = [], [], []
-    blank = [1e-9, 0.0]
-    for i, (term, weight) in enumerate(vectors):
-        inverse = 1 / shares[int(labels[i])]
-        names, best = index.nearest(term, weight, without=i) if len(term) else (none, none)
-        if len(names):
-            votes.append(index.vote(names, best)), truth.append(float(labels[i])), mass.append(inverse)
-        else:
-            blank[0] += inverse
-            blank[1] += inverse * float(labels[i])
-    cuts, levels = _isotonic(np.array(votes), np.array(truth), np.array(mass))
-    return BlockMaxIndex(terms, idf, ids, labels.astype(float), starts, e, w, block_max, cuts, levels, blank[1] / blank[0])
+    # examples of one kind stand side by side, so that the maxima of a block are close to its members: order by the three most widespread terms
+    kind = np.array([np.append(t[np.argsort(idf[t], kind="stable")[:3]], [-1] * 3)[:3] for t, _ in vectors]).reshape(len(rows), 3)
+    order = np.lexsort((ids, *kind.T[::-1]))
+    ids, labels, vectors = ids[order], labels[order], [vectors[i] for i in order]
+    size = np.array([len(v[0]) for v in vectors], dtype=np.int64)
+    t = np.concatenate([v[0] for v in vectors] or [whole]).astype(np.int64)
+    w = np.concatenate([v[1] for v in vectors] or [none])
+    e = np.repeat(np.arange(len(vectors)), size)
+    order = np.argsort(t, kind="stable")  # examples stay ascending within a term
+    t, w, e = t[order], w[order], e[order].astype(np.int32)
+    fresh = np.ones(len(t), dtype=bool)
+    fresh[1:] = (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)
+    at = np.flatnonzero(fresh)
+    seen = [np.bincount(t, labels[e] == y, minlength=len(terms)) for y in (1, 0)]
+    telling = telling_terms(*seen, int((labels == 1).sum()), int((labels == 0).sum()))
+    return BlockMaxIndex(
+        terms, idf, telling, ids, labels, np.searchsorted(t[at], np.arange(len(terms) + 1)), (e[at] // BLOCK).astype(np.int32),
+        np.maximum.reduceat(w, at) if len(at) else none, np.append(at, len(t)), e, w, max(1, -(-len(rows) // BLOCK)),
+        np.array([-np.inf]), np.array([0.0]), 0.0)
+
+
+def calibrate(index: BlockMaxIndex, votes: np.ndarray, truth: np.ndarray, mass: np.ndarray) -> BlockMaxIndex:
+    """``index`` with the scores of votes; the votes (NaN without neighbours) are of the examples, each without itself."""
+    lone = np.isnan(votes)
+    blank = float((mass * truth)[lone].sum() / (mass[lone].sum() + 1e-9))
+    cuts, levels = _isotonic(votes[~lone], truth[~lone], mass[~lone])
+    return replace(index, cuts=cuts, levels=levels, blank=blank)
 
 
 def _isotonic(vote: np.ndarray, truth: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,14 +224,11 @@ def _isotonic(vote: np.ndarray, truth: np.ndarray, mass: np.ndarray) -> tuple[np
     return np.array([-np.inf] + [s[0] for s in steps[1:]]), np.array([s[1] / s[2] for s in steps])
 
 
-def _term_rows(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """``doc_id`` and ``terms`` of each row of (``doc_id``, ``text``); ``only`` keeps these terms."""
+def _term_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``terms`` of each row of (``doc_id``, ``text``)."""
     def run(batches):
         for batch in batches:
             for first, cuts, terms in term_batches(batch.column(1)):
-                if only is not None:
-                    keep = _member(terms, only)
-                    cuts, terms = np.concatenate(([0], np.cumsum(keep)))[cuts], terms[keep]
                 rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(terms.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cuts) - 1), rows], ["doc_id", "terms"])
 
@@ -222,7 +237,10 @@ def _term_rows(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
 
 def count_terms(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many documents of the whole table each of the (bounded) terms occurs, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
     def run(batches):
+        terms = shared.value
         count, rows = np.zeros(len(terms) + 1, dtype=np.int64), 0
         for batch in batches:
             for _, cuts, found in term_batches(batch.column(1)):
@@ -237,12 +255,33 @@ def count_terms(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["term", "n"])
 
     counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "term long, n long")
+    counted = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the sample has terms
     out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for row in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most MAX_TERMS + 1 rows
-        out[row.term] = row.n
+    out[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    shared.unpersist()
     return out[:-1], int(out[-1])
 
 
+def _judged(docs: DataFrame, index: BlockMaxIndex, schema: str, names: list[str], made) -> DataFrame:
+    """One row of ``made(index, doc_id, neighbours)`` for each row of (doc_id, text); neighbours are None without known terms."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            ids, rows = batch.column(0).to_pylist(), [None] * batch.num_rows
+            for first, cuts, terms in term_batches(batch.column(1)):
+                hit = np.flatnonzero(_member(terms, index.terms))
+                edge = np.searchsorted(hit, cuts)
+                for row in np.flatnonzero(edge[1:] > edge[:-1]):
+                    vector = index.vector(terms[hit[edge[row]: edge[row + 1]]])
+                    rows[first + row] = vector if len(vector[0]) else None
+            columns = list(zip(*(made(index, i, v) for i, v in zip(ids, rows)))) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, names)], [n for n, _ in names])
+
+    return docs.mapInArrow(run, schema)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_other: int = MAX_OTHER) -> BlockMaxIndex:
     """Index of at most ``max_positive + max_other`` labelled examples (those with the smallest hashes of ``doc_id``)."""
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.max("label") > 0).alias("label"))
@@ -251,16 +290,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POS
     sample = known.where("label").orderBy(*order).limit(max_positive).unionByName(
         known.where("not label").orderBy(*order).limit(max_other))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
-    one = texts.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("first"))  # equal texts count once
+    # rows of one id, and equal texts, count once
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    one = texts.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("first"))
     texts = save(one.select("first.doc_id", "first.label", "text"), "toxic-sample")
-    terms = select_terms(texts)
-    table = _term_rows(texts.select("doc_id", "text"), terms).join(texts.select("doc_id", "label"), "doc_id").toArrow()
-    table = table.sort_by("doc_id")
+    table = _term_rows(texts.select("doc_id", "text")).join(texts.select("doc_id", "label"), "doc_id").toArrow().sort_by("doc_id")
     ids, y = table["doc_id"].to_numpy().astype(np.int64), np.array(table["label"].to_pylist(), dtype=float)
-    rows = [np.array(t, dtype=np.int64).view(np.uint64) for t in table["terms"].to_pylist()]
+    rows = [r.values.to_numpy().view(np.uint64) if len(r) else np.zeros(0, dtype=np.uint64) for r in table["terms"]]
+    del table
+    terms = np.unique(np.concatenate(rows or [np.zeros(0, dtype=np.uint64)]))
     df, documents = count_terms(docs, terms)
-    shares = (min(1.0, max_other / max(1, size.get(False, 1))), min(1.0, max_positive / max(1, size.get(True, 1))))
-    return build_index(ids, y, rows, terms, df, documents, shares)
+    index = build_index(ids, y, rows, terms, df, documents)
+    del rows
+    place = {int(i): n for n, i in enumerate(index.ids)}
+
+    def alone(index, doc_id, vector):
+        found = index.nearest(*vector, without=place[doc_id]) if vector else ((),)
+        return doc_id, index.vote(*found) if len(found[0]) else None
+
+    votes = _judged(texts.select("doc_id", "text"), index, "doc_id long, vote double", [("doc_id", pa.int64()), ("vote", pa.float64())], alone).toArrow()
+    vote = np.full(len(index.ids), np.nan)
+    vote[[place[i] for i in votes["doc_id"].to_pylist()]] = votes["vote"].to_numpy()
+    inverse = [1 / min(1.0, most / max(1, size.get(label, 1))) for label, most in ((False, max_other), (True, max_positive))]
+    return calibrate(index, vote, index.labels, np.array(inverse)[index.labels.astype(int)])
 
 
 def _member(values, terms):
@@ -274,19 +326,10 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,toxic:boolean,similarity:double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.bool_()), ("similarity", pa.float64())]))
 
-    def run(batches):
-        for batch in batches:
-            score, evidence = np.full(batch.num_rows, index.blank), [[]] * batch.num_rows
-            for first, cuts, terms in term_batches(batch.column(1)):
-                hit = np.flatnonzero(_member(terms, index.terms))
-                row_of = np.searchsorted(cuts, hit, side="right") - 1
-                for row in np.unique(row_of):
-                    term, weight = index.vector(terms[hit[row_of == row]])
-                    names, best = index.nearest(term, weight)
-                    score[first + row] = index.score(names, best)
-                    evidence[first + row] = [
-                        {"doc_id": int(index.ids[n]), "toxic": bool(index.labels[n]), "similarity": float(s)}
-                        for n, s in zip(names, best)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    def made(index, doc_id, vector):
+        found = index.nearest(*vector) if vector else ((), (), ())
+        evidence = [{"doc_id": int(index.ids[n]), "toxic": bool(index.labels[n]), "similarity": float(s)} for n, s in zip(*found[:2])]
+        return doc_id, index.score(*found), evidence
+
+    names = [("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", kind)]
+    return _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), index, schema, names, made)
