@@ -6,7 +6,8 @@ are grown on a bounded, documented sample of labelled rows and flattened into
 plain arrays, so scoring is a fixed number of vectorised gathers per tree level.
 
 Defined cases: a null text counts as empty; empty texts get the score the trees
-give to all-zero statistics; without labelled rows every score is 0.5; rows are
+give to all-zero statistics; very long texts are read whole, in segments; an
+empty table gives no rows; of the rows of a sampled id one is learned from; without labelled rows every score is 0.5; rows are
 scored one by one, so repeated rows get equal scores and ties cannot arise;
 columns of ``documents`` other than ``doc_id`` and ``text`` are never read, so
 extra columns may have any name.
@@ -197,9 +198,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING
     """
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = _statistics_frame(texts).join(F.broadcast(known), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "log_bytes"], kind="stable")
+    rows = rows.sort_values("doc_id", kind="stable")
     return fit_trees(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float), **options)
 
 
