@@ -82,18 +82,22 @@ def line_dedup(docs, min_words=50):
     """doc_id to text without later copies of line runs of min_words words, for documents of distinct ids."""
     lines = {i: t.split("\n") for i, t in sorted(docs) if t is not None}
     count = {i: [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in ls] for i, ls in lines.items()}
+    seen = {}
+    for ls in lines.values():
+        for x in ls:
+            seen[x] = seen.get(x, 0) + 1
     runs = {}
     for i, ls in lines.items():
         for s in range(len(ls)):
-            words = 0
+            words, name = 0, 0
             for e in range(s, len(ls)):
-                words += count[i][e]
-                if words >= min_words:
-                    runs.setdefault(tuple(ls[s:e + 1]), []).append((i, s))
-                if words >= min_words + 200 or e - s > 60:
+                if seen[ls[e]] < 2:  # no run with this line repeats
                     break
+                words, name = words + count[i][e], hash((name, ls[e]))
+                if words >= min_words:
+                    runs.setdefault((name, e - s), []).append((i, s))
     gone = {i: set() for i in lines}
-    for run, at in runs.items():
+    for (_, last), at in runs.items():
         for i, s in sorted(at)[1:]:
-            gone[i].update(range(s, s + len(run)))
+            gone[i].update(range(s, s + last + 1))
     return {i: "\n".join(x for n, x in enumerate(ls) if n not in gone[i]) for i, ls in lines.items()}

@@ -75,7 +75,7 @@ def test_ngram_join(docs, none):
             assert (n, c) == want[i]
     assert len(got) == len(DOCS) and (0, 1, None) in got
     kept = ngram_join.keep_one_per_group(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 6, 8, 9]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]  # of the equal rows of id 6 one stays
     assert ngram_join.near_duplicate_components(none).count() == 0
 
 
@@ -160,7 +160,8 @@ def test_block_max_is_exact():
         dense[i, t] = w
     for q in rows[:60]:
         t, w = index.vector(q)
-        names, best = index.nearest(t, w)
+        names, best, told = index.nearest(t, w)
+        names = index.ids[names]
         full = dense[:, t] @ w
         order = np.lexsort((np.arange(500), -np.round(full, 12)))[:toxicity.NEIGHBOURS]
         assert names.tolist() == order.tolist() and np.allclose(best, full[order])
@@ -233,7 +234,7 @@ def test_lines(spark, docs, none):
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("stop", F.lit(1))
     rows = {r.doc_id: r for r in lines.remove_repeated_lines(df).collect()}
     assert rows[None].text == f"{long}\n{other}" and rows[1].text == "top\ntail" and rows[2].text == "" and rows[3].text == texts[2][1]
-    assert rows[4].text is None and rows[5].text == "" and rows[6].line_dedup.n_deleted == 19 - 0 or rows[6].line_dedup.n_deleted < 20
+    assert rows[4].text is None and rows[5].text == "" and rows[6].line_dedup.n_deleted == 11  # nine lines make 54 words
     assert lines.remove_repeated_lines(docs).count() == len(DOCS) and lines.remove_repeated_lines(none).count() == 0
 
 
@@ -244,7 +245,7 @@ def test_no_round_packs_more_than_a_chunk(spark, monkeypatch, small):
     pieces = spark.range(3000 + small).selectExpr("id as row", "0 as piece", "bigint(if(id < 3000, 1100, 900)) as length")
     rows = packing.pack(pieces, chunk=500).collect()
     assert len(rows) == 3000 + small and len({r.row for r in rows}) == 3000 + small
-    chunk = [f.groupBy(F.substring_index("bin", "-", 2)).count().agg(F.max("count")).first()[0] for f in seen]
+    chunk = [f.groupBy(F.shiftright("bin", 17)).count().agg(F.max("count")).first()[0] for f in seen]
     assert max(chunk) <= 500 and len(seen) <= 4
     by = {}
     for r in rows:
