@@ -71,7 +71,9 @@ def term_batches(array):
         inner = inner[inner < len(piece)]
         start[inner] = word[inner]
         at = np.flatnonzero(start)
-        stop = np.minimum(at + 4, np.append(at[1:], len(piece)))
+        final = word.copy()
+        final[:-1] &= ~(word[1:] & ~start[1:])
+        stop = np.minimum(at + 4, np.flatnonzero(final) + 1)
         both = np.empty(2 * len(words), dtype=np.uint64)
         both[::2], both[1::2] = words, _beginnings(piece, at, stop)
         yield first, cuts * 2, both
