@@ -68,7 +68,7 @@ def sanitize(texts: DataFrame, key: Column, model: Column | None = None, registr
     out = out.withColumn("sanitized", spliced).withColumn("status", F.coalesce("error", F.lit("ok"))).drop("spans", "error")
     given = span.where("not ingress and new is not null").groupBy("session_id", F.col("new").alias("surrogate")).agg(
         F.min(F.struct("seq", "entity_type", "value")).alias("f")).select("session_id", "surrogate", "f.entity_type", F.col("f.value").alias("original"), "f.seq")
-    return out, given
+    return out, written(given, "registry")  # the next batch reads it, and must not compute this one again
 
 
 def decrypt_registry(registry: DataFrame, key: Column) -> DataFrame:

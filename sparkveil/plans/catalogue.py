@@ -14,7 +14,7 @@ from sparkveil.functions.text import split_into_n, split_on_space
 from sparkveil.operators import detect, domains, pools, sanitize, sessions
 from sparkveil.plans import evaluation
 from sparkveil.sources import bodies
-from sparkveil.sources.scratch import shared_dir, written
+from sparkveil.sources.scratch import shared_dir
 from sparkveil.streaming import sse
 
 QUERIES: dict = {}
@@ -422,7 +422,6 @@ def sanitize_two_batches(spark, sf_dir):
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("PERSON").alias("entity_type"), F.lit(2).alias("tier"), F.lit(8).alias("det_idx"), F.lit(0).alias("emit_pos")))
     model = F.struct(whole.alias("spans"), F.lit(None).cast("string").alias("error"))  # a model that takes each text for a name
     first, given = sanitize.sanitize(orders.where("seq % 2 = 0"), demo_key(), model)
-    given = written(given, "registry")
     second, more = sanitize.sanitize(orders.where("seq % 2 = 1"), demo_key(), model, given)
     back = sanitize.rehydrate(first.unionByName(second), given.unionByName(more), "sanitized")
     return back.select("seq", F.col("rehydrated").alias("text"), "status")
