@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, SEGMENT, batch_word_hashes, mix64, save, span_hashes, text_buffers, word_table
 
 #: The most labelled examples in the index: positive and other ones (the documented bound).
-MAX_POSITIVE, MAX_OTHER = 2_000, 4_000
+MAX_POSITIVE, MAX_OTHER = 1_000, 2_500
 #: When a term depends on the label: how far from chance (standard errors of its log odds), how many positive examples, and its odds ratio.
 MIN_Z, MIN_EXAMPLES, MIN_ODDS = 3.0, 3, 20
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 16, 24
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 128, 4
+#: Texts whose scores a task remembers.
+REMEMBERED = 2_000
 #: ``predicted`` is 1 from this score on.
 TOXIC_SCORE = 0.7
 
@@ -85,33 +87,53 @@ def _expanded(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class BlockMaxIndex:
-    """Examples by term. All arrays are bounded by the sample."""
+class Examples:
+    """What an index is made from, and shipped as: term counts of the examples, by term. All arrays are bounded by the sample."""
 
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
-    telling: np.ndarray  # 1 for terms that speak for the label, else 0
-    ids: np.ndarray  # of the examples
+    df: np.ndarray  # documents of the table with each term
+    documents: int
+    ids: np.ndarray
     labels: np.ndarray
-    entries: np.ndarray  # block entries of term t: entries[t] to entries[t + 1]
-    block: np.ndarray  # of an entry
-    block_max: np.ndarray
-    starts: np.ndarray  # postings of entry e: starts[e] to starts[e + 1]
-    examples: np.ndarray
-    weights: np.ndarray
-    blocks: int
+    begin: np.ndarray  # postings of term t: begin[t] to begin[t + 1]
+    examples: np.ndarray  # ascending within a term
+    counts: np.ndarray
     cuts: np.ndarray  # calibration: vote thresholds
     levels: np.ndarray  # and the score of each step
     blank: float  # score without any neighbour
 
+
+class BlockMaxIndex:
+    """Examples by term and block of neighbouring examples."""
+
+    def __init__(self, of: Examples):
+        self.of = of
+        self.terms, self.ids, self.labels = of.terms, of.ids, of.labels
+        self.idf = np.log((of.documents + 1) / (of.df + 1)) + 1e-3
+        self.examples, self.blocks = of.examples, max(1, -(-len(of.ids) // BLOCK))
+        t = np.repeat(np.arange(len(of.terms)), np.diff(of.begin))
+        w = (1 + np.log(of.counts)) * self.idf[t]
+        norm = np.sqrt(np.bincount(of.examples, w**2, minlength=len(of.ids)))
+        self.weights = w / norm[of.examples]
+        block = of.examples // BLOCK
+        at = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (block[1:] != block[:-1]))[: len(t)])
+        self.entries = np.searchsorted(t[at], np.arange(len(of.terms) + 1))  # block entries of term t: entries[t] to entries[t + 1]
+        self.block = block[at]
+        self.block_max = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
+        self.starts = np.append(at, len(t))  # postings of entry e: starts[e] to starts[e + 1]
+        seen = [np.bincount(t, of.labels[of.examples] == y, minlength=len(of.terms)) for y in (1, 0)]
+        self.telling = telling_terms(*seen, int((of.labels == 1).sum()), int((of.labels == 0).sum()))
+        self.cuts, self.levels, self.blank = of.cuts, of.levels, of.blank
+
+    def __reduce__(self):
+        return BlockMaxIndex, (self.of,)
+
     def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of a document, unit length over the known terms; empty without any."""
         if not len(self.terms):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return self._unit(*np.unique(at[self.terms[at] == hashes], return_counts=True))
-
-    def _unit(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        term, count = np.unique(at[self.terms[at] == hashes], return_counts=True)
         weight = (1 + np.log(count)) * self.idf[term]
         norm = np.sqrt((weight**2).sum())
         return (term, weight / norm) if norm > 0 else (term[:0], weight[:0])
@@ -173,30 +195,18 @@ def telling_terms(positive: np.ndarray, other: np.ndarray, n: int, m: int) -> np
 
 def build_index(ids: np.ndarray, labels: np.ndarray, rows: list[np.ndarray], terms: np.ndarray, df: np.ndarray, documents: int) -> BlockMaxIndex:
     """Index of the examples, not calibrated yet; ``df`` counts documents with each of the sorted ``terms`` among ``documents``."""
-    idf = np.log((documents + 1) / (df + 1)) + 1e-3
-    labels = labels.astype(float)
-    none, whole = np.zeros(0), np.zeros(0, dtype=np.int64)
-    index = BlockMaxIndex(terms, idf, np.zeros(len(terms)), ids, labels, whole, whole, none, whole, whole, none, 1, np.array([-np.inf]), np.array([0.0]), 0.0)
-    vectors = [index.vector(r) for r in rows]
     # examples of one kind stand side by side, so that the maxima of a block are close to its members: order by the three most widespread terms
-    kind = np.array([np.append(t[np.argsort(idf[t], kind="stable")[:3]], [-1] * 3)[:3] for t, _ in vectors]).reshape(len(rows), 3)
+    counted = [np.unique(np.searchsorted(terms, r), return_counts=True) for r in rows]
+    kind = np.array([np.append(t[np.argsort(-df[t], kind="stable")[:3]], [-1] * 3)[:3] for t, _ in counted]).reshape(len(rows), 3)
     order = np.lexsort((ids, *kind.T[::-1]))
-    ids, labels, vectors = ids[order], labels[order], [vectors[i] for i in order]
-    size = np.array([len(v[0]) for v in vectors], dtype=np.int64)
-    t = np.concatenate([v[0] for v in vectors] or [whole]).astype(np.int64)
-    w = np.concatenate([v[1] for v in vectors] or [none])
-    e = np.repeat(np.arange(len(vectors)), size)
-    order = np.argsort(t, kind="stable")  # examples stay ascending within a term
-    t, w, e = t[order], w[order], e[order].astype(np.int32)
-    fresh = np.ones(len(t), dtype=bool)
-    fresh[1:] = (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)
-    at = np.flatnonzero(fresh)
-    seen = [np.bincount(t, labels[e] == y, minlength=len(terms)) for y in (1, 0)]
-    telling = telling_terms(*seen, int((labels == 1).sum()), int((labels == 0).sum()))
-    return BlockMaxIndex(
-        terms, idf, telling, ids, labels, np.searchsorted(t[at], np.arange(len(terms) + 1)), (e[at] // BLOCK).astype(np.int32),
-        np.maximum.reduceat(w, at) if len(at) else none, np.append(at, len(t)), e, w, max(1, -(-len(rows) // BLOCK)),
-        np.array([-np.inf]), np.array([0.0]), 0.0)
+    counted = [counted[i] for i in order]
+    none = [np.zeros(0, dtype=np.int64)]
+    t, n = np.concatenate([c[0] for c in counted] or none), np.concatenate([c[1] for c in counted] or none)
+    e = np.repeat(np.arange(len(counted), dtype=np.int32), [len(c[0]) for c in counted])
+    by_term = np.argsort(t, kind="stable")  # examples stay ascending within a term
+    begin = np.searchsorted(t[by_term], np.arange(len(terms) + 1)).astype(np.int32)
+    return BlockMaxIndex(Examples(terms, df.astype(np.int64), documents, ids[order], labels[order].astype(float), begin, e[by_term],
+                                  n[by_term].astype(np.int32), np.array([-np.inf]), np.array([0.0]), 0.0))
 
 
 def calibrate(index: BlockMaxIndex, votes: np.ndarray, truth: np.ndarray, mass: np.ndarray) -> BlockMaxIndex:
@@ -204,7 +214,7 @@ def calibrate(index: BlockMaxIndex, votes: np.ndarray, truth: np.ndarray, mass:
     lone = np.isnan(votes)
     blank = float((mass * truth)[lone].sum() / (mass[lone].sum() + 1e-9))
     cuts, levels = _isotonic(votes[~lone], truth[~lone], mass[~lone])
-    return replace(index, cuts=cuts, levels=levels, blank=blank)
+    return BlockMaxIndex(replace(index.of, cuts=cuts, levels=levels, blank=blank))
 
 
 def _isotonic(vote: np.ndarray, truth: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,14 +270,12 @@ def count_terms(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     counted = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the sample has terms
     out = np.zeros(len(terms) + 1, dtype=np.int64)
     out[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    shared.unpersist()
+    shared.destroy()
     return out[:-1], int(out[-1])
 
 
-def _judged(docs: DataFrame, index: BlockMaxIndex, schema: str, names: list[str], made) -> DataFrame:
-    """One row of ``made(index, doc_id, neighbours)`` for each row of (doc_id, text); neighbours are None without known terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
+def _judged(docs: DataFrame, shared, schema: str, names: list[tuple], made) -> DataFrame:
+    """One row of ``made(index, doc_id, vector)`` for each row of (doc_id, text); vectors are None without known terms."""
     def run(batches):
         index = shared.value
         for batch in batches:
@@ -310,7 +318,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POS
         found = index.nearest(*vector, without=place[doc_id]) if vector else ((),)
         return doc_id, index.vote(*found) if len(found[0]) else None
 
-    votes = _judged(texts.select("doc_id", "text"), index, "doc_id long, vote double", [("doc_id", pa.int64()), ("vote", pa.float64())], alone).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    votes = _judged(texts.select("doc_id", "text"), shared, "doc_id long, vote double", [("doc_id", pa.int64()), ("vote", pa.float64())], alone).toArrow()
+    shared.destroy()
     vote = np.full(len(index.ids), np.nan)
     vote[[place[i] for i in votes["doc_id"].to_pylist()]] = votes["vote"].to_numpy()
     inverse = [1 / min(1.0, most / max(1, size.get(label, 1))) for label, most in ((False, max_other), (True, max_positive))]
@@ -328,10 +338,20 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,toxic:boolean,similarity:double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.bool_()), ("similarity", pa.float64())]))
 
+    remembered: dict[bytes, tuple] = {}  # of a task: copies of a text are scored once
+
     def made(index, doc_id, vector):
-        found = index.nearest(*vector) if vector else ((), (), ())
-        evidence = [{"doc_id": int(index.ids[n]), "toxic": bool(index.labels[n]), "similarity": float(s)} for n, s in zip(*found[:2])]
-        return doc_id, index.score(*found), evidence
+        if vector is None:
+            return doc_id, index.blank, []
+        name = vector[0].tobytes() + vector[1].tobytes()
+        if name not in remembered:
+            if len(remembered) >= REMEMBERED:
+                remembered.clear()
+            found = index.nearest(*vector)
+            evidence = [{"doc_id": int(index.ids[n]), "toxic": bool(index.labels[n]), "similarity": float(s)} for n, s in zip(*found[:2])]
+            remembered[name] = index.score(*found), evidence
+        return doc_id, *remembered[name]
 
     names = [("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", kind)]
-    return _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), index, schema, names, made)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    return _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), shared, schema, names, made)
