@@ -11,8 +11,11 @@ A run counts when it has ``min_words`` words. For each suffix the shortest such
 run it begins with, and for each line the shortest it ends, depend on the run's
 lines only; two overlapping power-of-two ranks and the length name its interval.
 In each interval the earliest run (by doc_id, then line) stays, and the lines
-of the later ones are deleted. The union of these shortest runs is the union of
-all maximal repeated runs of ``min_words`` words or more.
+of the later ones are deleted; a copy that overlaps the run that stays, in the
+same document, is no later copy, so the one that stays is never eaten by its own
+copies. (Its lines may still be the later copy of another run.) The union of
+these shortest runs is the union of all maximal repeated runs of ``min_words``
+words or more.
 
 Global ranks never pass through one task: counts are summed per bucket, buckets
 are summed in a table of bounded size, and rows are ranked inside their bucket.
@@ -123,13 +126,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     where = F.struct("d", "t", "start")
     kept = runs.groupBy("a", "b", "lines").agg(F.min(where).alias("kept"), F.count("*").alias("copies")).where("copies > 1")
     later = join_hot(runs, save(kept, "line-kept"), ["a", "b", "lines"], "copies", runs.count())
-    return later.where(where > F.col("kept")).select("d", "t", "start", "stop")
+    kept = F.col("kept")
+    own = (F.col("d") == kept["d"]) & (F.col("t") == kept["t"]) & (F.col("start") < kept["start"] + F.col("lines"))
+    return later.where((where > kept) & ~own).select("d", "t", "start", "stop")
 
 
-def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: str | None = "line_dedup") -> DataFrame:
     """``docs`` with the later copies of repeated line runs deleted from ``text``.
 
-    Adds struct ``line_dedup`` (n_lines, n_deleted); all other columns stay.
+    Adds the struct ``report`` (n_lines, n_deleted) in place of a column of that
+    name; all other columns stay. Without a ``report`` the columns are those of ``docs``.
     """
     runs = repeated_runs(docs, min_words).groupBy("d", "t").agg(
         merge_runs(F.array_sort(F.collect_set(F.struct("start", "stop")))).alias("runs"))
@@ -141,8 +147,9 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     text = F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.regexp_count("row.text", F.lit("\n")) + 1, F.lit(0)).cast("long")
     gone = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]), F.lit(0).cast("long"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "line_dedup"],
-                         F.struct(n_lines.alias("n_lines"), gone.alias("n_deleted")).alias("line_dedup"))
+    columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != report]
+    said = [F.struct(n_lines.alias("n_lines"), gone.alias("n_deleted")).alias(report)] if report else []
+    return joined.select(*columns, *said)
 
 
 def line_digest(cleaned: DataFrame) -> DataFrame:

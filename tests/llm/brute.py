@@ -98,6 +98,9 @@ def line_dedup(docs, min_words=50):
                     runs.setdefault((name, e - s), []).append((i, s))
     gone = {i: set() for i in lines}
     for (_, last), at in runs.items():
-        for i, s in sorted(at)[1:]:
+        first, *later = sorted(at)
+        for i, s in later:
+            if i == first[0] and s <= first[1] + last:  # overlaps the run that stays
+                continue
             gone[i].update(range(s, s + last + 1))
     return {i: "\n".join(x for n, x in enumerate(ls) if n not in gone[i]) for i, ls in lines.items()}
