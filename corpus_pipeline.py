@@ -35,10 +35,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The first copy is that of the smallest doc_id (null first), then the first line; a document that loses every line stays, empty.
     """
-    cleaned = lines.remove_repeated_lines(docs).drop("line_dedup")
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(docs.columns)
+    names = {c: f"`{c.replace('`', '``')}`" for c in docs.columns}
+    cleaned = lines.remove_repeated_lines(docs, report=None)
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    return cleaned.select(*[n_chars if c == "n_chars" else F.col(names[c]) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
