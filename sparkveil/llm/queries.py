@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, lines, ngram_join, packing, quality, secrets, toxicity, urls
+from . import chat, decontaminate, embeddings, fim, lines, mixing, negatives, ngram_join, packing, quality, secrets, toxicity, urls
 
 #: Rules of the url query: verdict, host (and its subdomains), path prefix.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -78,9 +78,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(lines.remove_repeated_lines(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_digest(docs, mixing.ranked_weights(docs))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_chat, op3_ngram_jaccard, op4_packing, op5_secrets, op6_toxicity, op7_embedding_dedup, op8_url_filter,
-    op9_decontamination, op10_line_dedup)}
+    op9_decontamination, op10_line_dedup, op11_fill_in_middle, op12_source_mix, op13_hard_negatives)}
 
 #: SQL equivalents, where SQL can express the operator at a bearable cost.
 ORACLES: dict[str, str] = {}
@@ -131,3 +146,44 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+def _mix_sql() -> str:
+    """The rounds of the mix, unrolled: documents that still fit, in order of their hash, as far as the rest reaches."""
+    out = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || md5(':' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:15])::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM d GROUP BY source),
+c AS (SELECT *, sum(3 * z) OVER o - 3 * z AS capped, sum(w) OVER () - sum(w) OVER o + w AS left_w, sum(z) OVER () AS total FROM s WINDOW o AS (ORDER BY 3 * z / w, source)),
+l AS (SELECT max((total - capped)::DOUBLE / left_w) AS share FROM c WHERE (total - capped)::DOUBLE / left_w * w <= 3 * z),
+t AS (SELECT source, z, least((3 * z)::DOUBLE, share * w) AS target FROM s, l),
+r0 AS (SELECT d.*, z, target, CASE WHEN z > 0 THEN least(floor(target / z), 3) ELSE 0 END::BIGINT AS times, false AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)"""
+    for n in range(1, mixing.ROUNDS + 1):
+        out += f""",
+b{n} AS (SELECT *, target - times * z - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM r{n - 1}),
+f{n} AS (SELECT *, NOT taken AND size > 0 AND size <= rest AS fits FROM b{n}),
+r{n} AS (SELECT doc_id, source, size, h, z, target, times, taken OR (fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) <= rest) AS taken FROM f{n})"""
+    return out + f"""
+SELECT doc_id, size, z AS source_size, target, (size * (times + taken::INT))::BIGINT AS taken FROM r{mixing.ROUNDS}"""
+
+
+ORACLES["op12_source_mix"] = _mix_sql()
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INT AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 3"""
