@@ -78,22 +78,69 @@ def detector_spans(text: Column, detector: Detector, checked: bool = True) -> Co
     return F.when(detector.possible(text) & F.regexp_like(text, F.lit(detector.pattern)), spans).otherwise(F.array().cast(SPANS))
 
 
+#: What may hold a match: runs of word characters and of the signs that patterns use, with an @, four digits or the
+#: beginning of a bank code. No match crosses the ends of such a run, and no pattern looks beyond them.
+_SIGNS = r"[\w.%+@-]"
+CANDIDATE = rf"(?U)(?<!{_SIGNS}){_SIGNS}*?(?:@|\d{{4}}|[A-Z]{{4}}0){_SIGNS}*+"
+
+
 def deterministic_spans(text: Column, types=DETERMINISTIC, checked: bool = True) -> Column:
-    """Unresolved spans of the deterministic detectors in registration order."""
-    return F.concat(*[detector_spans(text, d, checked) for d in DETECTORS if d.entity_type in types])
+    """Unresolved spans of the deterministic detectors.
+
+    One pass finds the candidates, runs that may hold a match; the detectors see
+    these only. ``emit_pos`` is the place of a span, which orders those of a detector.
+    """
+    between = F.split(text, CANDIDATE, -1)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,run:string>>").alias("found"))
+
+    def placed(runs: Column) -> Column:
+        gaps = F.transform(runs, lambda r, i: F.struct(F.length(F.get(between, i)).alias("gap"), r.alias("run")))
+        return F.aggregate(gaps, begin, lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["run"])).alias("at"), F.array_append(
+            acc["found"], F.struct((acc["at"] + x["gap"]).alias("at"), x["run"].alias("run"))).alias("found")), lambda acc: acc["found"])
+
+    def moved(c: Column, detector: Detector) -> Column:
+        return F.transform(detector_spans(c["run"], detector, checked), lambda s: F.struct(
+            (s["start"] + c["at"]).alias("start"), (s["end"] + c["at"]).alias("end"), s["entity_type"].alias("entity_type"), s["tier"].alias("tier"),
+            s["det_idx"].alias("det_idx"), (s["start"] + c["at"]).alias("emit_pos")))
+
+    wanted = [d for d in DETECTORS if d.entity_type in types]
+    judged = lambda runs: F.flatten(F.transform(placed(runs), lambda c: F.concat(*[moved(c, d) for d in wanted])))
+    runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    none = F.array().cast(SPANS)
+    return F.get(F.transform(F.array(runs), lambda r: F.when(F.size(r) > 0, judged(r)).otherwise(none)), F.lit(0)) if wanted else none
+
+
+#: Up to so many spans are compared with all that were taken before; more are looked up by halving.
+FEW_SPANS = 32
 
 
 def resolve(spans: Column) -> Column:
     """Disjoint spans by (tier, longest, registration, emission), greedily, sorted by start.
 
     A span beaten only by a span that was itself rejected survives, so this is a fold and no anti-join.
+    Those taken are disjoint and kept in order, so only the last that begins before a span's end can overlap it.
     """
     ranked = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["tier"].alias("tier"), (s["start"] - s["end"]).alias("size"), s["det_idx"].alias("det_idx"),
         s["emit_pos"].alias("emit_pos"), s.alias("span"))))
-    taken = F.aggregate(ranked, F.array().cast(SPANS), lambda acc, r: F.when(
-        F.exists(acc, lambda a: overlaps(a, r["span"])), acc).otherwise(F.array_append(acc, r["span"])))
-    return F.array_sort(taken)
+    none = F.array().cast(SPANS)
+    few = F.array_sort(F.aggregate(ranked, none, lambda acc, r: F.when(
+        F.exists(acc, lambda a: overlaps(a, r["span"])), acc).otherwise(F.array_append(acc, r["span"]))))
+
+    def before(acc: Column, end: Column) -> Column:
+        """How many of the taken spans begin before ``end``."""
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(acc) + 1.0)).cast("int"))
+        middle = lambda b: F.floor((b["lo"] + b["hi"]) / 2).cast("int")
+        begin = F.struct(F.lit(0).alias("lo"), F.size(acc).alias("hi"))
+        return F.aggregate(steps, begin, lambda b, _: F.when(b["lo"] >= b["hi"], b).when(F.get(acc, middle(b))["start"] < end, F.struct(
+            (middle(b) + 1).alias("lo"), b["hi"].alias("hi"))).otherwise(F.struct(b["lo"].alias("lo"), middle(b).alias("hi"))), lambda b: b["lo"])
+
+    def taken(acc: Column, r: Column) -> Column:
+        put = lambda n: F.when((n > 0) & (F.get(acc, n - 1)["end"] > r["span"]["start"]), acc).otherwise(
+            F.concat(F.slice(acc, F.lit(1), n), F.array(r["span"]), F.slice(acc, n + 1, F.size(acc))))
+        return F.get(F.transform(F.array(before(acc, r["span"]["end"])), put), F.lit(0))
+
+    return F.when(F.size(spans) <= FEW_SPANS, few).otherwise(F.aggregate(ranked, none, taken))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -107,11 +154,6 @@ def detect(df: DataFrame, text: str = "text", model: Column | None = None) -> Da
     return df.withColumn("spans", resolve(F.concat(found, model) if model is not None else found))
 
 
-def is_span(span: Column, text: Column) -> Column:
-    """Whether a span lies inside its text and is not empty."""
-    return (span["start"] >= 0) & (span["start"] < span["end"]) & (span["end"] <= F.length(text))
-
-
 def only_type(text: Column, entity_type: str) -> Column:
     """Whether the whole text resolves to one span of a type: a value that no other detector claims."""
     spans = resolve(deterministic_spans(text))
@@ -119,12 +161,6 @@ def only_type(text: Column, entity_type: str) -> Column:
     return (F.size(spans) == 1) & (first["entity_type"] == entity_type) & (first["start"] == 0) & (first["end"] == F.length(text))
 
 
-def mark_ingress(spans: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds ``is_ingress``: whether (session_id, surface) is a surrogate the session handed out earlier."""
-    known = registry.select("session_id", F.col("surrogate").alias("surface")).distinct().withColumn("is_ingress", F.lit(True))
-    return spans.join(known, ["session_id", "surface"], "left").withColumn("is_ingress", F.coalesce("is_ingress", F.lit(False)))
-
-
 def gazetteer_model(phrases: dict[str, list[str]]) -> Callable[[str], list[tuple[int, int, str]]]:
     """A stand-in model: exact phrases of each model type."""
     def run(text: str) -> list[tuple[int, int, str]]:

@@ -9,6 +9,8 @@ permutation of the pool for every session, looked up by an equi-join.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +55,19 @@ def _step_and_start(session: Column, entity_type: Column) -> tuple[Column, Colum
     return a, F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def candidate_at(session: str, entity_type: str, rank: int) -> str | None:
+    """The candidate that the ``rank``-th name of a type in a session gets, outside of a table; None once the pool is exhausted."""
+    size = POOL_SIZES[entity_type]
+    if rank >= size:
+        return None
+    digest = hashlib.md5(f"{session}|{entity_type}".encode()).hexdigest()
+    pos = (PRIMES[int(digest[8], 16)] * rank + int(digest[:8], 16)) % size
+    left, right, width = {"PERSON": (_FIRST, _LAST, 71), "ORG": (_FIRM, _KIND, 70), "ADDRESS": (_STREET, _CITY, 72)}[entity_type]
+    word = lambda parts, n: parts[0][n // len(parts[1])] + parts[1][n % len(parts[1])]
+    first, second = word(left, pos // width), word(right, pos % width)
+    return f"{pos % 900 + 1} {first}, {second}" if entity_type == "ADDRESS" else f"{first} {second}"
+
+
 def _by_type(values: dict, entity_type: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[entity_type]
 
@@ -103,7 +118,3 @@ def allocate_names(seen: DataFrame, pools: DataFrame, registry: DataFrame | None
     named = placed.join(pools, ["entity_type", "pos"], "left").select("session_id", "real", "entity_type", free.alias("surrogate"), "seq", "pos")
     return named if known is None else named.unionByName(kept)
 
-
-def lookahead(pools: DataFrame, longest_structured: int) -> int:
-    """Longest surrogate there is: what a stream must hold back."""
-    return max(longest_structured, pools.agg(F.max(F.length("candidate"))).first()[0])

@@ -3,121 +3,254 @@
 ``sanitize`` exchanges every detected span for a surrogate; ``rehydrate`` puts
 the originals back wherever a surrogate of the session stands in a text. Spans
 are exploded for the lookups and spliced back in one aggregate per text. A text
-with a span no domain covers, or whose model failed under ``closed``, is refused
-as a whole: its output is null and its status says why, without the value. A
-body is refused with any of its regions.
+goes out only with the status ``ok``, which it gets on proof: it was judged, and
+every span has a surrogate. All else has a status that says why, without the
+value, and no output. A body is refused with any of its regions.
+
+Originals are sealed (:mod:`sealing`) wherever a table is written, the registry
+included, and looked up by keyed digests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions.text import splice
 from sparkveil.operators import detect, domains, pools
+from sparkveil.operators.sealing import opened, sealed, tag
 from sparkveil.sources import bodies
 from sparkveil.sources.scratch import written
 
-REGISTRY = ("session_id", "surrogate", "entity_type", "original", "seq")
-#: Leading characters by which surrogates are looked up in texts; each surrogate has more.
-ANCHOR = 6
+#: Columns of a registry; ``original`` is sealed, ``tag`` its keyed digest.
+REGISTRY = ("session_id", "surrogate", "entity_type", "original", "tag", "seq")
 #: Regions of a body are numbered below this.
 MAX_REGIONS = 1_000_000
 
 
+def _key_status(session: Column, seq: Column) -> Column:
+    """Why a row without a session or an order is refused; null for others."""
+    return F.when(session.isNull() | (session == ""), "missing_session").when(seq.isNull(), "missing_seq")
+
+
+def judged_spans(texts: DataFrame, key: Column, model: Column | None) -> DataFrame:
+    """A row for each span, or one without a span, of every text: session_id, seq, _row, failed, s, entity_type, tag, box, structured.
+
+    ``box`` is the sealed value. A text whose model failed has ``failed`` and no span. The table is written.
+    """
+    session = F.col("session_id")
+    rows = texts.withColumn("_row", F.monotonically_increasing_id())
+    if model is None:
+        found = detect.detect(rows).withColumn("failed", F.lit(None).cast("string"))
+    else:
+        judged = rows.withColumn("_model", model).withColumn("_box", sealed(F.col("text"), key, session)).drop("text")
+        judged = written(judged, "model").withColumn("text", opened(F.col("_box"), key, session))  # a model runs once a text
+        found = detect.detect(judged.where("_model.error is null"), model=F.col("_model.spans")).withColumn("failed", F.lit(None).cast("string"))
+        failed = judged.where("_model.error is not null").withColumn("failed", F.concat(F.lit("model_failed:"), "_model.error"))
+        found = found.unionByName(failed.withColumn("spans", F.array().cast(detect.SPANS)))
+    span = found.select("session_id", "seq", "_row", "failed", "text", F.explode_outer("spans").alias("s"))
+    value = F.expr("substring(text, s.start + 1, s.end - s.start)")
+    span = span.withColumn("_value", value).select(
+        "session_id", "seq", "_row", "failed", "s", F.col("s.entity_type").alias("entity_type"), tag(F.col("_value"), key, session).alias("tag"),
+        sealed(F.col("_value"), key, session).alias("box"), domains.surrogate(F.col("s.entity_type"), F.col("_value"), key).alias("structured"))
+    return written(span, "spans")  # read by four lookups
+
+
 def sanitize(texts: DataFrame, key: Column, model: Column | None = None, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts with ``sanitized`` and ``status``, registry of surrogates handed out).
 
     ``texts`` has session_id, seq (a long, unique in the session, its order) and
-    text. ``model`` is a struct<spans, error> of :func:`detect.model_spans`; a
-    row with an error is refused. A span whose text is a surrogate handed out
-    earlier in the session, by ``registry`` or by a smaller seq, is left alone.
+    text; a row without session or seq is refused, and so are all rows of a seq
+    that occurs twice. ``model`` is a struct<spans, error> of
+    :func:`detect.model_spans`; a row with an error is refused. A span whose text
+    is a surrogate handed out earlier in the session, by ``registry`` or by a
+    smaller seq, is left alone. A null text has no spans and stays null.
     """
-    spark = texts.sparkSession
-    plain = texts.select("session_id", "seq", "text")
-    if model is None:
-        found, failed = detect.detect(plain), None
-    else:
-        judged = written(plain.withColumn("_model", model), "model")  # a model runs once a text
-        found = detect.detect(judged.where("_model.error is null"), model=F.col("_model.spans"))
-        failed = judged.where("_model.error is not null").select("session_id", "seq", F.concat(F.lit("model_failed:"), "_model.error").alias("failed"))
-    span = found.select("session_id", "seq", "text", F.explode("spans").alias("s")).select(
-        "session_id", "seq", "s", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"), F.col("s.entity_type").alias("entity_type"))
-    span = written(span.withColumn("structured", domains.surrogate(F.col("entity_type"), F.col("value"), key)), "spans")  # read by four lookups
+    spark, session = texts.sparkSession, F.col("session_id")
+    marked = texts.withColumn("status", _key_status(session, F.col("seq")))
+    named_rows = marked.where("status is null").drop("status")
+    judged = judged_spans(named_rows.select("session_id", "seq", "text"), key, model)
+    span = judged.where("s is not null")
+    is_name = F.col("entity_type").isin(*detect.MODEL_TYPES)
     names = pools.allocate_names(
-        span.where(F.col("entity_type").isin(*detect.MODEL_TYPES)).select("session_id", F.col("value").alias("real"), "entity_type", "seq"),
-        pools.candidate_pools(spark), registry)
+        span.where(is_name).select("session_id", F.col("tag").alias("real"), "entity_type", "seq"), pools.candidate_pools(spark),
+        None if registry is None else registry.select("session_id", "surrogate", "entity_type", F.col("tag").alias("original")))
     minted = span.where("structured is not null").groupBy("session_id", F.col("structured").alias("value")).agg(F.min("seq").alias("since"))
     minted = minted.unionByName(names.where("surrogate is not null").select("session_id", F.col("surrogate").alias("value"), F.col("seq").alias("since")))
     if registry is not None:
         minted = minted.unionByName(registry.select("session_id", F.col("surrogate").alias("value"), F.lit(None).cast("long").alias("since")))
-    minted = minted.groupBy("session_id", "value").agg(F.min(F.coalesce("since", F.lit(-(2**62)))).alias("since"))
-    named = names.select("session_id", F.col("real").alias("value"), F.col("surrogate").alias("name"))
-    span = span.join(minted, ["session_id", "value"], "left").join(named, ["session_id", "value"], "left")
-    ingress = F.coalesce(F.col("since") < F.col("seq"), F.lit(False))
-    own = F.when(F.col("entity_type").isin(*detect.MODEL_TYPES), F.col("name")).otherwise(F.col("structured"))
-    span = span.withColumn("ingress", ingress).withColumn("new", F.when(ingress, F.col("value")).otherwise(own))
-    refused = F.when(F.col("new").isNull(), F.concat(F.when(F.col("entity_type").isin(*detect.MODEL_TYPES), "name_list_exhausted:").otherwise("surrogate_domain:"), "entity_type"))
+    minted = minted.groupBy("session_id", tag(F.col("value"), key, session).alias("tag")).agg(F.min(F.coalesce("since", F.lit(-(2**62)))).alias("since"))
+    named = names.select("session_id", F.col("real").alias("tag"), F.col("surrogate").alias("name"))
+    span = judged.join(minted, ["session_id", "tag"], "left").join(named, ["session_id", "tag"], "left")
+    span = span.withColumn("ingress", F.coalesce(F.col("since") < F.col("seq"), F.lit(False))).withColumn("new", F.when(is_name, F.col("name")).otherwise(F.col("structured")))
+    refused = F.when(F.col("s").isNotNull() & ~F.col("ingress") & F.col("new").isNull(), F.concat(
+        F.when(is_name, "name_list_exhausted:").otherwise("surrogate_domain:"), "entity_type"))
+    exchanged = F.when(F.col("s").isNotNull() & ~F.col("ingress"), F.struct("s.start", "s.end", "new"))
     whole = span.groupBy("session_id", "seq").agg(
-        F.array_sort(F.collect_list(F.struct("s.start", "s.end", "new"))).alias("spans"), F.min(refused).alias("error"))
-    out = texts.join(whole, ["session_id", "seq"], "left")
-    if failed is not None:
-        out = out.join(failed, ["session_id", "seq"], "left").withColumn("error", F.coalesce("failed", "error")).drop("failed")
-    spliced = F.when(F.col("error").isNotNull(), F.lit(None)).when(F.col("spans").isNull(), F.col("text")).otherwise(
-        splice(F.col("text"), F.col("spans"), lambda s: s["new"]))
-    out = out.withColumn("sanitized", spliced).withColumn("status", F.coalesce("error", F.lit("ok"))).drop("spans", "error")
-    given = span.where("not ingress and new is not null").groupBy("session_id", F.col("new").alias("surrogate")).agg(
-        F.min(F.struct("seq", "entity_type", "value")).alias("f")).select("session_id", "surrogate", "f.entity_type", F.col("f.value").alias("original"), "f.seq")
+        F.array_sort(F.collect_list(exchanged)).alias("spans"), F.min(refused).alias("error"), F.min("failed").alias("failed"),
+        (F.min("_row") < F.max("_row")).alias("repeated"))
+    proven = F.when(F.col("repeated"), "repeated_seq").otherwise(F.coalesce("failed", "error", F.when(F.col("spans").isNotNull(), "ok"), F.lit("not_judged")))
+    out = named_rows.join(whole, ["session_id", "seq"], "left").withColumn("status", proven)
+    spliced = F.when(F.col("status") == "ok", F.when(F.size("spans") == 0, F.col("text")).otherwise(splice(F.col("text"), F.col("spans"), lambda s: s["new"])))
+    out = out.withColumn("sanitized", spliced).drop("spans", "error", "failed", "repeated").select(*texts.columns, "sanitized", "status")
+    out = out.unionByName(marked.where("status is not null").withColumn("sanitized", F.lit(None).cast("string")).select(*texts.columns, "sanitized", "status"))
+    given = span.where("s is not null and not ingress and new is not null").groupBy("session_id", F.col("new").alias("surrogate")).agg(
+        F.min(F.struct("seq", "entity_type", "tag", "box")).alias("f"))
+    given = given.select("session_id", "surrogate", "f.entity_type", F.col("f.box").alias("original"), "f.tag", "f.seq")
     return out, written(given, "registry")  # the next batch reads it, and must not compute this one again
 
 
 def decrypt_registry(registry: DataFrame, key: Column) -> DataFrame:
-    """Registry whose structured originals come from the surrogates themselves; only names need a stored map."""
-    plain = domains.surrogate(F.col("entity_type"), F.col("surrogate"), key, decrypt=True)
-    return registry.withColumn("original", F.when(F.col("entity_type").isin(*domains.SURROGATE_TYPES), plain).otherwise(F.col("original")))
-
+    """Registry with its originals in the open, for the lookups of :func:`rehydrate`; not to be written.
 
-def tier_of(entity_type: Column) -> Column:
-    """The tier that finds a type: 2 for the types of the name map, else 1."""
-    return F.when(entity_type.isin(*detect.MODEL_TYPES), 2).otherwise(1)
+    Structured originals come from the surrogates themselves, names from their sealed column.
+    """
+    plain = domains.surrogate(F.col("entity_type"), F.col("surrogate"), key, decrypt=True)
+    name = opened(F.col("original"), key, F.col("session_id"))
+    return registry.withColumn("original", F.when(F.col("entity_type").isin(*domains.SURROGATE_TYPES), plain).otherwise(name))
 
 
 def known_surrogates(registry: DataFrame) -> DataFrame:
-    """(session_id, surrogate, original, n_originals) of each surrogate of a session; the original is null if none or more than one is known."""
+    """(session_id, surrogate, original) of each surrogate of a session; the original is null if none or more than one is known."""
     one = registry.groupBy("session_id", "surrogate").agg(F.min("original").alias("lo"), F.max("original").alias("hi"))
     return one.select("session_id", "surrogate", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("original"))
 
 
+#: Characters of a surrogate's beginning by whose kinds a text is searched first; kinds of surrogates that are told apart.
+OPENING, MOST_SHAPES = 4, 5000
+
+
+def shape(text: Column) -> Column:
+    """Kinds of the characters of a text: a digit, an upper-case or a lower-case letter of ASCII, anything else."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    plain = F.regexp_replace(text, "[^0-9A-Za-z]", "_")
+    return F.translate(plain, letters + letters.upper() + digits + "_", "l" * 26 + "u" * 26 + "D" * 10 + "o")
+
+
+_KINDS = {"o": 0, "l": 1, "u": 2, "D": 3}
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(points), dtype=np.uint64)
+    for kind, low, high in ((1, 97, 122), (2, 65, 90), (3, 48, 57)):
+        out[(points >= low) & (points <= high)] = kind
+    return out
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+class Shapes:
+    """Finds where a text holds something of the shape of a surrogate, by rolling fingerprints of character kinds."""
+
+    def __init__(self, shapes: Iterable[str] | None, lengths: Iterable[int] = ()):
+        self.by_length: dict[int, np.ndarray | None] = {}
+        if shapes is None:  # too many to tell apart: every place of each length
+            self.by_length, self.openings = dict.fromkeys(lengths), None
+            return
+        by: dict[int, list] = {}
+        openings: dict[int, list] = {}
+        for s in shapes:
+            kinds = np.array([_KINDS[c] for c in s], dtype=np.uint64)
+            for store, part in ((by, kinds), (openings, kinds[:OPENING])):
+                store.setdefault(len(part), []).append(self._whole(part))
+        self.by_length = {n: np.array(sorted(set(v)), dtype=np.uint64) for n, v in by.items()}
+        self.openings = {n: np.array(sorted(set(v)), dtype=np.uint64) for n, v in openings.items()}
+
+    @staticmethod
+    def _whole(kinds: np.ndarray) -> int:
+        with np.errstate(over="ignore"):
+            return int((kinds * _powers(_BASE, len(kinds))).sum(dtype=np.uint64))
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """(start, length) of every stretch of a known shape."""
+        n = len(text)
+        if not n or not self.by_length:
+            return []
+        kinds = _kinds(_code_points(text))
+        with np.errstate(over="ignore"):
+            upto = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(kinds * _powers(_BASE, n), dtype=np.uint64)))
+            back = _powers(_INVERSE, n)
+            window = lambda at, size: (upto[at + size] - upto[at]) * back[at]
+            out = []
+            if self.openings is None:
+                starts = {size: np.arange(max(0, n - size + 1)) for size in self.by_length}
+            else:
+                opening = [np.arange(n - size + 1)[np.isin(window(np.arange(n - size + 1), size), known)] for size, known in self.openings.items() if size <= n]
+                begin = np.unique(np.concatenate(opening)) if opening else np.zeros(0, dtype=np.int64)
+                starts = {size: begin[begin <= n - size] for size in self.by_length}
+            for size, known in self.by_length.items():
+                at = starts[size]
+                if known is not None and len(at):
+                    at = at[np.isin(window(at, size), known)]
+                out += [(int(i), size) for i in at]
+        return out
+
+
+def restored_text(text: str, hits: list[tuple[int, int, str | None]]) -> str:
+    """``text`` with the longest hit (start, length, original) at each place put back, from the left, in one pass."""
+    out, at = [], 0
+    for start, length, original in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if start < at:
+            continue
+        if original is None:
+            raise ValueError("a surrogate without exactly one original: the name map is broken")
+        out += text[at:start], original
+        at = start + length
+    return "".join(out) + text[at:]
+
+
+def surrogate_hits(texts: DataFrame, known: DataFrame, text: str) -> DataFrame:
+    """(session_id, _text, start, length, original): where a surrogate of its session stands in a text; ``_text`` is the text's hash.
+
+    A text offers the stretches that have the shape of some surrogate; an
+    equi-join by session and stretch leaves the surrogates. Neither a session
+    nor a text meets the whole of the other in one row.
+    """
+    named = known.where(F.length("surrogate") > 0)
+    shapes = [r[0] for r in named.select(shape(F.col("surrogate"))).distinct().limit(MOST_SHAPES + 1).collect()]
+    if len(shapes) > MOST_SHAPES:
+        finder = Shapes(None, [r[0] for r in named.select(F.length("surrogate")).distinct().collect()])
+    else:
+        finder = Shapes(shapes)
+
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": i, "length": n, "value": t[i: i + n]} for i, n in finder.places(t)] if t else [] for t in column])
+
+    asked = texts.where(F.col(text).isNotNull() & F.col("session_id").isNotNull()).select("session_id", F.col(text).alias("_body")).distinct()
+    stretch = asked.select("session_id", F.xxhash64("_body").alias("_text"), F.explode(F.pandas_udf(run, "array<struct<start:int,length:int,value:string>>")("_body")).alias("h"))
+    stretch = stretch.select("session_id", "_text", "h.start", "h.length", F.col("h.value").alias("surrogate"))
+    return stretch.join(named, ["session_id", "surrogate"]).select("session_id", "_text", "start", "length", "original")
+
+
 def rehydrate(texts: DataFrame, registry: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``rehydrated``: every surrogate of the text's session put back, longest first, in one pass from the left.
 
-    Surrogates are found by an equi-join of their first characters with the
-    texts' own character runs that begin like one, so neither a session nor its
-    texts meet in one row; a text is matched against what it may hold only.
-    A surrogate in a text that has no original, or more than one, is an error.
+    ``registry`` has its originals in the open. A surrogate in a text that has
+    no original, or more than one, is an error.
     """
-    body = F.col(text)
-    known = known_surrogates(registry).where(F.length("surrogate") > 0)
-    anchor = F.substring("surrogate", 1, ANCHOR)
-    begins = sorted(r[0] for r in known.select(F.substring("surrogate", 1, 1)).distinct().collect())  # single characters
-    if not begins:
-        return texts.withColumn("rehydrated", body)
-    shortest = known.agg(F.min(F.length("surrogate"))).first()[0]
-    n = min(ANCHOR, shortest)
-    one_of = "".join("\\" + c if not c.isalnum() and c.isascii() and not c.isspace() else c for c in begins)
-    runs = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?s)(?=([{one_of}].{{{n - 1}}}))"), F.lit(1)))
-    asked = texts.where(body.isNotNull()).select("session_id", F.xxhash64(body).alias("_text"), F.explode(runs).alias("run")).distinct()
-    held = asked.join(known.select("session_id", F.substring(anchor, 1, n).alias("run"), "surrogate", "original"), ["session_id", "run"])
-    held = held.groupBy("session_id", "_text").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.length("surrogate")).alias("n"), "surrogate", "original"))).alias("_held"))
-    held = held.withColumn("_map", F.map_from_entries(F.transform("_held", lambda s: F.struct(s["surrogate"], s["original"]))))
-    held = held.withColumn("_pattern", F.array_join(F.transform("_held", lambda s: F.concat(F.lit("\\Q"), s["surrogate"], F.lit("\\E"))), "|")).drop("_held")
-    joined = texts.withColumn("_text", F.xxhash64(body)).join(held, ["session_id", "_text"], "left")
-    between, hits = F.split(body, F.col("_pattern"), -1), F.regexp_extract_all(body, F.col("_pattern"), F.lit(0))
-    original = lambda hit: F.when(hit.isNull(), "").otherwise(F.coalesce(
-        F.col("_map")[hit], F.raise_error(F.lit("a surrogate without exactly one original: the name map is broken")).cast("string")))
-    back = F.array_join(F.transform(between, lambda part, i: F.concat(part, original(F.get(hits, i)))), "")
-    return joined.withColumn("rehydrated", F.when(F.col("_pattern").isNull(), body).otherwise(back)).drop("_text", "_map", "_pattern")
+    def run(column: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([t if h is None else restored_text(t, [(x["start"], x["length"], x["original"]) for x in h]) for t, h in zip(column, hits)])
+
+    hits = surrogate_hits(texts, known_surrogates(registry), text).groupBy("session_id", "_text").agg(
+        F.collect_list(F.struct("start", "length", "original")).alias("_hits"))  # the hits of one text
+    joined = texts.withColumn("_text", F.xxhash64(F.col(text))).join(hits, ["session_id", "_text"], "left").select(*texts.columns, "_hits")
+    back = F.pandas_udf(run, "string")(F.col(text), F.col("_hits"))
+    return joined.withColumn("rehydrated", F.when(F.col("_hits").isNull(), F.col(text)).otherwise(back)).drop("_hits")
 
 
 # ---------------------------------------------------------------- bodies
@@ -132,21 +265,32 @@ def _rebuilt(whole: DataFrame, region: DataFrame, keys: list[str], new: str) ->
     return joined.withColumn("body", F.when(F.col("_changes").isNull(), F.col("body")).otherwise(rebuilt["body"])).drop("_changes")
 
 
+def _written_sealed(df: DataFrame, name: str, columns: tuple[str, ...], key: Column) -> DataFrame:
+    """``df`` written with some columns sealed, read back with them open."""
+    session = F.col("session_id")
+    back = written(df.withColumns({c: sealed(F.col(c), key, session) for c in columns}), name)
+    return back.withColumns({c: opened(F.col(c), key, session) for c in columns})
+
+
 def sanitize_requests(requests: DataFrame, key: Column, model=None, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(session_id, request_seq, body, status) of every request, and the registry of surrogates handed out.
 
     ``requests`` has session_id, request_seq and body. All text regions but
     protocol words are sanitised; one refused region refuses the body, which is
-    null then. ``model`` makes the model column of a text column.
+    null then, and so is a body without request_seq, or with one that occurs
+    twice. ``model`` makes the model column of a text column.
     """
     keys = ["session_id", "request_seq"]
-    region = written(bodies.text_regions(requests).withColumn("seq", F.col("request_seq").cast("long") * MAX_REGIONS + F.col("region_no")), "regions")
+    region = bodies.text_regions(requests).withColumn("seq", F.col("request_seq").cast("long") * MAX_REGIONS + F.col("region_no"))
+    region = _written_sealed(region, "regions", ("text",), key)
     clean, given = sanitize(region, key, model(F.col("text")) if model else None, registry)
-    clean = written(clean, "clean-regions")
+    clean = _written_sealed(clean, "clean-regions", ("text", "sanitized"), key)
     refused = clean.where("status != 'ok'").groupBy(*keys).agg(F.min("status").alias("refused"))
-    status = bodies.request_status(F.col("body"), F.col("session_id"))
-    whole = requests.select(*keys, "body", status.alias("status")).join(refused, keys, "left")
-    whole = whole.withColumn("status", F.coalesce("refused", "status")).drop("refused")
+    status = F.when(F.col("request_seq").isNull(), "missing_seq").otherwise(bodies.request_status(F.col("body"), F.col("session_id")))
+    status = F.coalesce(_key_status(F.col("session_id"), F.col("request_seq")), status)
+    twice = requests.where("session_id is not null and request_seq is not null").groupBy(*keys).agg((F.count("*") > 1).alias("twice")).where("twice")
+    whole = requests.select(*keys, "body", status.alias("status")).join(refused, keys, "left").join(twice, keys, "left")
+    whole = whole.withColumn("status", F.when(F.col("twice"), "repeated_seq").otherwise(F.coalesce("refused", "status"))).drop("refused", "twice")
     whole = _rebuilt(whole, clean, keys, "sanitized")
     return whole.withColumn("body", F.when(F.col("status") == "ok", F.col("body"))), given
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkveil.functions.quantiles import greatest
+
 
 def session_epochs(touches: DataFrame, ttl_seconds: float, key: str = "session_id", ts: str = "ts") -> DataFrame:
     """Adds ``epoch``: it grows when a touch comes more than ``ttl_seconds`` after the one before; exactly that stays."""
@@ -23,6 +25,10 @@ def latest_known(registry: DataFrame) -> DataFrame:
 
 
 def evict_least_recent(sessions: DataFrame, capacity: int) -> DataFrame:
-    """(session_id, last_access) of the ``capacity`` sessions used last; ties keep the larger id."""
+    """(session_id, last_access) of the ``capacity`` sessions used last; ties keep the larger id.
+
+    The access time of the last one to stay is selected from counted histograms, the sessions are never sorted.
+    """
     last = sessions.groupBy("session_id").agg(F.max("ts").alias("last_access"))
-    return last.orderBy(F.desc("last_access"), F.desc("session_id")).limit(capacity)
+    kept = greatest(last.withColumn("_at", F.unix_micros(F.col("last_access").cast("timestamp"))), "_at", "session_id", capacity)
+    return kept.drop("_at")

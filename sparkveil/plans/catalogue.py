@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from sparkveil.functions import checksums, mixed_radix
 from sparkveil.functions.ff1 import key_of
 from sparkveil.functions.text import split_into_n, split_on_space
-from sparkveil.operators import detect, domains, pools, sanitize, sessions
-from sparkveil.plans import evaluation
+from sparkveil.operators import detect, domains, pools, sanitize, sessions, tagger
+from sparkveil.plans import carriers, evaluation
 from sparkveil.sources import bodies
-from sparkveil.sources.scratch import shared_dir
+from sparkveil.sources.scratch import drop_at_exit, shared_dir
+from sparkveil.streaming import sessions as streams
 from sparkveil.streaming import sse
 
 QUERIES: dict = {}
@@ -174,6 +175,29 @@ def arm_ablation(spark, sf_dir):
     return out
 
 
+@query(carriers.gold_sql("customer", "c_custkey", detect.DETERMINISTIC))
+def detect_carriers(spark, sf_dir):
+    """Structured spans of all carriers: five banks, five handles, three shapes of vehicle marks, phones in three forms, carriers with nothing to find."""
+    return _spans(carriers.carrier_text(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), "text_id")
+
+
+def _named_carriers(spark, sf_dir):
+    """(held-out carriers, a tagger learned from the others)."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    return carriers.carrier_text(keys, "c_custkey", True), tagger.fit_tagger(carriers.carrier_text(keys, "c_custkey", False))
+
+
+@query()
+def detect_names(spark, sf_dir):
+    """Precision, recall and F1 of the whole cascade by type, on carriers and names that the tagger has not seen."""
+    held, model = _named_carriers(spark, sf_dir)
+    gold = held.select(F.col("text_id").alias("example_id"), F.explode("gold").alias("s")).select("example_id", "s.*")
+    judged = held.withColumn("_m", tagger.tagger_spans(model, F.col("text"), "closed"))
+    found = detect.detect(judged, model=F.col("_m.spans")).select(
+        F.col("text_id").alias("example_id"), F.explode("spans").alias("s")).select("example_id", "s.start", "s.end", "s.entity_type")
+    return evaluation.prf(evaluation.confusion(gold, found)).select("entity_type", "tp", "fp", "fn", "precision", "recall", "f1", "support")
+
+
 @query(f"""SELECT t.entity_type FROM (VALUES ('AADHAAR'), ('CARD'), ('PAN'), ('IFSC'), ('UPI'), ('VEHICLE_REG'), ('EMAIL'), ('PHONE'),
            ('PERSON'), ('ORG'), ('ADDRESS')) t(entity_type) WHERE t.entity_type NOT IN (SELECT entity_type FROM ({GOLD}))""")
 def omitted_entity_types(spark, sf_dir):
@@ -266,10 +290,10 @@ for _name in domains.SURROGATE_TYPES:
     query(f"SELECT c_custkey, true AS restored, ({_LENGTHS[_name]})::BIGINT AS n_chars, true AS shaped FROM customer")(_roundtrip(_name))
 
 
-@query("""SELECT doc_id, [substr(text, 1 + i * (length(text) // 7) + least(i, length(text) % 7), length(text) // 7 + (i < length(text) % 7)::INT)
-          FOR i IN range(0, 7)][3] AS third, length(text) AS total FROM documents""")
+@query("""SELECT doc_id, array_to_string([substr(text, 1 + i * (length(text) // 7) + least(i, length(text) % 7), length(text) // 7 + (i < length(text) % 7)::INT)
+          FOR i IN range(0, 7)], '|') AS pieces FROM documents""")
 def chunk_n(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.get(split_into_n(F.col("text"), 7), F.lit(2)).alias("third"), F.length("text").cast("long").alias("total"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(split_into_n(F.col("text"), 7), "|").alias("pieces"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+')) AS n_pieces FROM documents")
@@ -301,9 +325,14 @@ def name_alloc_sessions(spark, sf_dir):
     return named.select("session_id", "real", "entity_type", "seq", F.col("pos").cast("long").alias("pos"))
 
 
-@query("""SELECT entity_type, n AS n_candidates, n AS n_distinct FROM (VALUES ('PERSON', 5112::BIGINT), ('ORG', 4900::BIGINT), ('ADDRESS', 5040::BIGINT)) t(entity_type, n)""")
+@query("""SELECT entity_type, count(*) AS n_names, count(DISTINCT c_custkey % size) AS n_distinct, count(DISTINCT c_custkey % size) AS n_candidates
+          FROM customer, (VALUES ('PERSON', 5112), ('ORG', 4900), ('ADDRESS', 5040)) t(entity_type, size) GROUP BY entity_type""")
 def pool_cross(spark, sf_dir):
-    return pools.candidate_pools(spark).groupBy("entity_type").agg(F.count("*").alias("n_candidates"), F.count_distinct("candidate").alias("n_distinct"))
+    """The candidate of every customer and type: each place of a pool has a text of its own."""
+    k = F.col("c_custkey").cast("long")
+    asked = table(spark, sf_dir, "customer").select(F.explode(F.array(*[F.struct(F.lit(t).alias("entity_type"), (k % n).cast("int").alias("pos")) for t, n in pools.POOL_SIZES.items()])).alias("a"))
+    named = asked.select("a.*").join(pools.candidate_pools(spark), ["entity_type", "pos"])
+    return named.groupBy("entity_type").agg(F.count("*").alias("n_names"), F.count_distinct("pos").alias("n_distinct"), F.count_distinct("candidate").alias("n_candidates"))
 
 
 @query("""SELECT event_id, user_id, sum(CASE WHEN gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS epoch
@@ -332,18 +361,67 @@ def _session_texts(spark, sf_dir):
     return texts.select((F.col("text_id") % 40).cast("string").alias("session_id"), F.col("text_id").alias("seq"), "text", "template_id")
 
 
-@query("""SELECT c_custkey AS seq, CASE WHEN c_custkey % 5 = 2 THEN 'surrogate_domain:UPI' WHEN c_custkey % 5 = 3 THEN 'surrogate_domain:EMAIL' ELSE 'ok' END AS status,
-          c_custkey % 5 IN (0, 1, 4) AS changed FROM customer""")
+_VALUE_SQL = {
+    "AADHAAR": f"(SELECT p || {_INV}[{_VERHOEFF} + 1]::VARCHAR FROM (SELECT {_PAYLOAD} AS p))",
+    "CARD": """(SELECT p || ((10 - list_sum(list_transform(range(0, 15), lambda i: CASE WHEN i % 2 = 0 THEN (substr(p, 15 - i, 1)::INT * 2) // 10
+            + (substr(p, 15 - i, 1)::INT * 2) % 10 ELSE substr(p, 15 - i, 1)::INT END)) % 10) % 10)::INT::VARCHAR FROM (SELECT '4' || lpad(((c_custkey * 104729 + 7919) % 100000000000000)::VARCHAR, 14, '0') AS p))""",
+    "PAN": """chr((65 + c_custkey % 26)::INT) || chr((65 + (c_custkey + 7) % 26)::INT) || 'XP' || chr((65 + c_custkey % 7)::INT) || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || chr((65 + c_custkey % 11)::INT)""",
+    "PHONE": "'+919' || lpad((c_custkey * 15485863 % 1000000000)::VARCHAR, 9, '0')",
+}
+
+
+def _injected_sql() -> str:
+    """(c_custkey, text) of the carriers whose types all have a surrogate."""
+    rows = []
+    for i, template in enumerate(evaluation.TEMPLATES):
+        parts = evaluation._pieces(template)
+        if all(name in _VALUE_SQL for name, is_slot in parts if is_slot):
+            text = " || ".join(_VALUE_SQL[p] if is_slot else f"'{p}'" for p, is_slot in parts)
+            rows.append(f"SELECT c_custkey, {text} AS text FROM customer WHERE c_custkey % {len(evaluation.TEMPLATES)} = {i}")
+    return " UNION ALL ".join(rows)
+
+
+_KINDS_SQL = "regexp_replace(regexp_replace({}, '[0-9]', '9', 'g'), '[A-Z]', 'A', 'g')"
+
+
+@query(f"""SELECT c.c_custkey AS seq, CASE WHEN c.c_custkey % 5 = 2 THEN 'surrogate_domain:UPI' WHEN c.c_custkey % 5 = 3 THEN 'surrogate_domain:EMAIL' ELSE 'ok' END AS status,
+          {_KINDS_SQL.format("t.text")} AS kinds, t.text IS NOT NULL AS changed FROM customer c LEFT JOIN ({_injected_sql()}) t ON t.c_custkey = c.c_custkey""")
 def sanitize_texts(spark, sf_dir):
+    """Status of every text, and what goes out by kinds of characters: surrogates have the shape of the values, the rest stays."""
     out, _ = sanitize.sanitize(_session_texts(spark, sf_dir), demo_key())
-    return out.select("seq", "status", F.coalesce((F.col("sanitized") != F.col("text")), F.lit(False)).alias("changed"))
+    kinds = F.regexp_replace(F.regexp_replace("sanitized", "[0-9]", "9"), "[A-Z]", "A")
+    return out.select("seq", "status", kinds.alias("kinds"), F.coalesce((F.col("sanitized") != F.col("text")), F.lit(False)).alias("changed"))
 
 
-@query("SELECT c_custkey AS seq, true AS restored FROM customer WHERE c_custkey % 5 IN (0, 1, 4)")
+@query(f"SELECT c_custkey AS seq, text FROM ({_injected_sql()})")
 def rehydrate_texts(spark, sf_dir):
+    """The texts that went out, restored."""
     out, registry = sanitize.sanitize(_session_texts(spark, sf_dir), demo_key())
     back = sanitize.rehydrate(out.where("status = 'ok'"), sanitize.decrypt_registry(registry, demo_key()), "sanitized")
-    return back.select("seq", (F.col("rehydrated") == F.col("text")).alias("restored"))
+    return back.select("seq", F.col("rehydrated").alias("text"))
+
+
+def _hostile(k):
+    """Eight kinds of rows by key: good ones, without session, an empty session, without seq, a seq that occurs twice, an e-mail address, no text, text without a value."""
+    pan = evaluation.entity_values(k)["PAN"]
+    session = F.when(k % 8 == 1, F.lit(None)).when(k % 8 == 2, "").otherwise((k % 40).cast("string"))
+    seq = F.when(k % 8 == 3, F.lit(None)).when(k % 8 == 4, F.floor(k / 80)).otherwise(k + 1_000_000)
+    text = F.when(k % 8 == 6, F.lit(None)).when(k % 8 == 7, "nothing").otherwise(F.concat(F.lit("pan "), pan, F.when(k % 8 == 5, " a@mail.example.com").otherwise(" x")))
+    return session.alias("session_id"), seq.cast("long").alias("seq"), text.alias("text")
+
+
+@query(f"""WITH r AS (SELECT c_custkey, c_custkey % 8 AS kind, count(*) OVER (PARTITION BY c_custkey % 40, c_custkey // 80) AS n, 'pan ' || {_VALUE_SQL["PAN"]} || ' x' AS t FROM customer WHERE c_custkey % 8 = 4
+           UNION ALL SELECT c_custkey, c_custkey % 8, 1, CASE c_custkey % 8 WHEN 6 THEN NULL WHEN 7 THEN 'nothing' WHEN 0 THEN 'pan ' || {_VALUE_SQL["PAN"]} || ' x' END FROM customer WHERE c_custkey % 8 <> 4),
+           s AS (SELECT *, CASE WHEN kind IN (1, 2) THEN 'missing_session' WHEN kind = 3 THEN 'missing_seq' WHEN n > 1 THEN 'repeated_seq' WHEN kind = 5 THEN 'surrogate_domain:EMAIL' ELSE 'ok' END AS status FROM r)
+           SELECT c_custkey, status, CASE WHEN status = 'ok' THEN regexp_replace(t, '[A-Z]{{5}}[0-9]{{4}}[A-Z]', '#') END AS sent, CASE WHEN status = 'ok' THEN t END AS back, false AS leaked FROM s""")
+def sanitize_hostile_rows(spark, sf_dir):
+    """Rows that must not go out, and that no row gives its value away."""
+    k = F.col("c_custkey").cast("long")
+    texts = table(spark, sf_dir, "customer").select("c_custkey", *_hostile(k), evaluation.entity_values(k)["PAN"].alias("pan"))
+    out, registry = sanitize.sanitize(texts, demo_key())
+    back = sanitize.rehydrate(out, sanitize.decrypt_registry(registry, demo_key()), "sanitized")
+    return back.select("c_custkey", "status", F.regexp_replace("sanitized", r"[A-Z]{5}\d{4}[A-Z]", "#").alias("sent"), F.col("rehydrated").alias("back"),
+                       F.coalesce(F.contains("sanitized", "pan"), F.lit(False)).alias("leaked"))
 
 
 def _requests(spark, sf_dir):
@@ -406,12 +484,14 @@ def sanitize_conversations(spark, sf_dir):
     return out.join(before, "session_id").select("session_id", "status", F.length(_contents(F.col("body"))).cast("long").alias("n_chars"), F.when(F.col("body").isNotNull(), left).alias("n_left"))
 
 
-@query(f"SELECT conv_id::VARCHAR AS session_id, string_agg(content, chr(10) ORDER BY turn, role, content) AS content FROM ({_MARKED_SQL}) WHERE conv_id % 7 <> 3 GROUP BY conv_id")
+@query(f"""SELECT conv_id::VARCHAR AS session_id, string_agg(content, chr(10) ORDER BY turn, role, content) AS content FROM ({_MARKED_SQL})
+           GROUP BY conv_id HAVING NOT (conv_id % 7 = 3 AND bool_or(turn = 0))""")
 def rehydrate_conversations(spark, sf_dir):
+    """Every conversation that went out, restored; those with an e-mail address were refused."""
     sent, given = sanitize.sanitize_requests(_marked_requests(spark, sf_dir), demo_key())
     replies = sent.where("status = 'ok'").withColumn("http_status", F.lit(200))
     back = sanitize.rehydrate_replies(replies, sanitize.decrypt_registry(given, demo_key()))
-    return back.where("cast(session_id as bigint) % 7 != 3").select("session_id", _contents(F.col("body")).alias("content"))
+    return back.select("session_id", _contents(F.col("body")).alias("content"))
 
 
 @query("""SELECT o_orderkey AS seq, 'real ' || o_custkey AS text, 'ok' AS status FROM orders""")
@@ -423,7 +503,8 @@ def sanitize_two_batches(spark, sf_dir):
     model = F.struct(whole.alias("spans"), F.lit(None).cast("string").alias("error"))  # a model that takes each text for a name
     first, given = sanitize.sanitize(orders.where("seq % 2 = 0"), demo_key(), model)
     second, more = sanitize.sanitize(orders.where("seq % 2 = 1"), demo_key(), model, given)
-    back = sanitize.rehydrate(first.unionByName(second), given.unionByName(more), "sanitized")
+    known = sanitize.decrypt_registry(given.unionByName(more), demo_key())
+    back = sanitize.rehydrate(first.unionByName(second), known, "sanitized")
     return back.select("seq", F.col("rehydrated").alias("text"), "status")
 
 
@@ -511,13 +592,80 @@ def sse_broken_off(spark, sf_dir):
 def window_stream_equiv(spark, sf_dir):
     """:func:`sse_out` as a stream, its state kept over micro-batches; the result is read from its sink."""
     chunks, known = _reply_chunks(spark, sf_dir, True)
-    folder = f"{shared_dir(spark)}/sparkveil-window-{uuid.uuid4().hex}"
-    chunks.repartition(2).write.json(f"{folder}/in")
-    source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
-    run = sse.reply_stream(source, known, 40, None).writeStream.format("parquet").option("path", f"{folder}/out").option(
-        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    parts = [part.drop("_part") for part in (chunks.withColumn("_part", F.pmod(F.xxhash64("stream_id", "chunk_seq"), F.lit(2))).where(F.col("_part") == i) for i in (0, 1))]
+    return _read_back(_streamed(spark, "window", parts, lambda s: sse.reply_stream(s, known, 40, demo_key(), None)))
+
+
+# ---------------------------------------------------------------- streams with state
+
+def _streamed(spark, name, batches, query):
+    """Rows that ``query`` makes of a stream of ``batches`` (tables of one schema), a micro-batch each; read from its sink."""
+    folder = f"{shared_dir(spark)}/sparkveil-{name}-{uuid.uuid4().hex}"
+    for batch in batches:  # files are read in the order they were written
+        batch.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = query(source)
+    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return _read_back(spark.read.schema(sse.REPLY_ROWS).parquet(f"{folder}/out"))
+    drop_at_exit(spark, folder)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+_TALK_SQL = f"SELECT conv_id, turn, role, coalesce(text, '') || ' [' || {_PAN_SQL} || '] from Asha Iyer and ' || CASE WHEN turn % 2 = 0 THEN 'Ravi Nair' ELSE 'Meera Rao' END || CASE WHEN conv_id % 7 = 3 AND turn = 0 THEN ' a@mail.example.com' ELSE '' END AS content FROM (SELECT *, conv_id * 100 + turn AS k FROM conversations WHERE conv_id IS NOT NULL)"
+
+
+def _talk(spark, sf_dir):
+    """A request for each turn of a conversation, the session: a value, two names, an e-mail address in some."""
+    k = F.col("conv_id") * 100 + F.col("turn")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), evaluation.entity_values(k)["PAN"], F.lit("] from Asha Iyer and "), F.when(F.col("turn") % 2 == 0, "Ravi Nair").otherwise("Meera Rao"),
+                    F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 0), " a@mail.example.com").otherwise(""))
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    message = F.array_sort(F.collect_list(F.struct("role", said.alias("content"))))
+    turns = rows.groupBy("conv_id", "turn").agg(message.alias("m"))
+    body = F.to_json(F.struct(F.lit("demo").alias("model"), F.col("m").alias("messages")))
+    return turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("request_seq"), body.alias("body"))
+
+
+def _talk_model(text):
+    return detect.model_spans(detect.gazetteer_model({"PERSON": ["Asha Iyer", "Ravi Nair", "Meera Rao"]}), "closed")(text)
+
+
+@query(f"""SELECT conv_id::VARCHAR AS session_id, turn::BIGINT AS request_seq, CASE WHEN conv_id % 7 = 3 AND turn = 0 THEN 'surrogate_domain:EMAIL' ELSE 'ok' END AS status,
+          CASE WHEN NOT (conv_id % 7 = 3 AND turn = 0) THEN string_agg(content, chr(10) ORDER BY role, content) END AS back, false AS leaked FROM ({_TALK_SQL}) GROUP BY conv_id, turn""")
+def sanitize_stream(spark, sf_dir):
+    """Requests as a stream in three micro-batches: status, what comes back by the registry the stream handed out, and whether a name went out."""
+    requests = _talk(spark, sf_dir)
+    batches = [requests.where(c) for c in ("request_seq < 2", "request_seq >= 2 and request_seq < 4", "request_seq >= 4")]
+    sent = _streamed(spark, "requests", batches, lambda s: streams.sanitize_stream(s, demo_key(), _talk_model))
+    given = sent.select("session_id", F.explode("given").alias("g")).select("session_id", "g.*")
+    back = sanitize.rehydrate_replies(sent.where("status = 'ok'").withColumn("http_status", F.lit(200)), sanitize.decrypt_registry(given, demo_key()))
+    leaked = F.coalesce(F.col("body").rlike("Asha Iyer|Ravi Nair|Meera Rao"), F.lit(False))
+    return sent.select("session_id", "request_seq", "status", leaked.alias("leaked")).join(
+        back.select("session_id", "request_seq", _contents(F.col("body")).alias("back")), ["session_id", "request_seq"], "left").select("session_id", "request_seq", "status", "back", "leaked")
+
+
+@query("""SELECT user_id::VARCHAR AS session_id, event_id AS access_id, CASE WHEN gap IS NULL OR gap > 3600000000 THEN 'created' ELSE 'touched' END AS event
+          FROM (SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)""")
+def session_store_stream(spark, sf_dir):
+    """Accesses as a stream in the order of time, whose sessions expire after an hour: which access creates a session and which finds one."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("access_id"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cut = [first + (last - first) * i / 3 for i in (1, 2)] if first else []
+    batches = [events.where(F.col("ts") < cut[0]), events.where((F.col("ts") >= cut[0]) & (F.col("ts") < cut[1])), events.where(F.col("ts") >= cut[1])] if cut else [events]
+    out = _streamed(spark, "accesses", batches, lambda s: streams.session_store(s, 3600))
+    return out.where("event != 'expired'").select("session_id", "access_id", "event")
+
+
+@query("""SELECT (event_id // 12)::VARCHAR AS correlation_id, ['latency.upstream_first_chunk', 'latency.window_first_release', 'pipeline.span_sanitized'][event_id % 3 + 1] AS event,
+          min(event_id) AS line_no, min_by(value, event_id) AS latency_ms FROM events GROUP BY ALL""")
+def first_log_stream(spark, sf_dir):
+    """Log lines as a stream, later batches repeating events of requests that began earlier: one row for the first line of each."""
+    e = F.col("event_id")
+    event = F.get(F.lit([evaluation.FIRST_CHUNK, evaluation.FIRST_RELEASE, evaluation.SPAN_SANITIZED]), (e % 3).cast("int"))
+    lines = table(spark, sf_dir, "events").select(F.floor(e / 12).cast("string").alias("correlation_id"), event.alias("event"), e.alias("line_no"),
+                                                  F.col("value").alias("latency_ms"), F.timestamp_seconds(e + 1_700_000_000).alias("ts"))
+    late = (F.floor(e / 12) % 5 == 0) & (e % 12 >= 6)  # of every fifth request half the lines come in the last batch
+    return _streamed(spark, "lines", [lines.where(~late), lines.where(late)], lambda s: streams.first_log_lines(s, 3600, 10**7))
 
 
 # ---------------------------------------------------------------- bypasses, echoes, latency
@@ -568,14 +716,16 @@ def obfuscate_values(spark, sf_dir):
     return df.select("c_custkey", *[forms[n].alias(n) for n in ("spaced_digits", "base64_encoding", "zero_width", "pii_in_code", "number_words")], *letters.values())
 
 
-@query("""SELECT category, 5112::BIGINT AS total, CASE WHEN category IN ('exact', 'decorated') THEN 5112 ELSE 0 END::BIGINT AS hits
-          FROM (VALUES ('exact'), ('decorated'), ('case_shifted'), ('partial'), ('abbreviated'), ('transliterated'), ('reasoned_about')) t(category)""")
+@query("""SELECT category, count(*) AS total, CASE WHEN category IN ('exact', 'decorated') THEN count(*) ELSE 0 END::BIGINT AS hits
+          FROM customer, (VALUES ('exact'), ('decorated'), ('case_shifted'), ('partial'), ('abbreviated'), ('transliterated'), ('reasoned_about')) t(category) GROUP BY category""")
 def fidelity_taxonomy(spark, sf_dir):
-    names = pools.candidate_pools(spark).where("entity_type = 'PERSON'").select("candidate", F.concat(F.lit("Real #"), "pos").alias("original"))
+    """How each customer's surrogate comes back in seven forms, and in which the name is restored."""
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("session_id"), (F.col("c_custkey") % pools.POOL_SIZES["PERSON"]).cast("int").alias("pos"), F.concat(F.lit("Real #"), "c_custkey").alias("original"))
+    names = keys.join(pools.candidate_pools(spark).where("entity_type = 'PERSON'"), "pos")
     forms = evaluation.echo_forms(F.col("candidate"))
-    echo = names.select(F.col("candidate").alias("session_id"), "original", F.explode(F.array(*[F.struct(
+    echo = names.select("session_id", "original", F.explode(F.array(*[F.struct(
         F.lit(n).alias("category"), c.alias("text")) for n, c in forms.items()])).alias("e")).select("session_id", "original", "e.*")
-    registry = names.select(F.col("candidate").alias("session_id"), F.col("candidate").alias("surrogate"), F.lit("PERSON").alias("entity_type"), "original")
+    registry = names.select("session_id", F.col("candidate").alias("surrogate"), F.lit("PERSON").alias("entity_type"), "original")
     back = sanitize.rehydrate(echo, registry)
     return back.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.contains("rehydrated", "original")).alias("hits"))
 
@@ -685,11 +835,6 @@ def derived_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.hex(key_of(F.concat(F.lit("secret "), "c_custkey")))).alias("key"))
 
 
-@query("SELECT * FROM (VALUES ('baseline_clean', 1), ('tier1_only', 1), ('tier2_only', 1), ('mixed_dense', 1), ('multiturn_5', 5), ('field_walker_heavy', 4), ('pathological_chunking', 1), ('long_response', 1)) w(workload, messages)")
-def workloads(spark, sf_dir):
-    return evaluation.workloads_frame(spark).select("workload", "messages")
-
-
 @query(f"SELECT c_custkey, found = 'PHONE' AS wins FROM ({_AS_12})")
 def phone_wins(spark, sf_dir):
     value = F.substring(evaluation.entity_values(F.col("c_custkey"))["PHONE"], 2, 12)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions.checksums import luhn_digit, verhoeff_digit
+from sparkveil.functions.quantiles import quantiles
 
 # ---------------------------------------------------------------- injected texts
 
@@ -92,7 +93,7 @@ def prf(counts: DataFrame) -> DataFrame:
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 HOMOGLYPHS = {"PAN": "\u0410", "IFSC": "\u041d"}
 _DIGITS, _LETTER_FIRST = ("AADHAAR", "CARD", "PHONE"), ("PAN", "IFSC", "VEHICLE_REG")
-#: Types that each class of :func:`obfuscations` has a form of. UPI and EMAIL have no surrogate: their texts are refused, clean or not.
+#: Types that each class of :func:`obfuscations` has a form of. UPI and EMAIL have no surrogate: their texts are refused, clean or not.
 CLASS_TYPES = {
     "clean": _DIGITS + _LETTER_FIRST + ("PERSON",), "spaced_digits": _DIGITS, "number_words": _DIGITS, "base64_encoding": _DIGITS + _LETTER_FIRST,
     "homoglyphs": tuple(HOMOGLYPHS), "zero_width": _DIGITS + _LETTER_FIRST, "pii_in_code": _DIGITS + _LETTER_FIRST, "transliterated_names": ("PERSON",),
@@ -142,11 +143,6 @@ def caught(outcome: Column) -> Column:
     return outcome["decoded"] & outcome["original_absent"] & outcome["replacement_present"]
 
 
-def still_working(recall: DataFrame) -> DataFrame:
-    """The adversarial classes that let any value through, worst first."""
-    return recall.where("label = 'adversarial' and caught < total").orderBy("recall", "bypass_class")
-
-
 def mismatches(cases: DataFrame) -> DataFrame:
     """Cases whose outcome is not the predicted one (null predictions are none), by case id."""
     return cases.where("predicted_caught is not null and predicted_caught != caught").orderBy("case_id")
@@ -191,11 +187,15 @@ def echo_forms(surrogate: Column) -> dict[str, Column]:
 
 
 def stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, median, p95, p99 (linear interpolation), sample stdev (0 for one value), cv (0 at mean 0), min and max."""
-    v = F.col(value)
-    out = df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.percentile(v, F.lit(0.95)).alias("p95"),
-        F.percentile(v, F.lit(0.99)).alias("p99"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"), F.min(v).alias("min"), F.max(v).alias("max"))
+    """n, mean, median, p95, p99 (linear interpolation), sample stdev (0 for one value), cv (0 at mean 0), min and max.
+
+    Quantiles are exact and come from counted histograms: no task holds the values of a group.
+    """
+    v, g = F.col(value), F.struct(*by)
+    out = df.groupBy(g.alias("g")).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"), F.min(v).alias("min"), F.max(v).alias("max"))
+    held = quantiles(df, by, value, (0.5, 0.95, 0.99)).select("g", F.col("q0").alias("median"), F.col("q1").alias("p95"), F.col("q2").alias("p99"))
+    out = out.join(held, "g", "left").select(*[F.col("g").getField(c).alias(c) for c in by], "n", "mean", "median", "p95", "p99", "stdev", "min", "max")
     return out.withColumn("cv", F.when(F.col("mean") == 0, 0.0).otherwise(F.col("stdev") / F.col("mean")))
 
 
@@ -251,19 +251,6 @@ def cells(requests: DataFrame, by: list[str], value: str, warmup: int = 0) -> Da
     return count.join(stats(kept.where("outcome = 'success'"), by, value), by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-#: The workloads of the latency tables: name, messages, and what they hold.
-WORKLOADS = (
-    ("baseline_clean", 1, "nothing to find"), ("tier1_only", 1, "structured values"), ("tier2_only", 1, "names"), ("mixed_dense", 1, "both"),
-    ("multiturn_5", 5, "both, over five turns"), ("field_walker_heavy", 4, "nested fields and arguments"),
-    ("pathological_chunking", 1, "a reply in single characters"), ("long_response", 1, "a long reply"),
-)
-
-
-def workloads_frame(spark: SparkSession) -> DataFrame:
-    """(workload, messages, holds)."""
-    return spark.createDataFrame(list(WORKLOADS), "workload string, messages int, holds string")
-
-
 # ---------------------------------------------------------------- hard cases
 
 
@@ -296,11 +283,6 @@ def hard_cases(keys: DataFrame, key: str) -> DataFrame:
     return keys.select(k.alias("text_id"), text.alias("text"), gold.alias("gold"))
 
 
-def templates_frame(spark: SparkSession) -> DataFrame:
-    """(template_id, text) of the carrier sentences."""
-    return spark.createDataFrame(list(enumerate(TEMPLATES)), "template_id int, text string")
-
-
 # ---------------------------------------------------------------- labels, replies, structured bypasses
 
 #: Labels of other vocabularies that have a type here.

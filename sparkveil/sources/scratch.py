@@ -38,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkveil-{name}-{next(_COUNTER)}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    drop_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends; if it dies, the folder stays, so what is secret is sealed before it is written."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)

@@ -126,18 +126,39 @@ def test_sse_any_split(spark, n):
 
 
 KNOWN = {"Priya Khan": "Real A", "Priya Khanna": "Real B", "A1": "B2", "B2": "C3"}
+WINDOW = sse.Window(KNOWN)
 TEXT = "call Priya Khanna now, Priya Khan. A1 B2 Priya"
 
 
 @pytest.mark.parametrize("size", [1, 3, 10, 100])
 def test_release_equals_one_pass(size):
-    whole, rest = sse.release(TEXT, True, KNOWN, 12)
-    assert rest == "" and whole == "call Real B now, Real A. B2 C3 Priya"
-    out, buffer = "", ""
+    whole, rest = sse.release(TEXT, True, WINDOW, 12)
+    assert rest == "" and "".join(whole) == "call Real B now, Real A. B2 C3 Priya"
+    out, buffer = [], ""
     for i in range(0, len(TEXT), size):
-        done, buffer = sse.release(buffer + TEXT[i:i + size], False, KNOWN, 12)
+        done, buffer = sse.release(buffer + TEXT[i:i + size], False, WINDOW, 12)
         out += done
-    assert out + sse.release(buffer, True, KNOWN, 12)[0] == whole
+    assert "".join(out + sse.release(buffer, True, WINDOW, 12)[0]) == "".join(whole)
+
+
+def test_a_window_takes_any_transform():
+    parts, rest = sse.release(TEXT, True, sse.Window(dict.fromkeys(KNOWN, 3), lambda n: ("hit", n)), 12)
+    assert rest == "" and parts.count(("hit", 3)) == 4 and parts[0] == "call "
+    assert sse.release("A1", False, sse.Window({}), 1) == (["A1"], "")
+    with pytest.raises(ValueError):
+        sse.release("A1", False, WINDOW, -1)
+
+
+def test_many_names_cost_no_more_per_character():
+    text = "Zora Quill wrote to name 77 x and name 4999 x. " * 400
+    cost = {}
+    for n in (50, 5000):
+        window = sse.Window({f"name {i} x": str(i) for i in range(n)})
+        began = time.perf_counter()
+        for i in range(0, len(text), 40):
+            sse.release(text[i:i + 40], False, window, 12)
+        cost[n] = time.perf_counter() - began
+    assert cost[5000] < 4 * cost[50]  # hits and noise; an alternation takes a hundred times as long
 
 
 def _event(content):
@@ -163,23 +184,23 @@ def _content(payloads):
 def test_reply_any_split(size):
     state, out = sse.Reply(), []
     for i in range(0, len(REPLY), size):
-        out += sse.take_fragments(state, [(i // size, REPLY[i:i + size], i + size >= len(REPLY))], KNOWN, 12)
+        out += sse.take_fragments(state, [(i // size, REPLY[i:i + size], i + size >= len(REPLY))], WINDOW, 12)
     assert _content(p for p, _ in out) == RESTORED and out[-1] == ("data: [DONE]\n\n", "ok") and state.closed
     assert "finish_reason" in out[-2][0] and sum("finish_reason" in p for p, _ in out) == 1
-    assert sse.take_fragments(state, [(99, "x", False)], KNOWN, 12) == [("", "after_end")]
+    assert sse.take_fragments(state, [(99, "x", False)], WINDOW, 12) == [(None, "after_end")]
 
 
 @pytest.mark.parametrize("tail,status,text", [
     ("", "no_done", "see Real A"), ("data: {broken\n\n" + _event("lost"), "malformed_event", "see Real A"), ('data: {"choices":[{"delta":{"content":" cut', "no_done", "see Real A"),
     ('data: {"choices":[{"delta":{"content":" end"}}]}', "no_done", "see Real A end"), ("data: 5\n\n", "malformed_event", "see Real A")])
 def test_reply_that_breaks_off_ends_honestly(tail, status, text):
-    out = sse.take_fragments(sse.Reply(), [(0, _event("see Priya Khan") + FINISH + tail, True)], KNOWN, 12)
+    out = sse.take_fragments(sse.Reply(), [(0, _event("see Priya Khan") + FINISH + tail, True)], WINDOW, 12)
     assert _content(p for p, _ in out) == text and out[-1] == ("data: [DONE]\n\n", status) and "finish_reason" in out[-2][0]
 
 
 def test_null_content_is_a_slot():
-    out = sse.take_fragments(sse.Reply(), [(0, 'data: {"choices":[{"delta":{"content":null}}]}\n\n' + _event("A1") + "data: [DONE]\n\n", True)], KNOWN, 12)
-    assert [p for p, _ in out] == [sse.written_event(_event("A1")[6:], "B2"), "data: [DONE]\n\n"]
+    out = sse.take_fragments(sse.Reply(), [(0, 'data: {"choices":[{"delta":{"content":null}}]}\n\n' + _event("A1") + "data: [DONE]\n\n", True)], WINDOW, 12)
+    assert [p for p, _ in out] == [sse.written_event(_event("A1")[6:], ["B2"]), "data: [DONE]\n\n"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -189,7 +210,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     registry = _registry(spark).union(_registry(spark, {"Priya Khan": "Other"}, "t"))
     stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    run = sse.reply_stream(stream, registry, 12, None).writeStream.format("memory").queryName("out").option(
+    run = sse.reply_stream(stream, registry, 12, F.unhex(F.lit("2b" * 32)), None).writeStream.format("memory").queryName("out").option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert run.awaitTermination(120)
     got = {s: [r.payload for r in spark.table("out").where(f"stream_id = 'r-{s}'").orderBy("out_seq").collect()] for s in "st"}
@@ -201,7 +222,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_a_silent_stream_ends_after_its_time(spark, tmp_path):
     rows = [("r", "s", 0, _event("see Priya Khan") + FINISH, False)]
     spark.createDataFrame(rows, CHUNKS).coalesce(1).write.json(str(tmp_path / "in"))
-    run = sse.reply_stream(spark.readStream.schema(CHUNKS).json(str(tmp_path / "in")), _registry(spark), 12, 1).writeStream.format("memory").queryName(
+    run = sse.reply_stream(spark.readStream.schema(CHUNKS).json(str(tmp_path / "in")), _registry(spark), 12, F.unhex(F.lit("2b" * 32)), 1).writeStream.format("memory").queryName(
         "silent").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
     try:
         for _ in range(120):
@@ -253,10 +274,11 @@ def test_names_differ_across_batches(spark):
     for seq, text in enumerate(("Ada Lane", "Bob Hill met Ada Lane", "Cy Moss and Bob Hill")):
         out, given = sanitize.sanitize(spark.createDataFrame([("s", seq, text)], schema), key, model("text"), registry)
         registry = given if registry is None else registry.unionByName(given)
-        row, new = out.first(), {r.original: r.surrogate for r in given.collect()}
+        known = sanitize.decrypt_registry(registry, key)
+        row, new = out.first(), {r.original: r.surrogate for r in sanitize.decrypt_registry(given, key).collect()}
         assert all(named.get(k, v) == v for k, v in new.items())
         named |= new
-        assert row.status == "ok" and sanitize.rehydrate(spark.createDataFrame([("s", row.sanitized)], "session_id string, text string"), registry).first().rehydrated == text
+        assert row.status == "ok" and sanitize.rehydrate(spark.createDataFrame([("s", row.sanitized)], "session_id string, text string"), known).first().rehydrated == text
     assert len(set(named.values())) == 3
     rank = spark.range(5112).select(pools.pool_rank(F.lit("s"), F.lit("PERSON"), pools.pool_place(F.lit("s"), F.lit("PERSON"), F.col("id"))).alias("r"), "id")
     assert rank.where("r != id").count() == 0
