@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkveil-{name}-{next(_COUNTER)}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its buffers, unlike snappy's, do not wait for the garbage collector
     drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
