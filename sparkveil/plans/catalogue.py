@@ -13,7 +13,7 @@ from sparkveil.functions.ff1 import key_of
 from sparkveil.functions.text import split_into_n, split_on_space
 from sparkveil.operators import detect, domains, pools, sanitize, sessions, tagger
 from sparkveil.plans import carriers, evaluation
-from sparkveil.sources import bodies
+from sparkveil.sources import bodies, sinks
 from sparkveil.sources.scratch import drop_at_exit, shared_dir
 from sparkveil.streaming import sessions as streams
 from sparkveil.streaming import sse
@@ -859,11 +859,22 @@ def label_map(spark, sf_dir):
 
 @query("""SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
 def jsonl_rows(spark, sf_dir):
-    from sparkveil.sources import sinks
-
     return sinks.jsonl_rows(table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name"))
 
 
+def _audit_sql() -> str:
+    return f"""SELECT '{evaluation.SPAN_SANITIZED}' AS event, text_id::VARCHAR AS correlation_id, (text_id % 40)::VARCHAR AS session_id, 1::INT AS tier, entity_type, ("end" - "start")::INT AS span_length,
+        CASE WHEN entity_type IN ('UPI', 'EMAIL') THEN 'refused' ELSE 'ok' END AS status FROM ({GOLD})"""
+
+
+@query(_audit_sql())
+def audit_log(spark, sf_dir):
+    """What the audit may say of every span: its type, tier and length, never its text."""
+    found = detect.detect(_session_texts(spark, sf_dir))
+    events = sinks.span_events(found.select("session_id", F.col("seq").cast("string").alias("correlation_id"), "text", "spans"))
+    return sinks.audit_rows(events).select("event", "correlation_id", "session_id", "tier", "entity_type", "span_length", "status")
+
+
 @query("""SELECT 'split_across_turns' AS bypass_class, count(*) AS total, count(*) AS leaked FROM customer UNION ALL SELECT 'pii_in_json_key', count(*), count(*) FROM customer""")
 def structured_bypasses(spark, sf_dir):
     value = evaluation.entity_values(F.col("c_custkey"))["PAN"]

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkveil.operators.domains import UNSUPPORTED
+
+#: The event of a span in the gateway log.
+SPAN_SANITIZED = "pipeline.span_sanitized"
 #: The only fields an audit row may have; free texts never pass.
 AUDIT_FIELDS = ("event", "correlation_id", "session_id", "timestamp_ms", "latency_ms", "tier", "entity_type", "span_length", "status", "error")
 
@@ -24,6 +28,14 @@ def audit_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in AUDIT_FIELDS])
 
 
+def span_events(found: DataFrame) -> DataFrame:
+    """A row for each span of (..., text, spans): what may be said of it; the text is dropped."""
+    kept = [c for c in found.columns if c not in ("text", "spans")]
+    span = found.select(*kept, F.explode("spans").alias("s"))
+    return span.select(*kept, F.lit(SPAN_SANITIZED).alias("event"), "s.tier", "s.entity_type", (F.col("s.end") - F.col("s.start")).alias("span_length"),
+                       F.when(F.col("s.entity_type").isin(*UNSUPPORTED), "refused").otherwise("ok").alias("status"))
+
+
 def markdown_report(df: DataFrame, limit: int = 200) -> str:
     """A small result (``limit`` rows at most) as a Markdown table."""
     rows = df.limit(limit + 1).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkveil.functions.quantiles import greatest, quantiles, ranked_values
 from sparkveil.operators import detect, pools, sanitize, sealing, sessions, tagger
 from sparkveil.plans import carriers, catalogue, evaluation
-from sparkveil.sources import scratch
+from sparkveil.sources import scratch, sinks
 from sparkveil.streaming import sessions as streams
 from sparkveil.streaming import sse
 
@@ -272,6 +272,23 @@ def test_candidates_agree_with_the_pools(spark):
         assert pools.candidate_at("s", kind, size) is None
 
 
+# ---------------------------------------------------------------- sinks
+
+
+def test_audit_and_reports_say_no_value(spark, tmp_path):
+    found = detect.detect(spark.createDataFrame([("s", "1", "pan ABCPE1234F to a@b.example")], "session_id string, correlation_id string, text string"))
+    rows = sinks.audit_rows(sinks.span_events(found).withColumn("secret", F.lit("ABCPE1234F")))
+    assert tuple(rows.columns) == sinks.AUDIT_FIELDS
+    sinks.write_jsonl(rows, str(tmp_path / "audit"), ["entity_type"])
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "audit")).collect()]
+    assert sorted((x["entity_type"], x["span_length"], x["status"]) for x in lines) == [("EMAIL", 11, "refused"), ("PAN", 10, "ok")]
+    assert not any(v in json.dumps(lines) for v in ("ABCPE1234F", "a@b"))
+    report = sinks.markdown_report(rows.groupBy("status").count().orderBy("status"))
+    assert report.splitlines() == ["| status | count |", "| - | - |", "| ok | 1 |", "| refused | 1 |"]
+    with pytest.raises(ValueError):
+        sinks.markdown_report(spark.range(5), 3)
+
+
 # ---------------------------------------------------------------- quantiles
 
 
