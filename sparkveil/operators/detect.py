@@ -81,7 +81,8 @@ def detector_spans(text: Column, detector: Detector, checked: bool = True) -> Co
 #: What may hold a match: runs of word characters and of the signs that patterns use, with an @, four digits or the
 #: beginning of a bank code. No match crosses the ends of such a run, and no pattern looks beyond them.
 _SIGNS = r"[\w.%+@-]"
-CANDIDATE = rf"(?U)(?<!{_SIGNS}){_SIGNS}*?(?:@|\d{{4}}|[A-Z]{{4}}0){_SIGNS}*+"
+_CORE = r"@|\d{4}|[A-Z]{4}0"
+CANDIDATE = rf"(?U)(?<!{_SIGNS}){_SIGNS}*?(?:{_CORE}){_SIGNS}*+"
 
 
 def deterministic_spans(text: Column, types=DETERMINISTIC, checked: bool = True) -> Column:
@@ -107,7 +108,8 @@ def deterministic_spans(text: Column, types=DETERMINISTIC, checked: bool = True)
     judged = lambda runs: F.flatten(F.transform(placed(runs), lambda c: F.concat(*[moved(c, d) for d in wanted])))
     runs = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     none = F.array().cast(SPANS)
-    return F.get(F.transform(F.array(runs), lambda r: F.when(F.size(r) > 0, judged(r)).otherwise(none)), F.lit(0)) if wanted else none
+    found = once(runs, judged) if wanted else none
+    return F.when(F.regexp_like(text, F.lit(f"(?U){_CORE}")), found).otherwise(none)  # most texts hold nothing
 
 
 #: Up to so many spans are compared with all that were taken before; more are looked up by halving.
@@ -120,12 +122,14 @@ def resolve(spans: Column) -> Column:
     A span beaten only by a span that was itself rejected survives, so this is a fold and no anti-join.
     Those taken are disjoint and kept in order, so only the last that begins before a span's end can overlap it.
     """
-    ranked = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["tier"].alias("tier"), (s["start"] - s["end"]).alias("size"), s["det_idx"].alias("det_idx"),
-        s["emit_pos"].alias("emit_pos"), s.alias("span"))))
+    def in_order(spans: Column) -> Column:
+        return F.array_sort(F.transform(spans, lambda s: F.struct(
+            s["tier"].alias("tier"), (s["start"] - s["end"]).alias("size"), s["det_idx"].alias("det_idx"), s["emit_pos"].alias("emit_pos"), s.alias("span"))))
+
     none = F.array().cast(SPANS)
-    few = F.array_sort(F.aggregate(ranked, none, lambda acc, r: F.when(
-        F.exists(acc, lambda a: overlaps(a, r["span"])), acc).otherwise(F.array_append(acc, r["span"]))))
+
+    def compared(acc: Column, r: Column) -> Column:
+        return F.when(F.exists(acc, lambda a: overlaps(a, r["span"])), acc).otherwise(F.array_append(acc, r["span"]))
 
     def before(acc: Column, end: Column) -> Column:
         """How many of the taken spans begin before ``end``."""
@@ -140,7 +144,22 @@ def resolve(spans: Column) -> Column:
             F.concat(F.slice(acc, F.lit(1), n), F.array(r["span"]), F.slice(acc, n + 1, F.size(acc))))
         return F.get(F.transform(F.array(before(acc, r["span"]["end"])), put), F.lit(0))
 
-    return F.when(F.size(spans) <= FEW_SPANS, few).otherwise(F.aggregate(ranked, none, taken))
+    judged = lambda spans: F.when(F.size(spans) <= 1, spans).when(F.size(spans) <= FEW_SPANS, F.array_sort(
+        F.aggregate(in_order(spans), none, compared))).otherwise(F.aggregate(in_order(spans), none, taken))
+    return once(spans, judged)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def exploded(found: DataFrame, *ids: str) -> DataFrame:
+    """(ids, s) for each of ``spans``.
+
+    The outer form is used because the inner one makes the planner test the array beforehand, and so detect everything three times.
+    """
+    return found.select(*ids, F.explode_outer("spans").alias("s")).where("s is not null")
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -43,7 +43,7 @@ def demo_key():
 
 
 def _spans(df: DataFrame, *ids: str) -> DataFrame:
-    return detect.detect(df).select(*ids, F.explode("spans").alias("s")).select(*ids, "s.start", "s.end", "s.entity_type")
+    return detect.exploded(detect.detect(df), *ids).select(*ids, "s.start", "s.end", "s.entity_type")
 
 
 # ---------------------------------------------------------------- detection over documents
@@ -111,7 +111,7 @@ def _gold_and_found(spark, sf_dir, types=None, checked=True):
     texts = _injected(spark, sf_dir)
     gold = texts.select(F.col("text_id").alias("example_id"), F.explode("gold").alias("s")).select("example_id", "s.*")
     spans = detect.resolve(detect.deterministic_spans(F.col("text"), types or detect.DETERMINISTIC, checked))
-    found = texts.select(F.col("text_id").alias("example_id"), F.explode(spans).alias("s")).select("example_id", "s.start", "s.end", "s.entity_type")
+    found = detect.exploded(texts.select(F.col("text_id").alias("example_id"), spans.alias("spans")), "example_id").select("example_id", "s.start", "s.end", "s.entity_type")
     return gold, found
 
 
@@ -137,7 +137,7 @@ def _hard(spark, sf_dir, types=None, checked=True):
     texts = evaluation.hard_cases(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     gold = texts.select(F.col("text_id").alias("example_id"), F.explode("gold").alias("s")).select("example_id", "s.*")
     spans = detect.resolve(detect.deterministic_spans(F.col("text"), types or detect.DETERMINISTIC, checked))
-    found = texts.select(F.col("text_id").alias("example_id"), F.explode(spans).alias("s")).select("example_id", "s.start", "s.end", "s.entity_type")
+    found = detect.exploded(texts.select(F.col("text_id").alias("example_id"), spans.alias("spans")), "example_id").select("example_id", "s.start", "s.end", "s.entity_type")
     return gold, found
 
 
@@ -193,8 +193,7 @@ def detect_names(spark, sf_dir):
     held, model = _named_carriers(spark, sf_dir)
     gold = held.select(F.col("text_id").alias("example_id"), F.explode("gold").alias("s")).select("example_id", "s.*")
     judged = held.withColumn("_m", tagger.tagger_spans(model, F.col("text"), "closed"))
-    found = detect.detect(judged, model=F.col("_m.spans")).select(
-        F.col("text_id").alias("example_id"), F.explode("spans").alias("s")).select("example_id", "s.start", "s.end", "s.entity_type")
+    found = detect.exploded(detect.detect(judged, model=F.col("_m.spans")), "text_id").select(F.col("text_id").alias("example_id"), "s.start", "s.end", "s.entity_type")
     return evaluation.prf(evaluation.confusion(gold, found)).select("entity_type", "tp", "fp", "fn", "precision", "recall", "f1", "support")
 
 

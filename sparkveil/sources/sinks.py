@@ -31,7 +31,7 @@ def audit_rows(df: DataFrame) -> DataFrame:
 def span_events(found: DataFrame) -> DataFrame:
     """A row for each span of (..., text, spans): what may be said of it; the text is dropped."""
     kept = [c for c in found.columns if c not in ("text", "spans")]
-    span = found.select(*kept, F.explode("spans").alias("s"))
+    span = found.select(*kept, F.explode_outer("spans").alias("s")).where("s is not null")
     return span.select(*kept, F.lit(SPAN_SANITIZED).alias("event"), "s.tier", "s.entity_type", (F.col("s.end") - F.col("s.start")).alias("span_length"),
                        F.when(F.col("s.entity_type").isin(*UNSUPPORTED), "refused").otherwise("ok").alias("status"))
 

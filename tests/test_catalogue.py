@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 SAMPLE = ["entity_counts_by_source_lang", "detect_all_injected", "score_prf", "checksum_validity", "mixed_radix_roundtrip",
           "name_alloc_sessions", "session_epochs_events", "walk_regions", "rehydrate_conversations", "sanitize_conversations", "sse_out", "score_hard_cases",
           "resolve_overlaps", "adversarial_recall", "request_log_join", "request_outcomes", "latency_cells", "obfuscate_values", "sse_frame_batch", "latency_stats", "tier_distribution",
-          "detect_carriers", "sanitize_texts", "rehydrate_texts", "sanitize_hostile_rows", "sanitize_stream", "session_store_stream", "first_log_stream", "audit_log", "lru_sessions"]
+          "detect_carriers", "sanitize_hostile_rows", "session_store_stream", "first_log_stream", "audit_log", "lru_sessions"]
 
 
 def plain(value):
