@@ -18,7 +18,8 @@ without clusters in many dimensions the balls overlap and most leaf pairs are
 scored (see README for figures).
 
 Scores are inner products of ``floor(scale * x)``, in float64 where that is exact
-and in unbounded integers elsewhere; beyond 64 bits they are clipped on output.
+and in unbounded integers elsewhere. Beyond 64 bits they are clipped, those of
+positives before their windows open.
 
 Defined cases: rows with a null id, label or vector, or with a null or
 non-finite component, take no part; an empty vector scores 0; vectors of unlike

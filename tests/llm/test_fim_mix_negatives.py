@@ -52,7 +52,7 @@ def test_segments_and_malformed_bytes(monkeypatch):
     assert [r["output"] for r in got] == [_plain_fim(t, [int(x[i]) for x in h])[4] for i, t in enumerate(texts)]
     broken = pa.Array.from_buffers(pa.string(), 2, pa.array([b"a\xe9\xffb", b"\x80ok"], pa.binary()).buffers())
     seen = fim.transform_batch(broken, [np.array([7, 7])] * 2 + [np.array([95, 95])] * 2, "char", fim.SENTINELS, 10, 20)
-    assert seen.field("n_malformed").to_pylist() == [1, 1] and seen.field("n").to_pylist() == [4, 2]
+    assert seen.field("n_malformed").to_pylist() == [2, 1] and seen.field("n").to_pylist() == [4, 2]
 
 
 def test_states_are_forgotten():
@@ -140,8 +140,10 @@ def test_mix_rows(spark):
     for r in rows:
         assert r.mix.size == len((r.text or "").split()) and r.mix.source_size == sizes[r.source] and 0 <= r.mix.times <= 3 and r.mix.target == want[r.source]
         used[r.source] = used.get(r.source, 0) + r.mix.times * r.mix.size
-    for s in ("s0", "s1", "é", None):
-        assert want[s] * 0.98 - 5 <= used[s] <= want[s], s
+    for s in want:  # near the target, or no document that was left fits into the rest
+        rest, mine = want[s] - used[s], [r.mix for r in rows if r.source == s and r.mix.size]
+        least = min((m.times for m in mine), default=0)
+        assert 0 <= rest and (rest <= 0.02 * want[s] + 5 or all(m.times == 3 or m.times > least or m.size > rest for m in mine)), s
     assert len({r.mix.times for r in rows if r.doc_id == 7 and r.text == "x y z"}) == 1
     assert mixing.mix_sources(df.where("false"), weights).count() == 0
     assert {r.mix.times for r in mixing.mix_sources(df, weights.where("false")).collect()} == {0}
@@ -206,15 +208,17 @@ def test_negatives_against_plain_code(spark, monkeypatch):
 
 def test_scores_beyond_float64(spark):
     rng = np.random.default_rng(5)
-    big = [(i, i % 2, [float(np.float32(x)) for x in rng.integers(1, 2**20, 4) * 37.0]) for i in range(0, 120)]
+    big = [(i, i % 2, [float(np.float32(x)) for x in rng.integers(1, 2**20, 4) * 1.75]) for i in range(0, 120)]
     got = sorted(map(tuple, negatives.mine_hard_negatives(_vectors(spark, big), F.col("vec_id") % 50 == 0).collect()))
-    assert got == _plain_negatives(big) and max(r[4] for r in got) > 2**53
+    assert got == _plain_negatives(big) and 2**53 < max(r[4] for r in got) < 2**63
 
 
-def test_clustered_vectors_are_pruned(spark):
+def test_clustered_vectors_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "LEAF", 32)  # leaves no wider than a cluster
+    monkeypatch.setattr(negatives, "ANCHOR_LEAF", 8)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 16))
-    rows = [(i, int(i // 40 % 4), [float(np.float32(x)) for x in centres[i % 40] + rng.normal(size=16) * 0.02]) for i in range(8000)]
+    rows = [(i, int(i // 40 % 4), [float(np.float32(x)) for x in centres[i % 40] + rng.normal(size=16) * 0.15]) for i in range(8000)]
     report = {}
     got = negatives.mine_hard_negatives(_vectors(spark, rows), F.col("vec_id") % 50 == 0, report=report)
     assert got.count() > 0
