@@ -1,11 +1,12 @@
 """Operator 6: toxicity by nearest labelled examples.
 
 A bounded sample of labelled examples becomes a block-max inverted index over
-all its terms: for every term and block of neighbouring examples the postings
-and the largest weight there. A document is scored by the exact TF-IDF cosine
-to its nearest examples: the bound of a block is the sum of the block maxima of
-the document's terms; blocks are visited by descending bound, and postings of a
-block are read only if its bound can still enter the nearest ``k``.
+all its terms. Like examples stand in blocks of four, and for every widespread
+term and block the index knows the largest weight there. A document is scored by
+the exact TF-IDF cosine to its nearest examples: the short lists of its rarer
+terms are read whole; to these sums the bound of a block adds the block maxima
+of its widespread terms; and the postings of widespread terms, most of all, are
+read only for examples whose bound can still enter the nearest ``k``.
 
 The neighbours vote: each by the part of its similarity that comes from terms
 which depend on the label in the sample, against all similarity there is. The
@@ -38,7 +39,9 @@ from .common import LOWER, SEGMENT, batch_word_hashes, mix64, save, span_hashes,
 MAX_POSITIVE, MAX_OTHER = 1_000, 2_500
 #: When a term depends on the label: how far from chance (standard errors of its log odds), how many positive examples, and its odds ratio.
 MIN_Z, MIN_EXAMPLES, MIN_ODDS = 3.0, 3, 20
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 128, 4
+NEIGHBOURS = 15
+#: Examples of a block; examples whose similarities are completed first; the share of the examples from which a term is widespread; axes of the projection that finds like examples.
+BLOCK, FIRST, WIDE, PROJECTED = 4, 48, 1 / 8, 32
 #: Texts whose scores a task remembers.
 REMEMBERED = 2_000
 #: ``predicted`` is 1 from this score on.
@@ -81,11 +84,6 @@ def term_batches(array):
         yield first, cuts * 2, both
 
 
-def _expanded(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The places starts[i], starts[i] + 1, ... (count[i] of them) for every i."""
-    return np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
-
-
 @dataclass(frozen=True)
 class Examples:
     """What an index is made from, and shipped as: term counts of the examples, by term. All arrays are bounded by the sample."""
@@ -104,23 +102,27 @@ class Examples:
 
 
 class BlockMaxIndex:
-    """Examples by term and block of neighbouring examples."""
+    """Examples by term; like examples stand side by side in small blocks."""
 
     def __init__(self, of: Examples):
         self.of = of
         self.terms, self.ids, self.labels = of.terms, of.ids, of.labels
+        self.begin, self.examples = of.begin.astype(np.int64), of.examples.astype(np.int64)
         self.idf = np.log((of.documents + 1) / (of.df + 1)) + 1e-3
-        self.examples, self.blocks = of.examples, max(1, -(-len(of.ids) // BLOCK))
-        t = np.repeat(np.arange(len(of.terms)), np.diff(of.begin))
+        n = np.diff(self.begin)
+        t = np.repeat(np.arange(len(of.terms)), n)
         w = (1 + np.log(of.counts)) * self.idf[t]
-        norm = np.sqrt(np.bincount(of.examples, w**2, minlength=len(of.ids)))
-        self.weights = w / norm[of.examples]
-        block = of.examples // BLOCK
-        at = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (block[1:] != block[:-1]))[: len(t)])
-        self.entries = np.searchsorted(t[at], np.arange(len(of.terms) + 1))  # block entries of term t: entries[t] to entries[t + 1]
-        self.block = block[at]
-        self.block_max = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
-        self.starts = np.append(at, len(t))  # postings of entry e: starts[e] to starts[e + 1]
+        norm = np.sqrt(np.bincount(self.examples, w**2, minlength=len(of.ids)))
+        self.weights = w / norm[self.examples]
+        # widespread terms: postings by example, and their maxima by term and block
+        blocks = max(1, -(-len(of.ids) // BLOCK))
+        wide = np.flatnonzero(n >= max(1, WIDE * len(of.ids)))
+        self.slot = np.full(len(of.terms), -1)
+        self.slot[wide] = np.arange(len(wide))
+        self.rows = np.zeros((blocks * BLOCK, len(wide)))
+        held = self.slot[t] >= 0
+        self.rows[self.examples[held], self.slot[t[held]]] = self.weights[held]
+        self.block_max = np.ascontiguousarray(self.rows.reshape(blocks, BLOCK, len(wide)).max(axis=1).T)
         seen = [np.bincount(t, of.labels[of.examples] == y, minlength=len(of.terms)) for y in (1, 0)]
         self.telling = telling_terms(*seen, int((of.labels == 1).sum()), int((of.labels == 0).sum()))
         self.cuts, self.levels, self.blank = of.cuts, of.levels, of.blank
@@ -138,42 +140,49 @@ class BlockMaxIndex:
         norm = np.sqrt((weight**2).sum())
         return (term, weight / norm) if norm > 0 else (term[:0], weight[:0])
 
+    def _sums(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings of these terms add to every example."""
+        begin, end = self.begin[term], self.begin[term + 1]
+        lists = [slice(*x) for x in zip(begin.tolist(), end.tolist())]
+        if not lists:
+            return np.zeros(len(self.rows))
+        own = np.repeat(weight, end - begin) * np.concatenate([self.weights[x] for x in lists])
+        return np.bincount(np.concatenate([self.examples[x] for x in lists]), own, minlength=len(self.rows))
+
+    def candidates(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
+        """(examples, exact similarities) of all that the bounds leave, the ``k`` most similar among them."""
+        slot = self.slot[term]
+        wide, query = slot >= 0, np.zeros(self.rows.shape[1])
+        query[slot[wide]] = weight[wide]
+        score = self._sums(term[~wide], weight[~wide])
+        bounds = score + np.repeat(weight[wide] @ self.block_max[slot[wide]], BLOCK)
+        if without >= 0:
+            bounds[without] = -np.inf
+        # the highest bounds first, then all that can still be one of the k best
+        most = max(FIRST, 2 * k)
+        first = np.argpartition(bounds, -most)[-most:] if len(bounds) > most else np.arange(len(bounds))
+        score[first] += self.rows[first] @ query
+        if without >= 0:
+            score[without] = 0
+        least = np.partition(score[first], -k)[-k] if len(first) >= k else 0.0
+        bounds[first] = -np.inf
+        more = np.flatnonzero((bounds > 0) & (bounds >= least - 1e-12))
+        score[more] += self.rows[more] @ query
+        held = np.concatenate([first, more])
+        return held, score[held]
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
         """Exact (examples, similarities, telling parts) of the ``k`` most similar examples, best first."""
-        count = self.entries[term + 1] - self.entries[term]
-        entry = _expanded(self.entries[term], count)
-        own, block = np.repeat(weight, count), self.block[entry]
-        bounds = np.bincount(block, own * self.block_max[entry], minlength=self.blocks)
-        score = np.zeros(len(self.ids))
-
-        def read(chosen: np.ndarray) -> np.ndarray:
-            """Add the postings of the chosen blocks to ``score``; the k-th best similarity so far."""
-            held = np.flatnonzero(chosen[block])
-            begin = self.starts[entry[held]]
-            n = self.starts[entry[held] + 1] - begin
-            at = _expanded(begin, n)
-            score[:] += np.bincount(self.examples[at], np.repeat(own[held], n) * self.weights[at], minlength=len(score))
-            if without >= 0:
-                score[without] = 0
-            return np.partition(score, -k)[-k] if len(score) >= k else 0.0
-
-        # the blocks of the highest bounds first, then all that can still hold one of the k best
-        first = np.zeros(self.blocks, dtype=bool)
-        first[np.argpartition(bounds, -FIRST_BLOCKS)[-FIRST_BLOCKS:] if self.blocks > FIRST_BLOCKS else slice(None)] = True
-        more = (bounds > 0) & (bounds >= read(first) - 1e-12) & ~first
-        if more.any():
-            read(more)
-        names = np.flatnonzero(score > 0)
-        if len(names) > k:
-            names = names[score[names] >= np.partition(score, -k)[-k] - 1e-11]
-        names = names[np.lexsort((self.ids[names], -np.round(score[names], 12)))[:k]]
+        held, score = self.candidates(term, weight, k, without)
+        held, score = held[score > 0], score[score > 0]
+        if len(held) > k:
+            best = score >= np.partition(score, -k)[-k] - 1e-11
+            held, score = held[best], score[best]
+        order = np.lexsort((self.ids[held], -np.round(score, 12)))[:k]
+        names, score = held[order], score[order]
         # what of these similarities comes from telling terms
-        tell = np.flatnonzero(self.telling[term] > 0)
-        entry = _expanded(self.entries[term[tell]], count[tell])
-        n = self.starts[entry + 1] - self.starts[entry]
-        at = _expanded(self.starts[entry], n)
-        told = np.bincount(self.examples[at], np.repeat(np.repeat(weight[tell], count[tell]), n) * self.weights[at], minlength=len(score))
-        return names, score[names], told[names]
+        tell = self.telling[term] > 0
+        return names, score, self._sums(term[tell], weight[tell])[names]
 
     def vote(self, names: np.ndarray, best: np.ndarray, told: np.ndarray) -> float:
         """Telling similarity of the positive neighbours among all similarity."""
@@ -193,12 +202,35 @@ def telling_terms(positive: np.ndarray, other: np.ndarray, n: int, m: int) -> np
     return ((positive >= MIN_EXAMPLES) & (odds >= np.log(MIN_ODDS)) & (odds / spread >= MIN_Z)).astype(float)
 
 
+def _like_order(counted: list[tuple], ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The examples such that neighbours are alike: halved along the widest direction of a random projection, down to blocks."""
+    by_id = np.argsort(ids, kind="stable")
+    place = np.zeros((len(counted), PROJECTED))
+    rng = np.random.default_rng(0)
+    weights = [(1 + np.log(counted[i][1])) * idf[counted[i][0]] for i in by_id]
+    for axis in range(PROJECTED):
+        sign = rng.choice((-1.0, 1.0), len(idf))
+        place[:, axis] = [w @ sign[counted[i][0]] / (np.sqrt(w @ w) + 1e-12) for i, w in zip(by_id, weights)]
+
+    def halves(members: np.ndarray) -> list[np.ndarray]:
+        if len(members) <= BLOCK:
+            return [members]
+        apart = place[members] - place[members].mean(axis=0)
+        way = apart[np.argmax((apart**2).sum(axis=1))]
+        for _ in range(8):
+            way = apart.T @ (apart @ way)
+            way = way / (np.sqrt(way @ way) + 1e-12)
+        along = members[np.argsort(apart @ way, kind="stable")]
+        cut = -(-len(members) // (2 * BLOCK)) * BLOCK  # the first half is whole blocks
+        return halves(along[:cut]) + halves(along[cut:])
+
+    return by_id[np.concatenate(halves(np.arange(len(counted))))] if len(counted) else by_id
+
+
 def build_index(ids: np.ndarray, labels: np.ndarray, rows: list[np.ndarray], terms: np.ndarray, df: np.ndarray, documents: int) -> BlockMaxIndex:
     """Index of the examples, not calibrated yet; ``df`` counts documents with each of the sorted ``terms`` among ``documents``."""
-    # examples of one kind stand side by side, so that the maxima of a block are close to its members: order by the three most widespread terms
     counted = [np.unique(np.searchsorted(terms, r), return_counts=True) for r in rows]
-    kind = np.array([np.append(t[np.argsort(-df[t], kind="stable")[:3]], [-1] * 3)[:3] for t, _ in counted]).reshape(len(rows), 3)
-    order = np.lexsort((ids, *kind.T[::-1]))
+    order = _like_order(counted, ids, np.log((documents + 1) / (df + 1)) + 1e-3)
     counted = [counted[i] for i in order]
     none = [np.zeros(0, dtype=np.int64)]
     t, n = np.concatenate([c[0] for c in counted] or none), np.concatenate([c[1] for c in counted] or none)
