@@ -1,7 +1,7 @@
 """Operator 6: toxicity by nearest labelled examples.
 
 A bounded sample of labelled examples becomes a block-max inverted index over
-all its terms. Like examples stand in blocks of four, and for every widespread
+all its terms. Like examples stand in blocks of two, and for every widespread
 term and block the index knows the largest weight there. A document is scored by
 the exact TF-IDF cosine to its nearest examples: the short lists of its rarer
 terms are read whole; to these sums the bound of a block adds the block maxima
@@ -41,7 +41,7 @@ MAX_POSITIVE, MAX_OTHER = 1_000, 2_500
 MIN_Z, MIN_EXAMPLES, MIN_ODDS = 3.0, 3, 20
 NEIGHBOURS = 15
 #: Examples of a block; examples whose similarities are completed first; the share of the examples from which a term is widespread; axes of the projection that finds like examples.
-BLOCK, FIRST, WIDE, PROJECTED = 4, 48, 1 / 8, 32
+BLOCK, FIRST, WIDE, PROJECTED = 2, 48, 1 / 8, 32
 #: Texts whose scores a task remembers.
 REMEMBERED = 2_000
 #: ``predicted`` is 1 from this score on.
