@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 
 from sparkveil.sources.scratch import shared_dir, written
 
-#: Arrow batches of saved tables are cut at this size, whatever the length of a row.
-BATCH_BYTES, _BATCH_CONF = str(8 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
+#: While a table is saved: Arrow batches are cut at this size, whatever the length of a row, and Spark removes the shuffle files when the write ends.
+_SAVE_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back, with Arrow batches of bounded size."""
-    spark = df.sparkSession
-    size = spark.conf.get(_BATCH_CONF, None)
-    spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+    """Write ``df`` into the shared folder and read it back, with Arrow batches of bounded size; the shuffle files of the write go with it."""
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key, None) for key in _SAVE_CONF}
+    for key, value in _SAVE_CONF.items():
+        conf.set(key, value)
     try:
         return written(df, name)
     finally:
-        spark.conf.unset(_BATCH_CONF) if size is None else spark.conf.set(_BATCH_CONF, size)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def drop_saved(*frames: DataFrame) -> None:
