@@ -66,3 +66,15 @@ def test_bypasses_cover_every_customer_and_type(spark, tmp_path):
                                                      "homoglyphs": 80, "zero_width": 240, "pii_in_code": 240, "transliterated_names": 40}
     assert rows["clean"].recall == rows["transliterated_names"].recall == 1 and rows["homoglyphs"].caught == rows["zero_width"].caught == 0
     assert rows["pii_in_code"].caught == 40  # phones: an underscore is a boundary for their pattern
+
+
+@pytest.mark.parametrize("name", ["detect_email_documents", "entity_counts_by_source_lang"])
+def test_addresses_within_longer_runs_equal_sql(spark, tmp_path, name):
+    texts = ["a@b@c.org", "see b@c.org_2 and b@c.org", "x@y.org%", "+x@y.org+", "x@y.org@", "(x@y.org)", "x@y.org.", "éx@y.orgé", "x@y.org", None, "4111111111111111 x@y.org"]
+    rows = [(i, t, "s", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    names = ", ".join(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {names} from ({catalogue.ORACLES[name]})").fetchall())
