@@ -299,3 +299,14 @@ def test_confusion_counts_repeats(spark):
     rows = {r.entity_type: r for r in evaluation.prf(evaluation.confusion(gold, found)).collect()}
     assert (rows["PAN"].tp, rows["PAN"].fp, rows["PAN"].fn) == (1, 2, 1)
     assert rows["CARD"].precision == 0.0 and rows["CARD"].recall == 0.0 and rows["CARD"].f1 == 0.0
+
+
+def test_a_value_that_equals_an_earlier_surrogate_comes_back(spark):
+    key, schema = F.unhex(F.lit("11" * 32)), "session_id string, seq long, text string"
+    first = "+919000000001"
+    other = sanitize.sanitize(spark.createDataFrame([("s", 1, first)], schema), key)[0].first().sanitized  # a number that someone else may have
+    rows = [("s", 1, f"call {first}"), ("s", 2, f"pan ABCPE1234F, call {other}."), ("s", 3, f"{other} and {first}")]
+    out, registry = sanitize.sanitize(spark.createDataFrame(rows, schema), key)
+    back = sanitize.rehydrate(out, sanitize.decrypt_registry(registry, key), "sanitized", "kept").collect()
+    assert {r.seq: r.rehydrated for r in back} == {n: t for _, n, t in rows} and {r.status for r in back} == {"ok"}
+    assert {r.seq: r.kept and [r.sanitized[k.start: k.start + k.length] for k in r.kept] for r in back} == {1: None, 2: [other], 3: [other]}
