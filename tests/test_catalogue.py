@@ -78,3 +78,9 @@ def test_addresses_within_longer_runs_equal_sql(spark, tmp_path, name):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     names = ", ".join(df.columns)
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {names} from ({catalogue.ORACLES[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["ff1_roundtrip_phone", "ff1_roundtrip_pan", "detect_all_injected", "detect_carriers"])
+def test_rows_of_one_file_are_work_for_all_cores(spark, name):
+    assert catalogue.table(spark, SF, "customer").rdd.getNumPartitions() == 1
+    assert catalogue.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
