@@ -73,3 +73,18 @@ def test_domains_round_trip_and_refuse(spark):
                 assert row.s is None
             else:
                 assert row.r == row.v and row.s != row.v and len(row.s) == len(row.v)
+
+
+def test_ff1_sets_no_cipher_up_for_each_row(spark):
+    keys = [bytes(range(32)), bytes(range(1, 33)), bytes(16), None]
+    rows = [(f"{4000000000000000 + 7919 * i}", keys[i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "v string, k binary").select("v", "k", domains.card(F.col("v"), F.col("k")).alias("s"))
+    assert "aes" not in df._jdf.queryExecution().toString().lower()
+    back = df.select("v", "k", "s", domains.card(F.col("s"), F.col("k"), True).alias("r")).collect()
+    assert all((x.s is None) == (x.k is None) for x in back) and all(x.r[:15] == x.v[:15] and x.s != x.v for x in back if x.k)
+
+
+def test_a_line_break_behind_a_value_has_no_surrogate(spark):
+    values = [("PAN", "ABCPE1234F\n"), ("CARD", "4111111111111111\n"), ("IFSC", "HDFC0A1B2C3\n")]
+    df = spark.createDataFrame(values, "t string, v string")
+    assert [r.s for r in df.select(domains.surrogate(F.col("t"), F.col("v"), F.unhex(F.lit("00" * 32))).alias("s")).collect()] == [None] * 3
