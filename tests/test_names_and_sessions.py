@@ -308,3 +308,16 @@ def test_quantiles_are_exact(spark, monkeypatch):
     found = {r["rank"]: r.value for r in ranked_values(odd, ranks).collect()}
     assert found[0] == float("-inf") and found[1] == found[2] == 0.0 and found[3] == 1.0 and found[4] == float("inf") and found[5] != found[5] and len(found) == 6
     assert quantiles(df.where("false"), ["g"], "v", (0.5,)).count() == 0 and greatest(df, "v", "g", 3).count() == 3
+
+
+def test_features_of_many_sentences_are_those_of_each(monkeypatch):
+    said = [["Dear", "Asha", "Iyer", ","], ["x"], ["12", "Hill", "Road", ",", "Pune", "."], ["a", "b"]]
+    for words, rows in zip(said, tagger._all_features(said), strict=True):
+        assert (rows == tagger.features(words)).all() and len(rows) == len(words)
+    rng = np.random.default_rng(1)
+    model = tagger.Tagger(rng.normal(size=(tagger.WEIGHTS, len(tagger.LABELS))).astype(np.float32), np.zeros((len(tagger.LABELS),) * 2, dtype=np.float32))
+    texts = ["Dear Asha Iyer, come. Yes I will", None, "", "12 Hill Road\nPune", "word " * 300]
+    whole = model.find(texts)
+    assert whole == [model.find([t])[0] for t in texts] and any(whole)
+    monkeypatch.setattr(tagger, "TOGETHER", 3)
+    assert model.find(texts) == whole
