@@ -310,3 +310,20 @@ def test_a_value_that_equals_an_earlier_surrogate_comes_back(spark):
     back = sanitize.rehydrate(out, sanitize.decrypt_registry(registry, key), "sanitized", "kept").collect()
     assert {r.seq: r.rehydrated for r in back} == {n: t for _, n, t in rows} and {r.status for r in back} == {"ok"}
     assert {r.seq: r.kept and [r.sanitized[k.start: k.start + k.length] for k in r.kept] for r in back} == {1: None, 2: [other], 3: [other]}
+
+
+def test_bodies_are_walked_and_rebuilt_in_slices(spark, monkeypatch):
+    import json
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bodies, "SLICE", 3)
+    made = [json.dumps({"m": [{"c": f"t{i}", "arguments": json.dumps({"q": "x"})}] * (i % 3)}) for i in range(10)] + ["{broken", None, "[]"]
+    regions = bodies._sliced(bodies._walk_slice, pa.array(made)).to_pylist()
+    path = lambda r: tuple(s["idx"] if s["key"] is None else s["key"] for s in r["path"])
+    assert [[(path(r), r["text"]) for r in rows] for rows in regions[:10]] == [list(bodies.walk(json.loads(b))) for b in made[:10]] and regions[10:] == [[]] * 3
+    changes = [[{"path": r["path"], "text": r["text"] + "!"} for r in rows] or None for rows in regions[:10]]
+    back = bodies._sliced(bodies._rebuild_slice, pa.array(made[:10]), pa.array(changes)).to_pylist()
+    for body, change, row in zip(made, changes, back):
+        n = len(change or [])
+        assert (row["applied"], row["unmatched"]) == (n, 0) and [t for _, t in bodies.walk(json.loads(row["body"]))] == [t + "!" for _, t in bodies.walk(json.loads(body))]
