@@ -321,3 +321,13 @@ def test_features_of_many_sentences_are_those_of_each(monkeypatch):
     assert whole == [model.find([t])[0] for t in texts] and any(whole)
     monkeypatch.setattr(tagger, "TOGETHER", 3)
     assert model.find(texts) == whole
+
+
+def test_a_micro_batch_is_written_by_many_tasks(spark):
+    batches = [spark.range(0, 400).selectExpr("id", "0 as batch"), spark.range(400, 500).selectExpr("id", "1 as batch")]
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    out = catalogue._streamed(spark, "test-spread", batches, lambda s: s.withColumn("file", F.input_file_name()))
+    rows = out.collect()
+    assert sorted(r.id for r in rows) == list(range(500))
+    assert all(len({r.file for r in rows if r.batch == b}) == spark.sparkContext.defaultParallelism for b in (0, 1))
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == before
