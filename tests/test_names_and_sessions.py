@@ -331,3 +331,34 @@ def test_a_micro_batch_is_written_by_many_tasks(spark):
     assert sorted(r.id for r in rows) == list(range(500))
     assert all(len({r.file for r in rows if r.batch == b}) == spark.sparkContext.defaultParallelism for b in (0, 1))
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == before
+
+
+def test_texts_alone_take_one_table_and_one_call_of_the_model(spark, monkeypatch, tmp_path):
+    calls, tables, really = tmp_path / "calls", [], sanitize.written
+
+    def predict(text):
+        with open(calls, "a") as f:
+            f.write("x")
+        if text.startswith("bad"):
+            raise RuntimeError
+        return [(0, 5, "PERSON")]
+
+    monkeypatch.setattr(sanitize, "written", lambda df, name: tables.append(name) or really(df, name))
+    rows = [("s", i, f"{'bad x' if i % 3 == 0 else 'Zelda'} has pan ABCPE1234F") for i in range(30)] + [("s", 30, None), ("s", 31, ""), (None, 32, "Zelda")]
+    texts = spark.createDataFrame(rows, "session_id string, seq long, text string")
+    alone = sanitize.sanitized_texts(texts, key(), detect.model_spans(predict, "closed")("text")).collect()
+    assert tables == ["spans"] and len(calls.read_text()) == 30
+    out, _ = sanitize.sanitize(texts, key(), detect.model_spans(predict, "closed")("text"))
+    assert tables == ["spans", "spans", "registry"] and sorted(map(str, alone)) == sorted(map(str, out.collect()))
+    status = {r.seq: r.status for r in alone}
+    assert all(status[i] == ("model_failed:RuntimeError" if i % 3 == 0 else "ok") for i in range(30)) and status[32] == "missing_session"
+
+
+def test_fail_modes_write_no_registry(spark, monkeypatch):
+    from sparkveil.plans import catalogue
+
+    tables, really = [], sanitize.written
+    monkeypatch.setattr(sanitize, "written", lambda df, name: tables.append(name) or really(df, name))
+    rows = catalogue.QUERIES["detect_fail_modes"](spark, "/root/testdata/sf0.001").collect()
+    assert tables == ["spans", "spans"]
+    assert {(r.mode, r.status): r.n == r.n_changed for r in rows} == {("open", "ok"): True, ("closed", "ok"): True, ("closed", "model_failed:RuntimeError"): False}
