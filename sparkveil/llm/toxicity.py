@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEGMENT, batch_word_hashes, mix64, save, span_hashes, text_buffers, word_table
+from .common import LOWER, batch_word_hashes, mix64, save, text_buffers, word_table
 
 #: The most labelled examples in the index: positive and other ones (the documented bound).
 MAX_POSITIVE, MAX_OTHER = 1_000, 2_500
@@ -42,6 +42,8 @@ MIN_Z, MIN_EXAMPLES, MIN_ODDS = 3.0, 3, 20
 NEIGHBOURS = 15
 #: Examples of a block; examples whose similarities are completed first; the share of the examples from which a term is widespread; axes of the projection that finds like examples.
 BLOCK, FIRST, WIDE, PROJECTED = 2, 48, 1 / 8, 32
+#: Documents whose bounds are one matrix product.
+TOGETHER = 64
 #: Texts whose scores a task remembers.
 REMEMBERED = 2_000
 #: ``predicted`` is 1 from this score on.
@@ -53,14 +55,12 @@ _PREFIX_SALT = np.uint64(0xA0761D6478BD642F)
 
 
 def _beginnings(piece: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the word beginnings ``piece[at[i]:stop[i]]``, a segment at a time."""
-    out, i = [], 0
-    while i < len(at):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + SEGMENT)))
-        part = piece[at[i]: stop[j - 1]]
-        out.append(span_hashes(LOWER[part], at[i:j] - at[i], stop[i:j] - at[i]))
-        i = j
-    return mix64(np.concatenate(out) ^ _PREFIX_SALT) if out else np.zeros(0, dtype=np.uint64)
+    """Hashes of the word beginnings ``piece[at[i]:stop[i]]``, four bytes at most: unlike ones are never equal."""
+    packed = (stop - at).astype(np.uint64) << np.uint64(32)
+    for j in range(4):
+        byte = LOWER[piece[np.minimum(at + j, len(piece) - 1)]].astype(np.uint64)
+        packed |= np.where(at + j < stop, byte, np.uint64(0)) << np.uint64(8 * j)
+    return mix64(packed ^ _PREFIX_SALT)
 
 
 def term_batches(array):
@@ -84,6 +84,33 @@ def term_batches(array):
         yield first, cuts * 2, both
 
 
+class Places:
+    """Finds hashes among sorted ones: their leading bits lead to the first that can be equal, a few steps at most to the last."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms, bits = terms, min(22, max(1, 4 * len(terms)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(terms, np.arange(2**bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.after = np.append(terms, np.uint64(2**64 - 1))
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are known, their places among the terms)."""
+        at = self.first[hashes >> self.shift]
+        low = np.flatnonzero(self.after[at] < hashes)
+        while len(low):
+            at[low] += 1
+            low = low[self.after[at[low]] < hashes[low]]
+        known = np.flatnonzero((self.after[at] == hashes) & (at < len(self.terms)))
+        return known, at[known].astype(np.int64)
+
+    def counted(self, cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, count) of the known terms of rows ``hashes[cuts[i]:cuts[i + 1]]``, in order."""
+        known, at = self.of(hashes)
+        row = np.searchsorted(cuts, known, side="right") - 1
+        pair, count = np.unique(row * np.int64(len(self.terms) + 1) + at, return_counts=True)
+        return *np.divmod(pair, len(self.terms) + 1), count
+
+
 @dataclass(frozen=True)
 class Examples:
     """What an index is made from, and shipped as: term counts of the examples, by term. All arrays are bounded by the sample."""
@@ -106,7 +133,7 @@ class BlockMaxIndex:
 
     def __init__(self, of: Examples):
         self.of = of
-        self.terms, self.ids, self.labels = of.terms, of.ids, of.labels
+        self.terms, self.ids, self.labels, self.places = of.terms, of.ids, of.labels, Places(of.terms)
         self.begin, self.examples = of.begin.astype(np.int64), of.examples.astype(np.int64)
         self.idf = np.log((of.documents + 1) / (of.df + 1)) + 1e-3
         n = np.diff(self.begin)
@@ -122,7 +149,7 @@ class BlockMaxIndex:
         self.rows = np.zeros((blocks * BLOCK, len(wide)))
         held = self.slot[t] >= 0
         self.rows[self.examples[held], self.slot[t[held]]] = self.weights[held]
-        self.block_max = np.ascontiguousarray(self.rows.reshape(blocks, BLOCK, len(wide)).max(axis=1).T)
+        self.block_max = self.rows.reshape(blocks, BLOCK, len(wide)).max(axis=1).T
         seen = [np.bincount(t, of.labels[of.examples] == y, minlength=len(of.terms)) for y in (1, 0)]
         self.telling = telling_terms(*seen, int((of.labels == 1).sum()), int((of.labels == 0).sum()))
         self.cuts, self.levels, self.blank = of.cuts, of.levels, of.blank
@@ -130,32 +157,52 @@ class BlockMaxIndex:
     def __reduce__(self):
         return BlockMaxIndex, (self.of,)
 
-    def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a document, unit length over the known terms; empty without any."""
-        if not len(self.terms):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        term, count = np.unique(at[self.terms[at] == hashes], return_counts=True)
+    def vectors(self, cuts: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of documents ``hashes[cuts[i]:cuts[i + 1]]``, unit length over the known terms; empty without any."""
+        row, term, count = self.places.counted(cuts, hashes)
         weight = (1 + np.log(count)) * self.idf[term]
-        norm = np.sqrt((weight**2).sum())
-        return (term, weight / norm) if norm > 0 else (term[:0], weight[:0])
+        norm = np.sqrt(np.bincount(row, weight**2, minlength=len(cuts) - 1))  # added in order, so equal texts get equal sums
+        weight /= norm[row]
+        edge = np.searchsorted(row, np.arange(len(cuts))).tolist()
+        return [(term[i:j], weight[i:j]) for i, j in zip(edge, edge[1:])]
+
+    def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`vectors` of one document."""
+        return self.vectors(np.array([0, len(hashes)]), hashes)[0]
 
     def _sums(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What the postings of these terms add to every example."""
-        begin, end = self.begin[term], self.begin[term + 1]
-        lists = [slice(*x) for x in zip(begin.tolist(), end.tolist())]
-        if not lists:
+        if not len(term):
             return np.zeros(len(self.rows))
-        own = np.repeat(weight, end - begin) * np.concatenate([self.weights[x] for x in lists])
-        return np.bincount(np.concatenate([self.examples[x] for x in lists]), own, minlength=len(self.rows))
-
-    def candidates(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
-        """(examples, exact similarities) of all that the bounds leave, the ``k`` most similar among them."""
+        n = self.begin[term + 1] - self.begin[term]
+        at = np.arange(n.sum())
+        at += np.repeat(self.begin[term] - (np.cumsum(n) - n), n)
+        own = self.weights[at]
+        own *= np.repeat(weight, n)
+        return np.bincount(self.examples[at], own, minlength=len(self.rows))
+
+    def wide_bounds(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(document, block): what the widespread terms of a document add to an example of a block at most; one matrix product."""
+        query = np.zeros((len(vectors), self.rows.shape[1]))
+        for row, (term, weight) in zip(query, vectors):
+            slot = self.slot[term]
+            row[slot[slot >= 0]] = weight[slot >= 0]
+        return query @ self.block_max
+
+    def searched(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None):
+        """Yield :meth:`nearest` of each document; ``without`` has an example that each leaves out."""
+        for i in range(0, len(vectors), TOGETHER):
+            part = vectors[i: i + TOGETHER]
+            for j, (vector, bound) in enumerate(zip(part, self.wide_bounds(part)), i):
+                yield self.nearest(*vector, without=-1 if without is None else without[j], bound=bound)
+
+    def candidates(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1, bound: np.ndarray | None = None):
+        """(examples, exact similarities) of all that the bounds leave, the ``k`` most similar among them; ``bound`` is the row of :meth:`wide_bounds`."""
         slot = self.slot[term]
         wide, query = slot >= 0, np.zeros(self.rows.shape[1])
         query[slot[wide]] = weight[wide]
         score = self._sums(term[~wide], weight[~wide])
-        bounds = score + np.repeat(weight[wide] @ self.block_max[slot[wide]], BLOCK)
+        bounds = score + np.repeat(self.wide_bounds([(term, weight)])[0] if bound is None else bound, BLOCK)
         if without >= 0:
             bounds[without] = -np.inf
         # the highest bounds first, then all that can still be one of the k best
@@ -171,9 +218,9 @@ class BlockMaxIndex:
         held = np.concatenate([first, more])
         return held, score[held]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1, bound: np.ndarray | None = None):
         """Exact (examples, similarities, telling parts) of the ``k`` most similar examples, best first."""
-        held, score = self.candidates(term, weight, k, without)
+        held, score = self.candidates(term, weight, k, without, bound)
         held, score = held[score > 0], score[score > 0]
         if len(held) > k:
             best = score >= np.partition(score, -k)[-k] - 1e-11
@@ -284,15 +331,11 @@ def count_terms(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        terms = shared.value
-        count, rows = np.zeros(len(terms) + 1, dtype=np.int64), 0
+        places = Places(shared.value)
+        count, rows = np.zeros(len(places.terms) + 1, dtype=np.int64), 0
         for batch in batches:
             for _, cuts, found in term_batches(batch.column(1)):
-                doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-                at = np.minimum(np.searchsorted(terms, found), max(len(terms) - 1, 0))
-                hit = terms[at] == found if len(terms) else np.zeros(len(found), dtype=bool)
-                pairs = np.unique(doc[hit] * np.int64(len(terms) + 1) + at[hit])
-                count += np.bincount(pairs % (len(terms) + 1), minlength=len(terms) + 1)
+                count += np.bincount(places.counted(cuts, found)[1], minlength=len(count))
             rows += batch.num_rows
         count[-1] = rows
         at = np.flatnonzero(count)
@@ -306,20 +349,13 @@ def count_terms(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _judged(docs: DataFrame, shared, schema: str, names: list[tuple], made) -> DataFrame:
-    """One row of ``made(index, doc_id, vector)`` for each row of (doc_id, text); vectors are None without known terms."""
+def _judged(docs: DataFrame, shared, schema: str, made) -> DataFrame:
+    """The rows of ``made(index, ids, vectors)``, an Arrow batch for neighbouring rows of (doc_id, text)."""
     def run(batches):
         index = shared.value
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), [None] * batch.num_rows
             for first, cuts, terms in term_batches(batch.column(1)):
-                hit = np.flatnonzero(_member(terms, index.terms))
-                edge = np.searchsorted(hit, cuts)
-                for row in np.flatnonzero(edge[1:] > edge[:-1]):
-                    vector = index.vector(terms[hit[edge[row]: edge[row + 1]]])
-                    rows[first + row] = vector if len(vector[0]) else None
-            columns = list(zip(*(made(index, i, v) for i, v in zip(ids, rows)))) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, names)], [n for n, _ in names])
+                yield made(index, batch.column(0).slice(first, len(cuts) - 1), index.vectors(cuts, terms))
 
     return docs.mapInArrow(run, schema)
 
@@ -346,12 +382,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POS
     del rows
     place = {int(i): n for n, i in enumerate(index.ids)}
 
-    def alone(index, doc_id, vector):
-        found = index.nearest(*vector, without=place[doc_id]) if vector else ((),)
-        return doc_id, index.vote(*found) if len(found[0]) else None
+    def alone(index, ids, vectors):
+        found = index.searched(vectors, [place[i] for i in ids.to_pylist()])
+        votes = [index.vote(*f) if len(f[0]) else None for f in found]
+        return pa.RecordBatch.from_arrays([ids, pa.array(votes, pa.float64())], ["doc_id", "vote"])
 
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    votes = _judged(texts.select("doc_id", "text"), shared, "doc_id long, vote double", [("doc_id", pa.int64()), ("vote", pa.float64())], alone).toArrow()
+    votes = _judged(texts.select("doc_id", "text"), shared, "doc_id long, vote double", alone).toArrow()
     shared.destroy()
     vote = np.full(len(index.ids), np.nan)
     vote[[place[i] for i in votes["doc_id"].to_pylist()]] = votes["vote"].to_numpy()
@@ -359,31 +396,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POS
     return calibrate(index, vote, index.labels, np.array(inverse)[index.labels.astype(int)])
 
 
-def _member(values, terms):
-    if not len(terms):
-        return np.zeros(len(values), dtype=bool)
-    return terms[np.minimum(np.searchsorted(terms, values), len(terms) - 1)] == values
-
-
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     """``doc_id``, ``score`` and ``evidence`` (nearest examples with label and similarity) of every row; no shuffle."""
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,toxic:boolean,similarity:double>>"
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.bool_()), ("similarity", pa.float64())]))
 
     remembered: dict[bytes, tuple] = {}  # of a task: copies of a text are scored once
 
-    def made(index, doc_id, vector):
-        if vector is None:
-            return doc_id, index.blank, []
-        name = vector[0].tobytes() + vector[1].tobytes()
-        if name not in remembered:
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-            found = index.nearest(*vector)
-            evidence = [{"doc_id": int(index.ids[n]), "toxic": bool(index.labels[n]), "similarity": float(s)} for n, s in zip(*found[:2])]
-            remembered[name] = index.score(*found), evidence
-        return doc_id, *remembered[name]
-
-    names = [("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", kind)]
+    def made(index, ids, vectors):
+        names = [t.tobytes() + w.tobytes() for t, w in vectors]
+        if len(remembered) >= REMEMBERED:
+            remembered.clear()
+        new = {name: v for name, v in zip(names, vectors) if name not in remembered}
+        for name, found in zip(new, index.searched(list(new.values()))):
+            remembered[name] = index.score(*found), *found[:2]
+        rows = [remembered[name] for name in names]
+        near = np.concatenate([r[1] for r in rows] or [np.zeros(0, dtype=np.int64)])
+        evidence = pa.StructArray.from_arrays([pa.array(index.ids[near]), pa.array(index.labels[near] > 0), pa.array(np.concatenate([r[2] for r in rows] or [np.zeros(0)]))],
+                                              ["doc_id", "toxic", "similarity"])
+        ends = np.cumsum([0] + [len(r[1]) for r in rows])
+        return pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), evidence)],
+                                          ["doc_id", "score", "evidence"])
+
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    return _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), shared, schema, names, made)
+    return _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), shared, schema, made)

@@ -167,6 +167,39 @@ def test_block_max_is_exact():
         assert names.tolist() == order.tolist() and np.allclose(best, full[order])
 
 
+def test_documents_are_searched_together():
+    """A product of a chunk's bounds and lookups of a whole batch give what each document gives alone."""
+    rng = np.random.default_rng(5)
+    terms = np.unique(np.concatenate([rng.integers(0, 2**64, 300, dtype=np.uint64), np.array([0, 1, 2**64 - 1], dtype=np.uint64)]))
+    rows = [rng.choice(terms, rng.integers(1, 40)) for _ in range(400)] + [terms[-3:], terms[:2]]
+    index = toxicity.build_index(np.arange(402), (rng.random(402) < 0.3).astype(float), rows, terms, rng.integers(1, 200, len(terms)), 402)
+    strange = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    asked = [np.concatenate([r, strange[:n % 7]]) for n, r in enumerate(rows)] + [strange, strange[:0], terms[rng.permutation(len(terms))]]
+    cuts = np.concatenate(([0], np.cumsum([len(r) for r in asked])))
+    known, at = index.places.of(np.concatenate(asked))
+    assert (terms[at] == np.concatenate(asked)[known]).all() and len(known) == np.isin(np.concatenate(asked), terms).sum()
+    vectors = index.vectors(cuts, np.concatenate(asked))
+    assert len(vectors) == len(asked) > toxicity.TOGETHER and all(len(v[0]) == 0 for v in vectors[402:404])
+    for r, (t, w), found in zip(asked, vectors, index.searched(vectors)):
+        one = index.vector(r)
+        assert (t == one[0]).all() and (w == one[1]).all()
+        assert all((a == b).all() for a, b in zip(found, index.nearest(*one)))
+    none = toxicity.build_index(np.zeros(0, dtype=np.int64), np.zeros(0), [], terms[:0], np.zeros(0, dtype=np.int64), 3)
+    assert [len(v[0]) for v in none.vectors(cuts, np.concatenate(asked))] == [0] * len(asked)
+
+
+def test_word_beginnings_tell_their_bytes_apart():
+    import pyarrow as pa
+
+    words = ["a", "A", "ab", "abc", "abcd", "abcde", "abcx", "\u00e9", "\u00e9\u00e9", "\u00e9\u00e9z", "ba", "z"]
+    (_, cuts, found), = toxicity.term_batches(pa.array(words))
+    seen = {}
+    for w, h in zip(words, found[1::2].tolist()):
+        seen.setdefault(w.encode().lower()[:4], set()).add(h)
+    assert cuts.tolist() == list(range(0, 2 * len(words) + 1, 2))
+    assert all(len(h) == 1 for h in seen.values()) and len(set.union(*seen.values())) == len(seen)
+
+
 def test_e8_is_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 8)) * 2
