@@ -232,6 +232,26 @@ def test_embeddings(spark):
     assert embeddings.near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_that_meet_by_chance_are_no_pairs(spark, monkeypatch):
+    """Of unlike vectors hardly any pair becomes a row, though many meet in a cell; passes and broadcasts change no result."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 64))
+    x[1000:1040] = x[:40] + rng.normal(size=(40, 64)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    cosines, asked = embeddings._cosines, []
+
+    def counted(pairs, units):
+        asked.append(pairs.count())
+        return cosines(pairs, units)
+    monkeypatch.setattr(embeddings, "_cosines", counted)
+    want = [(i, int(i < 40 or 1000 <= i < 1040), i - 1000 if 1000 <= i < 1040 else i) for i in range(2000)]
+    for rows, few in ((300_000, 200_000), (8000, 10)):
+        monkeypatch.setattr(embeddings, "PASS_ROWS", rows, raising=False)
+        monkeypatch.setattr(embeddings, "FEW", few, raising=False)
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect()) == want
+    assert 0 < sum(asked) < 400
+
+
 def test_urls(spark):
     rules = urls.rules_frame(spark, [("allow", "org", "/"), ("block", "example.org", "/en/"), ("allow", "example.org", "/en/1"), ("block", "x.com", "/"), ("allow", "x.com", "/"), (None, "y", "/")])
     pages = [(1, "https://www.EXAMPLE.org/en/2?q#f"), (2, "http://example.org/en/12"), (3, "http://notexample.org/en/2"), (4, None), (5, "nothing"), (6, "a://x.com"),
